@@ -4,11 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import mixing, packing, repetition
+from codeloom.llm import mixing, packing, repetition, sourcecheck
 from codeloom.llm.tokens import token_counts
 from codeloom.session import materialize, table
 
 
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    return sourcecheck.check_files(table(spark, d, "source_tree"), table(spark, d, "files"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(spark, d).where("not valid").select("file_id")
+
+
+def p5_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(spark, d)
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return sourcecheck.rates(_checked(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     packed = packing.packed_documents(table(spark, d, "documents"))
     return packed.where("split and piece = 0").select("doc_id")
@@ -43,6 +59,6 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.shares(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_verdicts, p5_rates, p6_found, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_shares)}
 
 SQL: dict[str, str] = {}
