@@ -4,11 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import mixing, packing, repetition, sourcecheck
+from codeloom.llm import handwritten, mixing, packing, repetition, sourcecheck
 from codeloom.llm.tokens import token_counts
 from codeloom.session import materialize, table
 
 
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    tree, packages = table(spark, d, "source_tree"), table(spark, d, "package_files")
+    return handwritten.learn(tree, table(spark, d, "symbols"), packages).apply(tree, packages)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d).where("kind is not null").select("file_id")
+
+
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d)
+
+
+def p2_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of each machine on repositories kept out of training."""
+    found = handwritten.learn(table(spark, d, "source_tree"), table(spark, d, "symbols"), table(spark, d, "package_files")).machines
+    return spark.createDataFrame([(k, m.precision, m.recall, m.threshold) for k, m in found.items()], "kind string, held_out_precision double, held_out_recall double, threshold double")
+
+
 def _checked(spark: SparkSession, d: str) -> DataFrame:
     return sourcecheck.check_files(table(spark, d, "source_tree"), table(spark, d, "files"))
 
@@ -59,6 +78,6 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.shares(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_verdicts, p5_rates, p6_found, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p2_validation, p5_found, p5_verdicts, p5_rates, p6_found, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_shares)}
 
 SQL: dict[str, str] = {}
