@@ -393,11 +393,16 @@ def learn(tree: DataFrame, symbols: DataFrame, packages: DataFrame, look: int =
     marked = with_known(tree, packages)
     drawn = marked.where(draw & ~F.col("known"))
     one = materialize(marked.where("known").select("file_id", F.sha2("content", 256).alias("h")), "releases").groupBy("h").agg(F.min("file_id").alias("file_id"))
-    releases = one.orderBy("h").limit(kind_rows).select("file_id")
-    texts = materialize(_shingled(marked.join(one.select("file_id"), "file_id", "left_semi")), "release-texts")
+    one = materialize(one, "release-ids")
+    # as many rows as listed releases; the sample's part is limited
+    every = one.select("file_id")
+    every = F.broadcast(every) if packages.count() <= BROADCAST_ROWS else every
+    releases = F.broadcast(one.orderBy("h").limit(kind_rows).select("file_id"))
+    texts = materialize(_shingled(marked.join(every, "file_id", "left_semi")), "release-texts")
     sample = drawn.unionByName(marked.join(releases, "file_id", "left_semi"))
-    has = symbols.select("file_id").where("file_id is not null").distinct().withColumn("_i", F.lit(True))
-    sample = sample.join(has, "file_id", "left").withColumn("indexed", F.coalesce("_i", F.lit(False)))
+    # only ids of the drawn files (about `look`) meet the symbols and travel to the texts
+    ids = tree.where(draw).select("file_id").join(symbols.select("file_id").distinct(), "file_id", "left_semi").distinct().withColumn("_i", F.lit(True))
+    sample = sample.join(F.broadcast(ids), "file_id", "left").withColumn("indexed", F.coalesce("_i", F.lit(False)))
     # hand-written files are the many; thin them before features are made
     hand = min(1.0, 1.5 * hand_rows / max(1.0, share * n))
 
