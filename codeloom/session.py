@@ -12,12 +12,33 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK_KEY = "spark.codeloom.fallback.dir"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable on the executors, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    made = Path(tempfile.mkdtemp(prefix="codeloom-code-"))
+    atexit.register(shutil.rmtree, made, True)
+    archive = made / "codeloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir``, else the checkpoint folder
     set on the context, else one made here (local mode and tests only)."""
@@ -47,12 +68,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     that loses an executor re-reads files instead of re-running Python.
     """
     spark = df.sparkSession
+    ship(spark)
     path = work_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

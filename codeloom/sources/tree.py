@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.session import ship
+
 # fixed values: extensions of the indexed languages
 LANGUAGES = {"rs": "rust", "go": "go", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "swift": "swift", "cs": "csharp"}
 
@@ -94,6 +96,7 @@ def read_tree(spark: SparkSession, root: str, language: str | None = None) -> Da
     Content is decoded on the executors; a text that is not UTF-8 has null
     content and an error.
     """
+    ship(spark)
     paths = [p for p in walk(root) if p.rsplit(".", 1)[-1] in LANGUAGES and (language is None or LANGUAGES[p.rsplit(".", 1)[-1]] == language)]
     if not paths:
         return spark.createDataFrame([], "path string, language string, content string, content_hash string, error string")
