@@ -113,6 +113,8 @@ _OPEN_END["typescript"] = _OPEN_END["javascript"]
 class Scanner:
     language: str
     kinds: dict[str, str] = field(default_factory=dict)
+    #: the last text scanned with its kinds before layout and what layout replaced
+    last: tuple = (None, "", ())
 
     def __post_init__(self):
         lang = self.language
@@ -128,10 +130,13 @@ class Scanner:
         ident = r"[^\W\d]\w*+" if lang in ("python", "go", "rust", "csharp", "swift") else r"[$\w]++"
         start = rf"(?!\d){ident}"
         newline = r"\n[ \t\f]*" if lang == "python" else r"\n\s*" if lang not in ("rust", "csharp") else r"(?!)"
-        first = rf"(?:{_JSRE_AFTER})(?:\s|{_LINE}|{_BLOCK})*+{_JSRE}|" if lang in ("javascript", "typescript") else ""
+        first = rf"(?!\w++\s*+[^/\s])(?:{_JSRE_AFTER})(?:\s|{_LINE}|{_BLOCK})*+{_JSRE}|" if lang in ("javascript", "typescript") else ""
         ordered = "|".join(re.escape(o) for o in sorted(ops, key=len, reverse=True))
+        # brackets, comma and semicolon begin no longer operator, and only these characters begin a literal
+        single = r"[()\[\]{},;]"
+        begins = {"python": r"[\w\"']", "rust": r"[\w\"']", "go": r"[\"'`]", "swift": r"[#\"`]", "csharp": r"[$@\"']"}.get(lang, r"[\"'`]")
         self.pattern = re.compile(
-            rf"(?:{_SKIP[lang]})*+({first}{start}(?![\"'#])|{_LITERALS[lang]}|(?=[\d.])(?:{_NUMBERS[lang]}|\d\w*)|{ident}|{newline}|{ordered}|[^\s]|\Z)"
+            rf"(?:{_SKIP[lang]})*+({r"[)\]}]|[(\[{,;](?!\s*+/)|" + first if first else single + "|"}{start}(?![\"'#])|(?={begins})(?:{_LITERALS[lang]})|(?=[\d.])(?:{_NUMBERS[lang]}|\d\w*)|{single}|{start}|{newline}|{ordered}|[^\s]|\Z)"
         )
         self.cache: dict[str, str] = _Cache(self._kind)
         self.k = lambda spec: "".join(IDENT if t == "ident" else NUM + STR + CHAR + REGEX + TEMPLATE if t == "literal" else self.kinds.get(t, "") for t in spec.split())
@@ -195,7 +200,9 @@ class Scanner:
     def scan(self, text: str) -> str:
         """Kinds after layout, closed by ``EOF``."""
         raw = self.raw(text)
-        return apply(raw, self.edits(raw)) + EOF
+        edits = self.edits(raw)
+        self.last = (text, raw, edits)
+        return apply(raw, edits) + EOF
 
     def edits(self, raw: str) -> list[tuple[int, int, str]]:
         """What layout replaces: (start, end, kinds)."""
@@ -243,8 +250,10 @@ class Scanner:
 
     def place(self, text: str, at: int) -> tuple[int, int, str]:
         """Line (1-based), column (0-based) and token at position ``at`` of the kinds."""
-        raw, shift = self.raw(text), 0
-        for a, b, add in self.edits(raw):
+        if self.last[0] is not text:
+            self.scan(text)
+        shift = 0
+        for a, b, add in self.last[2]:
             if a + shift + len(add) > at:
                 at = min(at, a + shift)
                 break
