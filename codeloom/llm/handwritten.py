@@ -30,7 +30,7 @@ GRAMS = (4, 8)
 PATH_WEIGHT = 4
 KINDS = ("generated", "minified", "vendored", "data")
 #: Bounds of the training sample: files looked at, hand-written rows, rows per kind.
-LOOK, HAND_ROWS, KIND_ROWS = 40_000, 4_000, 1_000
+LOOK, HAND_ROWS, KIND_ROWS = 40_000, 3_000, 800
 
 # fixed values: words of headers that tools write
 _TOOL = re.compile(r"(?i)do not (?:edit|modify)|(?:auto-?)?generated|machine-written|automati\w+ (?:produced|erzeugt)|nicht von hand")
@@ -425,10 +425,19 @@ def learn(tree: DataFrame, symbols: DataFrame, packages: DataFrame, look: int =
     import numpy as np
 
     made = materialize(sample.select("file_id", "repo", "path", "content", "known", "indexed").mapInArrow(go, "repo string, label string, rank long, x binary, v binary"), "training")
+    # ranks first (numbers of a bounded sample), then the chosen rows, partition by partition
+    ranks: dict[str, list[int]] = {}
+    for label, rank in made.select("label", "rank").toLocalIterator():
+        ranks.setdefault(label, []).append(rank)
+    cut = {label: sorted(found)[: hand_rows if label == "hand" else kind_rows][-1] for label, found in ranks.items()}
     rows = []
-    for label in ("hand", *KINDS):
-        for r in made.where(F.col("label") == label).orderBy("rank").limit(hand_rows if label == "hand" else kind_rows).toLocalIterator():
-            rows.append((r[0], r[1], (np.frombuffer(bytes(r[3]), np.int32), np.frombuffer(bytes(r[4]), np.float32))))
+    if cut:
+        chosen = F.lit(False)
+        for label, rank in cut.items():
+            chosen = chosen | ((F.col("label") == label) & (F.col("rank") <= rank))
+        for r in made.where(chosen).toLocalIterator():
+            rows.append((r[2], (r[0], r[1], (np.frombuffer(bytes(r[3]), np.int32), np.frombuffer(bytes(r[4]), np.float32)))))
+    rows = [r for _, r in sorted(rows, key=lambda x: x[0])]
     return Detector(fit(rows, bits), bits, texts)
 
 
