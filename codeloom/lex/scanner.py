@@ -106,7 +106,8 @@ _OPEN_END = {
     "javascript": "( [ { . ?. , ; : ? = => == != === !== <= < + - * / % & | ^ && || ?? += -= *= /= %= &= |= ^= ** **= << ! ~ typeof new delete void instanceof in else do try finally const let var function class import export extends case ... @ #",
     "swift": "( [ { . , ; : = == != <= >= + - * / % & | ^ && || ?? += -= *= /= %= -> ... ..< ~ else do defer repeat let var func class struct enum protocol extension import case in is as guard if while for switch @ #",
 }
-_OPEN_END["typescript"] = _OPEN_END["javascript"]
+# both end a statement in TypeScript: a type, and `as const`
+_OPEN_END["typescript"] = _OPEN_END["javascript"].replace(" void ", " ").replace(" const ", " ")
 
 
 @dataclass
@@ -263,7 +264,8 @@ class Scanner:
         for m in self.pattern.finditer(text):
             seen += len(self.cache[m[1]])
             if seen > at:
-                start = m.start(1)
+                # a line break fails where the next line begins
+                start = m.start(1) if m[1].strip() else m.end(1)
                 return text.count("\n", 0, start) + (self.language != "python"), start - text.rfind("\n", 0, start) - 1, m[1]
         return text.count("\n") + (self.language != "python"), 0, ""
 
