@@ -364,15 +364,16 @@ AfterBlock <- NEVER
 NEVER <- !. !END
 %id = IDENT 'actor' 'async' 'convenience' 'didSet' 'dynamic' 'final' 'get' 'indirect' 'infix' 'lazy' 'mutating' 'nonmutating' 'optional' 'override' 'postfix' 'prefix' 'required' 'set' 'some' 'any' 'unowned' 'weak' 'willSet' 'consuming' 'borrowing' 'nonisolated' 'isolated' 'package' 'each' 'macro' 'self' 'Self' 'super' 'open' '_'
 %name = IDENT WORDS
-%mod = 'public' 'private' 'fileprivate' 'internal' 'open' 'package' 'static' 'class' 'final' 'lazy' 'weak' 'unowned' 'override' 'mutating' 'nonmutating' 'required' 'convenience' 'dynamic' 'optional' 'indirect' 'prefix' 'postfix' 'infix' 'nonisolated' 'isolated' 'consuming' 'borrowing'
+%mod = 'public' 'private' 'fileprivate' 'internal' 'open' 'package' 'static' 'final' 'lazy' 'weak' 'unowned' 'override' 'mutating' 'nonmutating' 'required' 'convenience' 'dynamic' 'optional' 'indirect' 'prefix' 'postfix' 'infix' 'nonisolated' 'isolated' 'consuming' 'borrowing'
 %op = '==' '!=' '===' '!==' '<' '<=' '>=' '<<' '+' '-' '*' '/' '%' '&' '|' '^' '&&' '||' '??' '...' '..<' '&+' '&-' '&*' '=' '+=' '-=' '*=' '/=' '%=' '&&=' '||=' '<<=' '>>=' '~'
 %pre = '-' '+' '!' '~' '&' '...' '..<'
+%BRACE = '{'
 Attr <- '@' name ('.' name)* @(Balanced)? SOFT?
 Balanced <- Tok*
 Tok <- @(Balanced) / @[Balanced] / @{Balanced} / @"Balanced / !OPEN .
-Mod <- mod @(Balanced)? !('.' / ':' / '=' / ')')
+Mod <- 'class' &('func' / 'var' / 'let' / 'subscript' / 'override' / 'final' / 'public' / 'private' / 'internal') / mod @(Balanced)? !('.' / ':' / '=' / ')')
 Stmt <- Directive / (Attr / Mod SOFT?)* Decl / 'if' Conds SOFT? Block (SOFT? 'else' SOFT? (Block / ElseIf))? / 'guard' Conds SOFT? 'else' SOFT? Block / 'while' Conds SOFT? Block / 'repeat' SOFT? Block SOFT? 'while' Expr
-  / 'for' 'try'? 'await'? 'case'? Pattern (':' Type)? 'in' ExprN ('where' ExprN)? SOFT? Block / 'switch' ExprN SOFT? @{Cases} / 'do' ThrowsT? SOFT? Block (SOFT? 'catch' CatchHead? SOFT? Block)* / 'defer' Block
+  / 'for' 'try'? 'await'? 'case'? Pattern (':' Type)? 'in' ExprN ('where' ExprN)? SOFT? Block / 'switch' ExprN SOFT? @{Cases} / 'do' ThrowsT? SOFT? Block (SOFT? 'catch' (!BRACE CatchHead)? SOFT? Block)* / 'defer' Block
   / 'return' Expr? / 'throw' Expr / ('break' / 'continue') IDENT? / 'fallthrough' / id ':' SOFT? Stmt / Expr
 ElseIf <- 'if' Conds SOFT? Block (SOFT? 'else' SOFT? (Block / ElseIf))?
 ThrowsT <- 'throws' @(Type)?
@@ -504,7 +505,7 @@ AssignOp <- assign / '>' '>' '>'? '='
 Lambda <- AttrList* ('static' / 'async')* (id / Type? @(LambdaParams)) '=>' (Block / Expr)
 LambdaParams <- (LParam (',' LParam)*)?
 LParam <- AttrList* ('ref' / 'out' / 'in' / 'params' / 'scoped')* (Type id ('=' Expr)? / id)
-Query <- 'from' Type? id 'in' Expr QClause+
+Query <- 'from' (Type !'in')? id 'in' Expr QClause+
 QClause <- 'from' (Type !'in')? id 'in' Expr / 'where' Expr / 'let' id '=' Expr / 'join' (Type !'in')? id 'in' Expr 'on' Expr 'equals' Expr ('into' id)? / 'orderby' Expr ('ascending' / 'descending')? (',' Expr ('ascending' / 'descending')?)* / 'select' Expr / 'group' Expr 'by' Expr / 'into' id
 Cond <- Bin ('?' Expr ':' Expr)?
 Bin <- Unary (BinOp (Lambda / 'throw' Expr / Unary) / 'is' Pattern / 'as' TypeAs / 'switch' @{Arms} / 'with' @{ArrayInit} / '..' Unary?)*
