@@ -389,3 +389,17 @@ def x03_extract_references(spark, d):
 def r08_resolve_imports(spark, d):
     rel = relations(_texts(spark, d))
     return resolve_imports(rel["imports"], table(spark, d, "files"))
+
+
+@query()
+def g01_flow_nodes(spark, d):
+    from codeloom.flow.tables import file_graphs
+
+    return file_graphs(_texts(spark, d)).select("file_id", "line", "name", F.inline("nodes").alias("node", "kind", "label", "node_line"))
+
+
+@query()
+def g02_flow_edges(spark, d):
+    from codeloom.flow.tables import file_graphs
+
+    return file_graphs(_texts(spark, d)).select("file_id", "line", "name", F.inline("edges").alias("source", "target", "label"))

@@ -659,6 +659,20 @@ def csharp(source: str, file: str, name: str, scope: str | None, line: int) -> t
 
 
 _LANGUAGES = {"rust": rust, "csharp": csharp}
+_FINDERS = {"rust": _RustFinder, "csharp": _CSharpFinder}
+
+
+def functions(language: str, source: str, file: str):
+    """Graphs of all functions of a text that have one."""
+    if language not in _LANGUAGES:
+        return
+    finder = _FINDERS[language](source, language)
+    finder.run()
+    for at, scope, *_ in finder.found:
+        try:
+            yield flow(language, source, file, finder.x.t[at], scope, finder.x.place(at)[0])
+        except FlowError:
+            continue
 
 
 def flow(language: str, source: str, file: str, name: str, scope: str | None, line: int) -> dict:

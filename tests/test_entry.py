@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from codeloom import conformance, problems
+from codeloom import conformance, fixtures, problems
 from tools.compare import frame
 
-NAMED = {**conformance.SQL, **problems.SQL}
+NAMED = {**conformance.SQL, **fixtures.SQL, **problems.SQL}
 
 
 @pytest.fixture(scope="module")
