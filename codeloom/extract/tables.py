@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import materialize
+from codeloom.session import materialize, spread
 
 _SYMBOL = "struct<name:string,kind:string,line:bigint,column:bigint,end_line:bigint,visibility:string,scope:string>"
 _IMPORT = "struct<import_path:string,alias:string,names:array<string>>"
@@ -47,7 +47,7 @@ def parse_files(texts: DataFrame) -> DataFrame:
                 names=["file_id", "path", "symbols", "imports", "references", "error"],
             )
 
-    return texts.select("file_id", "path", "language", "content").mapInArrow(go, schema)
+    return spread(texts.select("file_id", "path", "language", "content")).mapInArrow(go, schema)
 
 
 def relations(texts: DataFrame) -> dict[str, DataFrame]:

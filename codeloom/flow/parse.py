@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 from codeloom.extract.scan import CSharp, Rust, Tokens
-from codeloom.flow.graph import Arm, Call, FlowError, Step, label, left_label, one_line
+from codeloom.flow.graph import Arm, Builder, Call, FlowError, Step, label, left_label, one_line
 
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 
@@ -610,15 +612,12 @@ def locate(found: list, x: Tokens, name: str, scope: str | None, line: int):
     return named[0] if len(named) == 1 else None
 
 
-def rust(source: str, file: str, name: str, scope: str | None, line: int) -> tuple[dict, list[Step]]:
-    finder = _RustFinder(source, "rust")
-    finder.run()
-    hit = locate(finder.found, finder.x, name, scope, line)
-    if hit is None:
-        raise FlowError(f"no function body for {f'{scope}.' if scope else ''}{name} at {file}:{line} (the index may be stale)")
+def rust(finder: _RustFinder, hit: tuple, file: str, name: str, scope: str | None, line: int) -> tuple[dict, list[Step]]:
     at, _, first, brace, end = hit
     x, b = finder.x, RustBody(finder.x)
     opening = x.angles(at + 1)
+    if x.tok(opening) != "(" or opening not in x.match:
+        raise FlowError(f"{name} has no parameter list at {file}:{line}")
     arrow = b.find(x.after(opening), brace, "->")
     where = b.find(arrow, brace, "where")
     info = {
@@ -628,12 +627,7 @@ def rust(source: str, file: str, name: str, scope: str | None, line: int) -> tup
     return info, b.block(brace, True)
 
 
-def csharp(source: str, file: str, name: str, scope: str | None, line: int) -> tuple[dict, list[Step]]:
-    finder = _CSharpFinder(source, "csharp")
-    finder.run()
-    hit = locate(finder.found, finder.x, name, scope, line)
-    if hit is None:
-        raise FlowError(f"no function body for {f'{scope}.' if scope else ''}{name} at {file}:{line} (the index may be stale)")
+def csharp(finder: _CSharpFinder, hit: tuple, file: str, name: str, scope: str | None, line: int) -> tuple[dict, list[Step]]:
     at, owner, first, body, end = hit
     x, b = finder.x, CSharpBody(finder.x)
     opening = x.angles(at + 1)
@@ -645,6 +639,8 @@ def csharp(source: str, file: str, name: str, scope: str | None, line: int) -> t
     while x.tok(k) in CSharp._MODS:
         k += 1
     has = x.tok(opening) == "("
+    if has and opening not in x.match:
+        raise FlowError(f"{name} has no parameter list at {file}:{line}")
     info = {
         "name": name, "scope": scope, "file": file, "line": b.line(first), "end_line": x.end_line(end), "language": "csharp",
         "params": b.parts(opening + 1, x.match[opening]) if has else [], "returns": label(b.text(k, at)) if k < at else None,
@@ -662,26 +658,35 @@ _LANGUAGES = {"rust": rust, "csharp": csharp}
 _FINDERS = {"rust": _RustFinder, "csharp": _CSharpFinder}
 
 
+def _scan(language: str, source: str):
+    if language not in _LANGUAGES:
+        raise FlowError(f"flow does not support {language} yet (supported: rust, csharp)")
+    sys.setrecursionlimit(1_000_000)  # nested statements; calls between Python functions take no C stack
+    finder = _FINDERS[language](source, language)
+    finder.run()
+    return finder
+
+
 def functions(language: str, source: str, file: str):
     """Graphs of all functions of a text that have one."""
     if language not in _LANGUAGES:
         return
-    finder = _FINDERS[language](source, language)
-    finder.run()
-    for at, scope, *_ in finder.found:
+    finder = _scan(language, source)
+    for hit in finder.found:
         try:
-            yield flow(language, source, file, finder.x.t[at], scope, finder.x.place(at)[0])
-        except FlowError:
-            continue
+            info, steps = _LANGUAGES[language](finder, hit, file, finder.x.t[hit[0]], hit[1], finder.x.place(hit[0])[0])
+            yield Builder(info).build(steps)
+        except (FlowError, LookupError):
+            continue  # a text that does not parse may have functions without a graph
 
 
 def flow(language: str, source: str, file: str, name: str, scope: str | None, line: int) -> dict:
     """``{function, nodes, edges}`` of one function; FlowError where there is none."""
-    from codeloom.flow.graph import Builder
-
-    if language not in _LANGUAGES:
-        raise FlowError(f"flow does not support {language} yet (supported: rust, csharp)")
-    info, steps = _LANGUAGES[language](source, file, name, scope, line)
+    finder = _scan(language, source)
+    hit = locate(finder.found, finder.x, name, scope, line)
+    if hit is None:
+        raise FlowError(f"no function body for {f'{scope}.' if scope else ''}{name} at {file}:{line} (the index may be stale)")
+    info, steps = _LANGUAGES[language](finder, hit, file, name, scope, line)
     return Builder(info).build(steps)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
+
 GRAPH = (
     "symbol_id long, function struct<name:string,scope:string,file:string,line:long,end_line:long,language:string,params:array<string>,returns:string>, "
     "nodes array<struct<id:int,kind:string,label:string,line:long>>, edges array<struct<from:int,to:int,label:string>>, error string"
@@ -69,7 +71,7 @@ def file_graphs(texts: DataFrame) -> DataFrame:
     schema = pa.schema([("file_id", pa.int64()), ("line", pa.int64()), ("name", pa.string()), ("scope", pa.string()), ("nodes", pa.list_(n)), ("edges", pa.list_(e))])
     out = "file_id long, line long, name string, scope string, nodes array<struct<id:int,kind:string,label:string,line:long>>, edges array<struct<from:int,to:int,label:string>>"
     use = texts.where(F.col("language").isin("rust", "csharp"))
-    return use.select("file_id", "path", "language", "content").mapInArrow(go, out)
+    return spread(use.select("file_id", "path", "language", "content")).mapInArrow(go, out)
 
 
 def node_rows(graphs: DataFrame) -> DataFrame:

@@ -79,6 +79,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give work in Python all cores where the scan has fewer partitions.
+
+    A table in one small file is one partition; it is dealt out once.  A table
+    with at least as many partitions as cores stays as it is, so large inputs
+    never move for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def fs(spark: SparkSession, path: str):
     """Hadoop FileSystem and Path class for ``path`` (any scheme)."""
     jvm = spark.sparkContext._jvm

@@ -153,3 +153,14 @@ def test_many_functions(spark):
     g = flow_graphs(df)
     assert {r.symbol_id: r.error is None for r in g.collect()} == {1: True, 2: False, 3: False}
     assert node_rows(g).count() == 4 and edge_rows(g).count() == 3
+
+
+def test_broken_and_deep_texts():
+    from codeloom.flow.parse import functions
+
+    for text in ("fn f(", "fn f() { if x { ", "fn f(a { } fn g() { h() }", "fn { }", "fn f() { match x { A => ", "}}}} fn f() { }"):
+        list(functions("rust", text, "a.rs"))
+    for text in ("class C { int F(", "class C { int F( { } }", "class C { void F() { switch (x) { case ", "class C { void F() { try { } } }", "class C { int F() => "):
+        list(functions("csharp", text, "a.cs"))
+    chain = "if a { b(); } " + "else if a { b(); } " * 3000
+    assert len(rust(chain)["nodes"]) == 2 + 2 * 3001
