@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import materialize
+from codeloom.session import materialize, spread
 
 BITS = 18
 GRAMS = (4, 8)
@@ -313,7 +313,7 @@ class Detector:
         import numpy as np
 
         sets = [np.frombuffer(bytes(r[0]), np.uint64) for r in self.releases.toLocalIterator()] if self.releases is not None else []
-        marked = with_known(tree, packages).select("file_id", "path", "content", "known")
+        marked = with_known(spread(tree.select("file_id", "path", "content")), packages).select("file_id", "path", "content", "known")
         blocks = [sets[i : i + RELEASE_BLOCK] for i in range(0, len(sets), RELEASE_BLOCK)] or [[]]
         parts = [self._pass(marked, Releases(b)) for b in blocks]
         if len(parts) == 1:
@@ -390,7 +390,7 @@ def learn(tree: DataFrame, symbols: DataFrame, packages: DataFrame, look: int =
         return Detector({}, bits)
     share = min(1.0, look / n)
     draw = F.pmod(F.xxhash64("file_id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))
-    marked = with_known(tree, packages)
+    marked = with_known(spread(tree.select("file_id", "repo", "path", "content")), packages)
     drawn = marked.where(draw & ~F.col("known"))
     one = materialize(marked.where("known").select("file_id", F.sha2("content", 256).alias("h")), "releases").groupBy("h").agg(F.min("file_id").alias("file_id"))
     one = materialize(one, "release-ids")

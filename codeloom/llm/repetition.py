@@ -18,6 +18,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
+
 RUN, TIMES, LEAST = 10, 3, 0.5
 #: Texts on which the rules' cost and selectivity are estimated.
 SAMPLE_ROWS = 400
@@ -175,7 +177,7 @@ def repetitive(docs: DataFrame, key: str = "doc_id", text: str = "text", run: in
                 yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(at)), pa.array(share, pa.float64())], names=[key, "repeated_share"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).mapInArrow(go, f"`{key}` {kind}, repeated_share double")
+    return spread(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))).mapInArrow(go, f"`{key}` {kind}, repeated_share double")
 
 
 def measure(text: str, run: int = RUN, times: int = TIMES) -> tuple[int, float, float, float, float]:
@@ -229,6 +231,6 @@ def shares(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int =
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).mapInArrow(
+    return spread(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))).mapInArrow(
         go, f"`{key}` {kind}, n_words long, phrase_share double, sentence_share double, paragraph_share double, repeated_share double"
     )

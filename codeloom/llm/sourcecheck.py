@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.grammars import TEXTS, grammar
-from codeloom.session import materialize
+from codeloom.session import materialize, spread
 
 _MARKER = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}$")
 #: A text of another language fails within so many tokens.
@@ -84,7 +84,7 @@ def judge(df: DataFrame, keep: list[str], language: str = "language", text: str
 
     cols = [F.col(f"`{c}`") for c in keep]
     lead = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*cols, F.col(f"`{language}`").alias("_lang"), F.col(f"`{text}`").alias("_text")).mapInArrow(go, f"{lead}, {_FIELDS}")
+    return spread(df.select(*cols, F.col(f"`{language}`").alias("_lang"), F.col(f"`{text}`").alias("_text"))).mapInArrow(go, f"{lead}, {_FIELDS}")
 
 
 def check_files(tree: DataFrame, files: DataFrame) -> DataFrame:

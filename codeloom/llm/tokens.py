@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.session import spread
+
 #: Where the vocabulary files are; a parameter of every operator that counts tokens.
 VOCABULARY = os.environ.get("CODELOOM_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 
@@ -46,4 +48,4 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "text", vocabulary:
 
     cols = [F.col(f"`{c}`") for c in keep]
     schema = T.StructType([*df.select(*cols).schema.fields, T.StructField("n_tokens", T.LongType())])
-    return df.select(*cols, F.col(f"`{text}`").alias("_text")).mapInArrow(count, schema)
+    return spread(df.select(*cols, F.col(f"`{text}`").alias("_text"))).mapInArrow(count, schema)
