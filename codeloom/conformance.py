@@ -124,7 +124,7 @@ def l03_symbols_page(spark, d):
 
 
 @query(f"{_LOC} SELECT {_PAGE} FROM located WHERE regexp_matches(name, '^(get|set|load)_?[A-Za-z]') {_ORD}")
-def p04_grep_symbols(spark, d):
+def predicate_p04_grep(spark, d):
     return index(spark, d).list_symbols(pattern="^(?P<verb>get|set|load)_?[A-Za-z]").select(*_PAGE_COLS)
 
 
@@ -364,6 +364,22 @@ def a12_run_statistics(spark, d):
     return table(spark, d, "index_runs").groupBy("run_no").agg(F.count(F.lit(1)).alias("runs"), z("files_indexed"), z("files_errored"))
 
 
+@query("SELECT DISTINCT file_id FROM raw_references WHERE file_id IN (SELECT id FROM files)")
+def u02_indexed_members(spark, d):
+    f = table(spark, d, "files").select(F.col("id").alias("file_id"))
+    return table(spark, d, "raw_references").select("file_id").distinct().join(f, "file_id", "left_semi")
+
+
+@query("SELECT DISTINCT path FROM file_feed WHERE path NOT IN (SELECT path FROM files) AND path IS NOT NULL")
+def u03_paths_not_indexed(spark, d):
+    return table(spark, d, "file_feed").select("path").where("path is not null").distinct().join(table(spark, d, "files").select("path"), "path", "left_anti")
+
+
+@query(f"WITH {_SYM} SELECT s.id AS symbol_id, f.path FROM allsym s JOIN files f ON f.id = s.file_id WHERE s.docid IS NOT NULL")
+def predicate_p07_not_null(spark, d):
+    return index(spark, d).located().where("docid is not null").select(F.col("id").alias("symbol_id"), "path")
+
+
 # -- extraction over whole texts (no SQL; tested on fixtures) ------------------
 def _texts(spark, d):
     f = table(spark, d, "files").select(F.col("id").alias("file_id"), "language")

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.extract.tables import parse_files
+from codeloom.flow import render
 from codeloom.flow.parse import flow
+from codeloom.functions import text as T
 from codeloom.operators import maintenance as M
 from codeloom.plans.resolve import resolve_imports
 from codeloom.schema import FILES, IMPORTS, REFERENCES, SYMBOLS
@@ -186,3 +188,61 @@ def g03_rust_flow(spark):
 def g04_csharp_flow(spark):
     text = "class K { int F(int n) {\n try { switch (n) { case 1: case 2: A(); break; default: return 3; } }\n catch (E e) when (Ok(e)) { }\n finally { Close(); }\n return n switch { > 0 when B() => C(), _ => 2 };\n} }\n"
     return _edges(spark, "csharp", text, "F")
+
+
+_FLOW = "fn f() { if a() { return; } b()? }"
+
+
+@expects({"line_no": "BIGINT", "text": "VARCHAR"}, [
+    (1, "#0 entry f() :1"), (2, "#2 call a(…) :1"), (3, "#3 branch a() :1"), (4, "  [true]"), (5, "    #4 return return :1"), (6, "    #1 exit end :1"), (7, "  [false]"),
+    (8, "    #5 call b(…) :1"), (9, "      ! Err ? -> #1"), (10, "    #6 return b()? :1"), (11, "    -> #1 exit (end)"),
+])
+def k07_flow_tree(spark):
+    return _lines(spark, render.tree(flow("rust", _FLOW, "f", "f", None, 1)))
+
+
+@expects({"line_no": "BIGINT", "text": "VARCHAR"}, [
+    (1, "flowchart TD"), (2, '  n0(["f()"])'), (3, '  n1(["end"])'), (4, '  n2["a(…)"]'), (5, '  n3{"a()"}'), (6, '  n4[/"return"/]'), (7, '  n5["b(…)"]'), (8, '  n6[/"b()?"/]'),
+    (9, "  n0 --> n2"), (10, "  n2 --> n3"), (11, '  n3 -->|"true"| n4'), (12, "  n4 --> n1"), (13, '  n3 -->|"false"| n5'), (14, '  n5 -->|"Err ?"| n1'), (15, "  n5 --> n6"), (16, "  n6 --> n1"),
+])
+def k08_flow_mermaid(spark):
+    return _lines(spark, render.mermaid(flow("rust", _FLOW, "f", "f", None, 1)))
+
+
+def _lines(spark, text):
+    return spark.createDataFrame(list(enumerate(text.splitlines(), 1)), "line_no long, text string")
+
+
+@expects({"target": "VARCHAR", "name": "VARCHAR", "scope": "VARCHAR", "file": "VARCHAR"}, [
+    ("pay", "pay", None, None), ("src/a.py:pay", "pay", None, "src/a.py"), ("src/a.py", None, None, "src/a.py"), ("a.py", None, None, "a.py"), ("Cart.total", "total", "Cart", None), ("a::b", "b", None, "a:"), ("a.b.c", "a.b.c", None, None),
+])
+def q10_targets(spark):
+    from codeloom.cli import parse_target
+
+    made = [(t, *[getattr(parse_target(t), k) for k in ("name", "scope", "file")]) for t in ("pay", "src/a.py:pay", "src/a.py", "a.py", "Cart.total", "a::b", "a.b.c")]
+    return spark.createDataFrame(made, "target string, name string, scope string, file string")
+
+
+@expects({"case_no": "BIGINT", "collapsed": "VARCHAR", "unquoted": "VARCHAR", "escaped": "VARCHAR", "short": "VARCHAR", "stem": "VARCHAR", "found": "BOOLEAN"}, [
+    (1, "a b c", "x/y", "say #quot;hi#quot;", "0123456", "mod", True), (2, "", "", "", "", "", False), (3, None, None, None, None, None, None),
+])
+def f08_text_functions(spark):
+    df = spark.createDataFrame([(1, " a\t b\n c ", '"x/y"', 'say "hi"', "0123456789", "src/mod.rs"), (2, "", "", "", "", ""), (3, None, None, None, None, None)], "case_no long, a string, b string, c string, d string, e string")
+    return df.select(
+        "case_no", T.collapse(F.col("a")).alias("collapsed"), T.unquote(F.col("b")).alias("unquoted"), T.mermaid_escape(F.col("c")).alias("escaped"), T.short_commit(F.col("d")).alias("short"), T.stem(F.col("e")).alias("stem"),
+        T.grep(F.col("e"), "(?P<dir>src)/").alias("found"),
+    )
+
+
+@expects({"type": "VARCHAR", "docid": "VARCHAR", "file": "VARCHAR", "line": "BIGINT"}, [("definition", "M:a", "a.cs", 1), ("reference", "M:a", "b.cs", 2)])
+def s14_helper_records(spark):
+    from codeloom.session import work_dir
+    from codeloom.sources import ndjson
+
+    lines = ['{"type":"ping","available":true,"protocol_version":1}'] + ['{"type":"definition","docid":"M:a","name":"a","file":"a.cs","start_line":1,"start_col":1}'] * 2
+    lines += ['{"type":"reference","docid":"M:a","file":"b.cs","line":2,"col":3,"is_definition":false}', '{"type":"reference","docid":"M:x","file":"b.cs","line":9,"col":1}', '{"type":"later"}']
+    path = work_dir(spark, "records")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    rec = ndjson.read_records(spark, path)
+    d = ndjson.definitions(rec).select(F.lit("definition").alias("type"), "docid", "file", F.col("start_line").alias("line"))
+    return d.unionByName(ndjson.references(rec).select(F.lit("reference").alias("type"), "docid", "file", "line"))

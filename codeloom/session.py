@@ -9,6 +9,7 @@ made and set.
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
@@ -29,14 +30,20 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
+    try:
+        path = f"{shared_dir(spark)}/codeloom/code-{uuid.uuid4().hex}/codeloom.zip"
+    except RuntimeError:
+        return  # no shared folder: the package has to come with the application
     package = Path(__file__).resolve().parent
-    made = Path(tempfile.mkdtemp(prefix="codeloom-code-"))
-    atexit.register(shutil.rmtree, made, True)
-    archive = made / "codeloom.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(archive))
+    files, P = fs(spark, path)
+    out = files.create(P(path), True)
+    out.write(bytearray(made.getvalue()))
+    out.close()
+    sc.addPyFile(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
