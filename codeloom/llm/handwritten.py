@@ -224,19 +224,27 @@ def fit(rows: list[tuple[str, str, object]], bits: int = BITS) -> dict[str, Mach
         scored = sorted(((fitted.score(x), y) for r, x, y in use if held(r)), reverse=True)
         whole = train([x for _, x, _ in use], [y for _, _, y in use], bits=bits)
         positives = sum(y > 0 for _, y in scored)
-        best, hit = (-1.0, 1.0 if kind == "vendored" else 0.0, 0.0, 0.0), 0
-        for k, (s, y) in enumerate(scored):
+        # (F1, cut, precision, recall): the best cut, and the best where hardly a hand-written file is above it
+        none = (-1.0, 0.0, 0.0, 0.0)
+        best, safe, hit = none, (-1.0, 1.0, 0.0, 0.0), 0
+        for k, (s, y) in enumerate(scored if positives else []):
             hit += y > 0
             low = scored[k + 1][0] if k + 1 < len(scored) else s - 1
-            f1 = 2 * hit / (k + 1 + positives)
             # the middle of the gap; of equal cuts the one nearest to zero
             cut = min(max(0.0, low), s) if low <= 0 <= s else (low + s) / 2
-            sure = kind != "vendored" or hit >= 0.995 * (k + 1)  # below, the check against the releases decides
-            if positives and sure and (f1, -abs(cut)) > (best[0], -abs(best[1])):
-                best = (f1, cut, hit / (k + 1), hit / positives)
+            made = (2 * hit / (k + 1 + positives), cut, hit / (k + 1), hit / positives)
+            rank = lambda x: (x[0], -abs(x[1]))
+            best = max(best, made, key=rank)
+            if hit >= 0.995 * (k + 1):
+                safe = max(safe, made, key=rank)
         if positives:
-            whole.threshold, whole.precision, whole.recall = best[1:]
+            # the vendored machine decides alone only where it is sure; below, the check against the releases does
+            whole.threshold = (safe if kind == "vendored" else best)[1]
+            whole.precision, whole.recall = best[2:]
             whole.loose = min(whole.threshold, min(s for s, y in scored if y > 0)) - 0.1
+        elif kind == "vendored":
+            # nothing to set a cut by: every file is checked
+            whole.threshold, whole.loose = 1.0, float("-inf")
         out[kind] = whole
     return out
 
