@@ -85,7 +85,7 @@ _REF = {"symbol_name": "VARCHAR", "line": "BIGINT", "column": "BIGINT", "from_sc
 
 @expects(_REF, [("pay", 2, 4, None, False), ("rate", 2, 8, None, False), ("format", 3, 10, None, True)])
 def x22_usages(spark):
-    df = spark.createDataFrame([(1, "p", "python", "def f():\n    pay(rate())\n    money.format(1)\n")], "file_id long, path string, language string, content string")
+    df = spark.createDataFrame([(1, "p", "python", "def f():\n    pay(rate())\n    label.format(1)\n")], "file_id long, path string, language string, content string")
     return parse_files(df).select(F.inline("references")).select(*_REF)
 
 
@@ -99,14 +99,14 @@ def x16_import_bindings(spark):
 
 
 _CASES = [
-    ("src/app.ts", "typescript", "./util/money", ["src/util/money.ts"], 0),
-    ("src/app.ts", "typescript", "./money.js", ["src/money.ts"], 0),
+    ("src/app.ts", "typescript", "./util/price", ["src/util/price.ts"], 0),
+    ("src/app.ts", "typescript", "./price.js", ["src/price.ts"], 0),
     ("src/app.ts", "typescript", "./util", ["src/util/index.ts"], 0),
     ("src/app.ts", "typescript", "react", ["react.ts"], None),
     ("pkg/sub/a.py", "python", "..b", ["pkg/b.py", "pkg/__init__.py"], 0),
     ("pkg/a.py", "python", "json", ["pkg/__init__.py", "pkg/json.py"], None),
     ("a/b/run.py", "python", "m", ["m.py", "a/m.py"], 1),
-    ("src/main.rs", "rust", "crate::db::Database", ["src/db.rs", "src/db/Database.rs"], 1),
+    ("src/main.rs", "rust", "crate::store::Table", ["src/store.rs", "src/store/Table.rs"], 1),
     ("src/a.rs", "rust", "self::inner::f", ["src/lib.rs", "src/a/inner.rs"], 1),
     ("src/a/b/c.rs", "rust", "super::super::d", ["src/lib.rs", "src/a/d.rs"], 1),
     ("src/a.rs", "rust", "super::super::x", ["src/lib.rs", "x.rs"], None),

@@ -5,12 +5,12 @@ from codeloom.operators import maintenance as M
 from codeloom.plans.index import Index, bind_references
 from codeloom.schema import FILES, IMPORTS, REFERENCES, SYMBOLS, evolve
 
-PATHS = ["src/util/money.ts", "src/legacy/money.ts", "src/domain/cart.ts", "src/audit.ts", "src/Glob_als.ts"]
+PATHS = ["src/util/price.ts", "src/legacy/price.ts", "src/domain/basket.ts", "src/audit.ts", "src/Glob_als.ts"]
 
 
 def make(spark, imports, references, symbols=None, n=len(PATHS)):
     files = [(i, p, f"h{i}", "typescript", None) for i, p in enumerate(PATHS[:n], 1)]
-    symbols = symbols or [(11, "formatMoney", "fn", 1), (12, "formatMoney", "fn", 2)]
+    symbols = symbols or [(11, "showPrice", "fn", 1), (12, "showPrice", "fn", 2)]
     sym = [(i, name, kind, f, 1, 0, 1, "pub", None, None) for i, name, kind, f in symbols]
     imp = [(k, s, p, None, names, r) for k, (s, p, names, r) in enumerate(imports, 1)]
     ref = [(k, s, f, line, 0, q) for k, (s, f, line, q) in enumerate(references, 1)]
@@ -24,15 +24,15 @@ def sites(i):
 def test_attribution_matrix(spark):
     both = lambda f, line, q=False: [(11, f, line, q), (12, f, line, q)]
     # the imported definition owns a bare usage; a qualified one keeps all; the own file keeps its own
-    i = make(spark, [(3, "../util/money", ["formatMoney"], 1)], both(3, 5) + both(3, 6, True) + both(2, 7) + both(5, 8) + both(3, 5))
-    cart, legacy, glob = PATHS[2], PATHS[1], PATHS[4]
-    assert sites(i) == {(11, cart, 5), (11, cart, 6), (12, cart, 6), (11, legacy, 7), (12, legacy, 7), (11, glob, 8), (12, glob, 8)}
+    i = make(spark, [(3, "../util/price", ["showPrice"], 1)], both(3, 5) + both(3, 6, True) + both(2, 7) + both(5, 8) + both(3, 5))
+    basket, legacy, glob = PATHS[2], PATHS[1], PATHS[4]
+    assert sites(i) == {(11, basket, 5), (11, basket, 6), (12, basket, 6), (11, legacy, 7), (12, legacy, 7), (11, glob, 8), (12, glob, 8)}
     # an alias, an unresolved import and a barrel that defines nothing decide nothing
-    for imports in ([(3, "../util/money", ["fm"], 1)], [(3, "pkg", ["formatMoney"], None)], [(3, "../audit", ["formatMoney"], 4)]):
-        assert sites(make(spark, imports, both(3, 5))) == {(11, cart, 5), (12, cart, 5)}
+    for imports in ([(3, "../util/price", ["fm"], 1)], [(3, "pkg", ["showPrice"], None)], [(3, "../audit", ["showPrice"], 4)]):
+        assert sites(make(spark, imports, both(3, 5))) == {(11, basket, 5), (12, basket, 5)}
     # one name bound to two files: both are answers
-    two = [(3, "a", ["formatMoney"], 1), (3, "b", ["formatMoney"], 2)]
-    assert sites(make(spark, two, both(3, 5))) == {(11, cart, 5), (12, cart, 5)}
+    two = [(3, "a", ["showPrice"], 1), (3, "b", ["showPrice"], 2)]
+    assert sites(make(spark, two, both(3, 5))) == {(11, basket, 5), (12, basket, 5)}
 
 
 def test_transitive_cycles_depth_and_order(spark):

@@ -4,10 +4,10 @@ from codeloom.plans.resolve import normalize, resolve_imports
 
 CASES = [
     # source, language, specifier, other files, expected
-    ("src/app.ts", "typescript", "./util/money", ["src/util/money.ts"], "src/util/money.ts"),
-    ("src/a/b/c.ts", "typescript", "../../util/money", ["src/util/money.ts"], "src/util/money.ts"),
-    ("src/app.ts", "typescript", "./money.js", ["src/money.ts"], "src/money.ts"),
-    ("src/app.ts", "typescript", "./money.js", ["src/money.ts", "src/money.js"], "src/money.js"),
+    ("src/app.ts", "typescript", "./util/price", ["src/util/price.ts"], "src/util/price.ts"),
+    ("src/a/b/c.ts", "typescript", "../../util/price", ["src/util/price.ts"], "src/util/price.ts"),
+    ("src/app.ts", "typescript", "./price.js", ["src/price.ts"], "src/price.ts"),
+    ("src/app.ts", "typescript", "./price.js", ["src/price.ts", "src/price.js"], "src/price.js"),
     ("src/app.ts", "typescript", "./util", ["src/util/index.ts", "src/util.tsx"], "src/util.tsx"),
     ("src/app.js", "javascript", ".", ["src/index.js"], "src/index.js"),
     ("src/a/app.ts", "typescript", "..", ["src/index.ts"], "src/index.ts"),
@@ -23,9 +23,9 @@ CASES = [
     ("pkg/a.py", "python", "json", ["pkg/__init__.py", "pkg/json.py"], None),
     ("scripts/run.py", "python", "helper", ["scripts/helper.py"], "scripts/helper.py"),
     ("a/b/run.py", "python", "m", ["m.py", "a/m.py"], "a/m.py"),
-    ("src/main.rs", "rust", "crate::db::Database", ["src/db.rs"], "src/db.rs"),
-    ("src/main.rs", "rust", "crate::db::Database", ["src/db.rs", "src/db/Database.rs"], "src/db/Database.rs"),
-    ("src/a/b.rs", "rust", "crate::db::open", ["src/lib.rs", "src/db/mod.rs"], "src/db/mod.rs"),
+    ("src/main.rs", "rust", "crate::store::Table", ["src/store.rs"], "src/store.rs"),
+    ("src/main.rs", "rust", "crate::store::Table", ["src/store.rs", "src/store/Table.rs"], "src/store/Table.rs"),
+    ("src/a/b.rs", "rust", "crate::store::open", ["src/lib.rs", "src/store/mod.rs"], "src/store/mod.rs"),
     ("src/a.rs", "rust", "self::inner::f", ["src/lib.rs", "src/a/inner.rs"], "src/a/inner.rs"),
     ("src/a/mod.rs", "rust", "self::inner", ["src/lib.rs", "src/a/inner.rs"], "src/a/inner.rs"),
     ("src/a/b.rs", "rust", "super::c::X", ["src/lib.rs", "src/a/c.rs"], "src/a/c.rs"),
