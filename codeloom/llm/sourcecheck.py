@@ -18,8 +18,6 @@ from codeloom.llm.grammars import TEXTS, grammar
 from codeloom.session import materialize, spread
 
 _MARKER = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}$")
-#: A text of another language fails within so many tokens.
-EARLY = 80
 _FIELDS = "valid boolean, line long, column long, cause string"
 
 
@@ -27,8 +25,8 @@ def verdict(text: str | None, language: str | None) -> tuple[bool | None, int |
     """(valid, line, column, cause) of one text.
 
     Line is 1-based, column 0-based, both of the furthest failure.  Causes:
-    ``unreadable`` (null text), ``merge_conflict``, ``wrong_language`` (it fails
-    within its first tokens and another grammar takes it), ``truncated`` (the failure is the end of the
+    ``unreadable`` (null text), ``merge_conflict``, ``wrong_language`` (more
+    than 20 tokens, and another grammar takes it), ``truncated`` (the failure is the end of the
     input), ``unbalanced`` (a bracket without its partner), ``syntax``.  A
     language without grammar gives nulls.  An empty text is valid except in Go,
     which needs a package clause.
@@ -52,10 +50,10 @@ def _cause(text: str, language: str, kinds: str, at: int, line: int, token: str)
     marks = [k for k, s in enumerate(lines, 1) if _MARKER.match(s)]
     if marks and marks[0] - 1 <= line <= marks[-1] + 1:
         return "merge_conflict"
-    for other in TEXTS if at < EARLY else ():
+    for other in TEXTS if len(kinds) > 20 else ():
         if {other, language} <= {"javascript", "typescript"} and other == "javascript":
             continue
-        if other != language and (g := grammar(other)).accepts(g.scanner.scan(text)) and len(kinds) > 20:
+        if other != language and (g := grammar(other)).accepts(g.scanner.scan(text)):
             return "wrong_language"
     if not token.strip() or at >= len(kinds) - 1:
         return "truncated"

@@ -91,6 +91,12 @@ def test_furthest_failure_and_causes():
     assert verdict(None, "go") == (False, None, None, "unreadable") and verdict("x", "cobol")[0] is None
 
 
+def test_another_language_is_named_however_late_the_text_fails():
+    plain = "".join(f"const a{k} = {k};\n" for k in range(200))
+    assert verdict(plain + "const b: number = 1;\n", "javascript") == (False, 201, 7, "wrong_language")
+    assert verdict(plain + "const b = = 1;\n", "javascript")[3] == "syntax"
+
+
 def test_files(spark):
     tree = spark.createDataFrame([(1, "r", "r/a.py", "x = 1\n"), (2, "r", "r/b.py", "x = \n"), (3, "q", "q/c.go", None), (4, "q", "q/d.txt", "x"), (5, "q", "q/e.js", "const x: number = 1\n"), (6, "q", "q/f.js", "let a")], "file_id long, repo string, path string, content string")
     files = spark.createDataFrame([(1, "python"), (2, "python"), (3, "go"), (4, "none"), (5, "typescript")], "id long, language string")
