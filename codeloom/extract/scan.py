@@ -32,11 +32,10 @@ class Tokens:
         self.text = clean(text, language)
         self.breaks = [k for k, c in enumerate(self.text) if c == "\n"]
         self.t, self.k, self.at = [], [], []
-        for m in s.pattern.finditer(self.text):
-            if m[1]:
-                self.t.append(m[1])
-                self.k.append(s.cache[m[1]])
-                self.at.append(m.start(1))
+        for at, token, kinds in s.places(self.text):
+            self.t.append(token)
+            self.k.append(kinds)
+            self.at.append(at)
         self.n = len(self.t)
         self.match: dict[int, int] = {}
         stack: list[int] = []

@@ -5,13 +5,16 @@ A scanner turns text into tokens with one compiled pattern and tokens into
 bracket matching, grammars, declaration scans) works on a short string.  All
 identifiers share a kind, each keyword and operator has its own.  A token that
 no rule of the language allows has the kind ``BAD``.
+
+The pattern takes nested literals and comments only as deep as a regular
+expression can; where it gives up, ``Scanner.exact`` scans again with a stack.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 IDENT, NUM, STR, CHAR, REGEX, TEMPLATE, BAD, NEWLINE, SOFT = "a", "0", '"', "'", "/", "`", "\ufffd", "n", "N"
 INDENT, DEDENT, HOLE, HOLE_END, EOF = "\u2aa1", "\u2aa2", "\u00ab", "\u00bb", "\x00"
@@ -65,8 +68,12 @@ _SKIP = {
 _SKIP["typescript"] = _SKIP["javascript"]
 
 _DQ = r'"(?:[^"\\\n]|\\[^\n]|\\\n)*"'
-_TPL = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|`[^`]*`|\{[^{}]*\})*\})*`"
-_HOLE = r"\\\((?:[^()\"\n]|\"[^\"\n]*\"|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"
+# what these take is exact; deeper or ambiguous texts are left to ``Scanner.exact``
+_IN = r"""[^{}`"'/]++|"(?:[^"\\\n]|\\[^\n])*+"|'(?:[^'\\\n]|\\[^\n])*+'|`[^`\\$]*+`"""
+_TPL_HOLE = rf"(?:{_IN}|\{{(?:{_IN})*+\}})*+"
+_TPL = rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{{_TPL_HOLE}\}})*+`"
+_SIN = r'[^()"/{}]|/(?![/*])|"[^"\\\n]*+"'
+_HOLE = rf'\\\((?:[^()"\n/{{}}]|/(?![/*])|"[^"\\\n]*+"|\((?:{_SIN}|\((?:{_SIN}|\((?:{_SIN})*+\))*+\))*+\))*+\)'
 _PY = r"(?i:[rbu]|br|rb)?"
 _PF = r"(?i:f|fr|rf)"
 _BODY1 = r"(?:[^{Q\\\n]|\\[\s\S]|\{\{|\{(?:[^{}\nQ]|\"[^\"\n]*\"|'[^'\n]*'|\{[^{}\n]*\})*\})*"
@@ -74,13 +81,23 @@ _LITERALS = {
     "python": rf'{_PF}"""(?:[^\\]|\\[\s\S])*?"""|{_PF}\'\'\'(?:[^\\]|\\[\s\S])*?\'\'\'|{_PF}"{_BODY1.replace("Q", chr(34))}"|{_PF}\'{_BODY1.replace("Q", chr(39))}\''
     rf'|{_PY}"""(?:[^\\]|\\[\s\S])*?"""|{_PY}\'\'\'(?:[^\\]|\\[\s\S])*?\'\'\'|(?:{_PY}|{_PF}){_DQ}|(?:{_PY}|{_PF})\'(?:[^\'\\\n]|\\[\s\S])*\'',
     "javascript": rf"{_DQ}|'(?:[^'\\\n]|\\[\s\S])*'|{_TPL}",
-    "rust": r'b?r"[^"]*"|b?r\#"(?:[^"]|"(?!\#))*"\#|b?r\#\#"(?:[^"]|"(?!\#\#))*"\#\#|b?r\#\#\#"(?:[^"]|"(?!\#\#\#))*"\#\#\#|r\#[A-Za-z_]\w*|[bc]?"(?:[^"\\]|\\[\s\S])*"|b?\'(?:[^\'\\\n]|\\(?:u\{[^}]*\}|x[0-9a-fA-F]{2}|[^\n]))\'|\'[A-Za-z_]\w*(?!\')',
+    "rust": r'[bc]?r"[^"]*"|[bc]?r\#"(?:[^"]|"(?!\#))*"\#|[bc]?r\#\#"(?:[^"]|"(?!\#\#))*"\#\#|[bc]?r\#\#\#"(?:[^"]|"(?!\#\#\#))*"\#\#\#|[bc]?r\#+"|r\#[A-Za-z_]\w*|[bc]?"(?:[^"\\]|\\[\s\S])*"|b?\'(?:[^\'\\\n]|\\(?:u\{[^}]*\}|x[0-9a-fA-F]{2}|[^\n]))\'|\'[A-Za-z_]\w*(?!\')',
     "go": r"\"(?:[^\"\\\n]|\\[^\n])*\"|`[^`]*`|'(?:[^'\\\n]|\\[^\n][0-9a-fA-F]*)'",
-    "swift": rf'\#"(?:[^"\n]|"(?!\#))*"\#|"""\n(?:[^"\\]|\\[\s\S]|"(?!""))*"""|"(?:[^"\\\n]|{_HOLE}|\\[^(\n])*"|`\w+`',
+    "swift": rf'\#"(?:[^"\n\\]|"(?!\#)|\\(?!\#))*"\#|\#+"|"""\n(?:[^"\\]|{_HOLE}|\\[^(]|"(?!""))*"""|(?!"""\n)"(?:[^"\\\n]|{_HOLE}|\\[^(\n])*"|`\w+`',
     "csharp": r'\$*"""+(?:[^"]|"{1,2}(?!"))*"""+|(?:\$@|@\$|@)"(?:[^"]|"")*"|\$"(?:[^"\\\n{]|\\[^\n]|\{\{|\{(?:[^{}"\n]|"[^"\n]*"|\{[^{}\n]*\})*\})*"(?:u8)?|"(?:[^"\\\n]|\\[^\n])*"(?:u8)?|\'(?:[^\'\\\n]|\\[^\n][0-9a-fA-F]*)\'|@[A-Za-z_]\w*',
 }
 _LITERALS["typescript"] = _LITERALS["javascript"]
 
+#: What opens a literal or comment that may nest.
+_NESTS = {
+    "python": r"(?i:f|fr|rf)(?:\"{3}|'{3}|\"|')",
+    "javascript": "`",
+    "rust": r'[bc]?r\#*"|/\*',
+    "swift": r'\#*"""(?=\n)|\#*"|/\*',
+    "csharp": r'\$*"{3,}|(?:\$@|@\$|\$)"',
+}
+_NESTS["typescript"] = _NESTS["javascript"]
+
 _NUMBERS = {
     "python": r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d+)?[jJ]?|\d(?:_?\d)*[eE][+-]?\d+[jJ]?|\d(?:_?\d)*[jJ]|0(?:_?0)*|[1-9](?:_?\d)*)(?!\w)",
     "javascript": r"(?:0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:(?:0|[1-9][\d_]*)(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?|(?:0|[1-9][\d_]*)n)(?![\w$])",
@@ -92,6 +109,7 @@ _NUMBERS = {
 _NUMBERS["typescript"] = _NUMBERS["javascript"]
 
 _JSRE = r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"
+_JSRE_FIRST = re.compile(rf"\s*+({_JSRE})")
 _JSRE_AFTER = r"=>|&&|\|\||\?\?|===?|!==?|[(,=:\[!&|?{;+\-*%~^<>]|\b(?:return|typeof|case|in|of|delete|void|throw|else|do|await|yield)\b"
 
 #: Prior kinds after which a newline ends a Go statement; and tokens that carry an expression on or can't begin one.
@@ -114,8 +132,9 @@ _OPEN_END["typescript"] = _OPEN_END["javascript"].replace(" void ", " ").replace
 class Scanner:
     language: str
     kinds: dict[str, str] = field(default_factory=dict)
+    seen: list[str] = field(default_factory=list)
     #: the last text scanned with its kinds before layout and what layout replaced
-    last: tuple = (None, "", ())
+    last: tuple = (None, "", (), None)
 
     def __post_init__(self):
         lang = self.language
@@ -136,15 +155,27 @@ class Scanner:
         # brackets, comma and semicolon begin no longer operator, and only these characters begin a literal
         single = r"[()\[\]{},;]"
         begins = {"python": r"[\w\"']", "rust": r"[\w\"']", "go": r"[\"'`]", "swift": r"[#\"`]", "csharp": r"[$@\"']"}.get(lang, r"[\"'`]")
-        self.pattern = re.compile(
-            rf"(?:{_SKIP[lang]})*+({r"[)\]}]|[(\[{,;](?!\s*+/)|" + first if first else single + "|"}{start}(?![\"'#])|(?={begins})(?:{_LITERALS[lang]})|(?=[\d.])(?:{_NUMBERS[lang]}|\d\w*)|{single}|{start}|{newline}|{ordered}|[^\s]|\Z)"
+        # a comment deeper than the pattern goes is a token, so that it is seen
+        deep = r"/\*|" if lang in ("rust", "swift") else ""
+        skip = _SKIP[lang].replace("|" + _nested(), "")
+        rest = (
+            rf"{r"[)\]}]|[(\[{,;](?!\s*+/)|" + first if first else single + "|"}{start}(?![\"'#])|(?={begins})(?:{_LITERALS[lang]})|(?=[\d.])(?:{_NUMBERS[lang]}|\d\w*)|{single}|{start}|{newline}|{deep}{ordered}|[^\s]|\Z"
         )
+        self.pattern = re.compile(rf"(?:{_SKIP[lang]})*+({rest})")
+        self.nest = re.compile(_NESTS[lang]) if lang in _NESTS else None
+        self._opens = rf"(?:{skip})*+((?P<nest>{_NESTS.get(lang)})|{rest})"
         self.cache: dict[str, str] = _Cache(self._kind)
         self.k = lambda spec: "".join(IDENT if t == "ident" else NUM + STR + CHAR + REGEX + TEMPLATE if t == "literal" else self.kinds.get(t, "") for t in spec.split())
         if lang == "go":
             self.ends = self.k(_GO_END)
         elif lang in _CONTINUES:
             self.carry, self.open_end = self.k(_CONTINUES[lang]), self.k(_OPEN_END[lang]) + NEWLINE
+            self.carry, self.open_end = self.carry + HOLE_END, self.open_end + HOLE
+
+    @cached_property
+    def opens(self) -> re.Pattern:
+        """The pattern with openers in place of literals that may nest; few texts need it."""
+        return re.compile(self._opens)
 
     def _kind(self, t: str) -> str:
         fixed = self.kinds.get(t)
@@ -157,7 +188,7 @@ class Scanner:
             return chr(min(ord(_NL1), ord(_NL0) + len(t[1:].expandtabs(8)))) if lang == "python" else NEWLINE
         if lang in ("javascript", "typescript"):
             if c == "`" and len(t) > 1:
-                return TEMPLATE + self._holes(re.findall(r"\\.|\$\{((?:[^{}`]|`[^`]*`|\{[^{}]*\})*)\}", t[1:-1], re.S))
+                return TEMPLATE + self._holes(re.findall(rf"\\.|\$\{{({_TPL_HOLE})\}}", t[1:-1], re.S))
             if c == "/" and len(t) > 1:
                 return REGEX
             if (m := re.match(_JSRE_AFTER, t)) and t[-1] != t[0] and "/" in t and c not in "\"'":
@@ -165,13 +196,19 @@ class Scanner:
         if lang == "rust":
             if c == "'":
                 return CHAR if len(t) > 2 and t[-1] == "'" else "L" if len(t) > 1 else BAD
+            if t[-1] == '"' and t[-2:-1] == "#" and '"' not in t[:-1]:
+                return BAD
             if t.startswith("r#") and not t.endswith("#"):
                 return IDENT
+        if t == "/*":
+            return BAD
         if lang == "swift":
+            if c == "#" and t[-1] == '"':
+                return BAD
             if c == "`" and len(t) > 2:
                 return IDENT
             if c == '"' and "\\(" in t:
-                return STR + self._holes(m[2:-1] for m in re.findall(_HOLE, t))
+                return STR + self._holes(m[2:-1] for m in re.findall(rf"\\[^(]|({_HOLE})", t))
         if lang == "csharp" and c == "@" and len(t) > 1 and t[1] not in '"$':
             return IDENT
         if c.isdigit() or (c == "." and len(t) > 1 and t[1].isdigit()):
@@ -190,7 +227,7 @@ class Scanner:
 
     def _holes(self, parts) -> str:
         """Kinds of the expressions inside a string."""
-        return "".join(HOLE + "".join(map(self.cache.__getitem__, self.pattern.findall(p))).replace(NEWLINE, "") + HOLE_END for p in parts if p.strip())
+        return "".join(HOLE + "".join(map(self.cache.__getitem__, self.pattern.findall(p))) + HOLE_END for p in parts if p.strip())
 
     def tokens(self, text: str) -> list[str]:
         return self.pattern.findall(clean(text, self.language))
@@ -198,11 +235,128 @@ class Scanner:
     def raw(self, text: str) -> str:
         return "".join(map(self.cache.__getitem__, self.tokens(text)))
 
+    def doubtful(self, t: str) -> bool:
+        """Whether the pattern may have cut a literal or comment short with this token."""
+        if self.nest is None:
+            return False
+        lang, m = self.language, self.nest.match(t)
+        if BAD in self.cache[t]:
+            return m is not None or lang in ("python", "csharp") and t in "\"'$@"
+        if m is None or lang not in ("python", "csharp"):
+            return False
+        return "{" in t if "$" in m[0] or lang == "python" else len(m[0]) > 3
+
+    def places(self, text: str) -> list[tuple[int, str, str]]:
+        """(start, token, kinds) of a clean text, scanned exactly where the pattern gave up."""
+        got = [(m.start(1), m[1], self.cache[m[1]]) for m in self.pattern.finditer(text) if m[1]]
+        return self.exact(text) if any(BAD in k and self.doubtful(t) for _, t, k in got) else got
+
+    def exact(self, text: str) -> list[tuple[int, str, str]]:
+        """(start, token, kinds) of a clean text; literals and comments nest to any depth.
+
+        A literal that never ends falls with all it is nested in, and its opener
+        becomes what the pattern makes of it.
+        """
+        lang, out, stack, failed, pos = self.language, [], [], set(), 0
+        loose = lang in ("python", "csharp")
+        while True:
+            top = stack[-1] if stack else None
+            ok = True
+            if top and not top.hole:
+                if m := top.chunk.match(text, pos):
+                    pos = m.end()
+                    if m[1] is None:
+                        top.hole, top.own, top.all = True, 0, 0
+                        top.kinds.append(HOLE)
+                        if lang in ("javascript", "typescript") and (m := _JSRE_FIRST.match(text, pos)):
+                            top.kinds.append(REGEX)
+                            pos = m.end()
+                    else:
+                        stack.pop()
+                        if top.spec:
+                            stack[-1].hole = False
+                            continue
+                        k = TEMPLATE if text[top.start] == "`" else STR
+                        if lang not in ("python", "csharp"):
+                            k += "".join(top.kinds)
+                        if stack:
+                            stack[-1].kinds.append(k)
+                        else:
+                            out.append((top.start, text[top.start : pos], k))
+                    continue
+                ok = False
+            else:
+                if top:
+                    m = self.opens.search(text, pos)
+                    t, start, end = m[1], m.start(1), m.end()
+                    opens = m["nest"] is not None and start not in failed
+                else:
+                    for m in self.pattern.finditer(text, pos):
+                        t, start = m[1], m.start(1)
+                        k = self.cache[t]
+                        if (loose or BAD in k) and start not in failed and (m := self.nest.match(text, start)):
+                            break
+                        if t:
+                            out.append((start, t, k))
+                    else:
+                        return out
+                    t, end, opens = m[0], m.end(), True
+                if opens:
+                    if t == "/*":
+                        pos = _comment_end(text, start)
+                        if pos is None:
+                            pos = start
+                            failed.add(start)
+                    else:
+                        stack.append(_Open(start, re.compile(_chunk(lang, t)), t.count("$") or 1 if lang == "csharp" else 1, lang == "swift" and '"""' not in t))
+                        pos = end
+                    continue
+                if start in failed:
+                    m = self.pattern.match(text, start)
+                    t = m[1]
+                if not t:
+                    ok = False
+                else:
+                    k = self.cache[t]
+                    c, pos = k[:1], m.end()
+                    if c == (")" if lang == "swift" else "}") and not top.own:
+                        pos = start + top.width
+                        ok = text.startswith("}" * top.width, start) or lang == "swift"
+                        top.hole = False
+                        if top.kinds[-1] == HOLE:
+                            top.kinds.pop()
+                        else:
+                            top.kinds.append(HOLE_END)
+                    elif not top.all and (t == ":" and lang in ("python", "csharp") or t == ":=" and lang == "python"):
+                        pos = start + 1
+                        stack.append(_Open(start, re.compile(r"[^{}]*+(?:(\}{%d})|\{)" % top.width), 1, False, True))
+                    elif top.line and t[0] == "\n" and not top.all:
+                        ok = False
+                    else:
+                        step = (c in ("(", "[", "{")) - (c in (")", "]", "}"))
+                        top.all += step
+                        top.own += step if c in ("()" if lang == "swift" else "{}") else 0
+                        top.kinds.append(k)
+            if not ok:
+                failed.update(f.start for f in stack)
+                pos = stack[0].start
+                stack.clear()
+
     def scan(self, text: str) -> str:
         """Kinds after layout, closed by ``EOF``."""
-        raw = self.raw(text)
+        self.seen = self.tokens(text)
+        return self._laid_out(text, "".join(map(self.cache.__getitem__, self.seen)), None)
+
+    def rescan(self, text: str) -> str | None:
+        """Kinds of the text just scanned by an exact scan, null where it can't differ."""
+        if not any(map(self.doubtful, set(self.seen))):
+            return None
+        got = self.exact(clean(text, self.language))
+        return self._laid_out(text, "".join(k for _, _, k in got), got)
+
+    def _laid_out(self, text: str, raw: str, got: list | None) -> str:
         edits = self.edits(raw)
-        self.last = (text, raw, edits)
+        self.last = (text, raw, edits, got)
         return apply(raw, edits) + EOF
 
     def edits(self, raw: str) -> list[tuple[int, int, str]]:
@@ -261,15 +415,72 @@ class Scanner:
             shift += len(add) - (b - a)
         at -= shift
         text, seen = clean(text, self.language), 0
-        for m in self.pattern.finditer(text):
-            seen += len(self.cache[m[1]])
+        for start, token, kinds in self.last[3] or ((m.start(1), m[1], self.cache[m[1]]) for m in self.pattern.finditer(text)):
+            seen += len(kinds)
             if seen > at:
                 # a line break fails where the next line begins
-                start = m.start(1) if m[1].strip() else m.end(1)
-                return text.count("\n", 0, start) + (self.language != "python"), start - text.rfind("\n", 0, start) - 1, m[1]
+                start += 0 if token.strip() else len(token)
+                return text.count("\n", 0, start) + (self.language != "python"), start - text.rfind("\n", 0, start) - 1, token
         return text.count("\n") + (self.language != "python"), 0, ""
 
 
+@dataclass
+class _Open:
+    """A literal not yet closed: its place, what goes on with its text, braces that close a hole."""
+
+    start: int
+    chunk: re.Pattern
+    width: int
+    line: bool
+    spec: bool = False
+    hole: bool = False
+    #: brackets open in the hole: of the kind that closes it, and of all kinds
+    own: int = 0
+    all: int = 0
+    kinds: list[str] = field(default_factory=list)
+
+
+@lru_cache(maxsize=256)
+def _chunk(language: str, opener: str) -> str:
+    """The text of a literal up to its end (group 1) or to its next hole."""
+    if language == "python":
+        q = opener.lstrip("fFrR")
+        c, raw = q[0], "r" in opener.lower()
+        named = "" if raw else r"\\N\{[^{}]*\}|"
+        body = rf"[^{c}\\{{]|{c}(?!{c}{c})" if len(q) == 3 else rf"[^{c}\\\n{{]"
+        return rf"(?:{named}{body}|\\[^{{]|\\(?=\{{)|\{{\{{)*+(?:({q})|\{{)"
+    if language == "rust":
+        return rf"[\s\S]*?(\"{opener.lstrip('bcr')[:-1]})"
+    if language == "swift":
+        h = opener.rstrip('"')
+        q = opener[len(h) :]
+        body = rf'[^"\\]|"(?!""{h})|\\{h}[^(]' if len(q) == 3 else rf'[^"\\\n]|\\{h}[^(\n]' + (f'|"(?!{h})' if h else "")
+        return rf'(?:{body}' + (rf"|\\(?!{h})" if h else "") + rf')*+(?:({q}{h})|\\{h}\()'
+    if language == "csharp":
+        d, q = opener.count("$"), opener.count('"')
+        if q >= 3:
+            quotes = rf'(?<!")"{{1,{q - 1}}}(?!")'
+            if not d:
+                return rf'(?:[^"]|{quotes})*+("{{{q},}}(?:u8)?)'
+            return rf'(?:[^"{{]|{quotes}|\{{(?=\{{{{{d}}})|\{{(?!\{{{{{d - 1}}}))*+(?:("{{{q},}})|\{{{{{d}}})'
+        if "@" in opener:
+            return r'(?:[^"{]|""|\{\{)*+(?:("(?!"))|\{)'
+        return r'(?:[^"\\\n{]|\\[^\n]|\{\{)*+(?:(")|\{)'
+    return r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(?:(`)|\$\{)"
+
+
+_COMMENT = re.compile(r"/\*|\*/")
+
+
+def _comment_end(text: str, at: int) -> int | None:
+    depth = 0
+    for m in _COMMENT.finditer(text, at):
+        depth += 1 if m[0] == "/*" else -1
+        if not depth:
+            return m.end()
+    return None
+
+
 class _Cache(dict):
     """Kinds by token text, cleared when it has grown large."""
 

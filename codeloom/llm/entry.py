@@ -28,8 +28,8 @@ def p2_validation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, m.precision, m.recall, m.threshold) for k, m in found.items()], "kind string, held_out_precision double, held_out_recall double, threshold double")
 
 
-def _checked(spark: SparkSession, d: str) -> DataFrame:
-    return sourcecheck.check_files(table(spark, d, "source_tree"), table(spark, d, "files"))
+def _checked(spark: SparkSession, d: str, explain: bool = False) -> DataFrame:
+    return sourcecheck.check_files(table(spark, d, "source_tree"), table(spark, d, "files"), explain)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return _checked(spark, d)
+    return _checked(spark, d, explain=True)
 
 
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:

@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.grammars import TEXTS, grammar
+from codeloom.llm.peg import Grammar
 from codeloom.session import materialize, spread
 
 _MARKER = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}$")
 _FIELDS = "valid boolean, line long, column long, cause string"
 
 
-def verdict(text: str | None, language: str | None) -> tuple[bool | None, int | None, int | None, str | None]:
+def verdict(text: str | None, language: str | None, explain: bool = True) -> tuple[bool | None, int | None, int | None, str | None]:
     """(valid, line, column, cause) of one text.
 
     Line is 1-based, column 0-based, both of the furthest failure.  Causes:
@@ -29,7 +30,8 @@ def verdict(text: str | None, language: str | None) -> tuple[bool | None, int |
     than 20 tokens, and another grammar takes it), ``truncated`` (the failure is the end of the
     input), ``unbalanced`` (a bracket without its partner), ``syntax``.  A
     language without grammar gives nulls.  An empty text is valid except in Go,
-    which needs a package clause.
+    which needs a package clause.  Without ``explain`` invalid texts get no
+    place and no cause.
     """
     if language not in TEXTS:
         return None, None, None, None
@@ -37,14 +39,25 @@ def verdict(text: str | None, language: str | None) -> tuple[bool | None, int |
         return False, None, None, "unreadable"
     sys.setrecursionlimit(1_000_000)  # calls between Python functions take no C stack
     g = grammar(language)
-    kinds = g.scanner.scan(text)
-    if g.accepts(kinds):
+    ok, kinds = _parse(g, text)
+    if ok:
         return True, None, None, None
+    if not explain:
+        return False, None, None, None
     at = g.furthest(kinds)
     line, column, token = g.scanner.place(text, at)
     return False, line, column, _cause(text, language, kinds, at, line, token)
 
 
+def _parse(g: Grammar, text: str) -> tuple[bool, str]:
+    """Whether the grammar takes the text, and its kinds; what fails is scanned once more, exactly."""
+    kinds = g.scanner.scan(text)
+    if g.accepts(kinds):
+        return True, kinds
+    again = g.scanner.rescan(text)
+    return (False, kinds) if again is None else (g.accepts(again), again)
+
+
 def _cause(text: str, language: str, kinds: str, at: int, line: int, token: str) -> str:
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     marks = [k for k, s in enumerate(lines, 1) if _MARKER.match(s)]
@@ -53,7 +66,7 @@ def _cause(text: str, language: str, kinds: str, at: int, line: int, token: str)
     for other in TEXTS if len(kinds) > 20 else ():
         if {other, language} <= {"javascript", "typescript"} and other == "javascript":
             continue
-        if other != language and (g := grammar(other)).accepts(g.scanner.scan(text)):
+        if other != language and _parse(grammar(other), text)[0]:
             return "wrong_language"
     if not token.strip() or at >= len(kinds) - 1:
         return "truncated"
@@ -68,14 +81,14 @@ def language_of(path: str = "path"):
     return F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), ext)
 
 
-def judge(df: DataFrame, keep: list[str], language: str = "language", text: str = "content") -> DataFrame:
+def judge(df: DataFrame, keep: list[str], language: str = "language", text: str = "content", explain: bool = True) -> DataFrame:
     """``keep`` columns plus ``valid, line, column, cause``, row by row, no shuffle."""
 
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            got = [verdict(t, lang) for t, lang in zip(b.column("_text").to_pylist(), b.column("_lang").to_pylist(), strict=True)]
+            got = [verdict(t, lang, explain) for t, lang in zip(b.column("_text").to_pylist(), b.column("_lang").to_pylist(), strict=True)]
             cols = list(zip(*got, strict=True)) or [[]] * 4
             kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*keep, "valid", "line", "column", "cause"])
@@ -85,23 +98,24 @@ def judge(df: DataFrame, keep: list[str], language: str = "language", text: str
     return spread(df.select(*cols, F.col(f"`{language}`").alias("_lang"), F.col(f"`{text}`").alias("_text"))).mapInArrow(go, f"{lead}, {_FIELDS}")
 
 
-def check_files(tree: DataFrame, files: DataFrame) -> DataFrame:
+def check_files(tree: DataFrame, files: DataFrame, explain: bool = True) -> DataFrame:
     """``file_id, repo, language, valid, line, column, cause`` of every text.
 
     ``language`` is the one in ``files``.  It follows the extension, so texts
     are parsed by the path's extension where they lie and only verdicts meet
     ``files``; rows whose recorded language is another are parsed again.  Texts
-    without a row in ``files`` keep the extension's language.
+    without a row in ``files`` keep the extension's language.  Without
+    ``explain`` only ``valid`` is found out.
     """
     lang = files.groupBy(F.col("id").alias("file_id")).agg(F.max("language").alias("_recorded"))
-    first = materialize(judge(tree.withColumn("language", language_of()), ["file_id", "repo", "language"]), "verdicts")
+    first = materialize(judge(tree.withColumn("language", language_of()), ["file_id", "repo", "language"], explain=explain), "verdicts")
     both = first.join(lang, "file_id", "left").withColumn("_language", F.coalesce("_recorded", "language"))
     out = ["file_id", "repo", "language", "valid", "line", "column", "cause"]
     other = both.where(~F.col("_language").eqNullSafe(F.col("language"))).select("file_id", F.col("_language").alias("language"))
     agreed = both.where(F.col("_language").eqNullSafe(F.col("language"))).select(*out)
     if other.isEmpty():
         return agreed
-    again = judge(tree.select("file_id", "repo", "content").join(other.distinct(), "file_id"), ["file_id", "repo", "language"])
+    again = judge(tree.select("file_id", "repo", "content").join(other.distinct(), "file_id"), ["file_id", "repo", "language"], explain=explain)
     return agreed.unionByName(again.select(*out))
 
 

@@ -91,6 +91,60 @@ def test_furthest_failure_and_causes():
     assert verdict(None, "go") == (False, None, None, "unreadable") and verdict("x", "cobol")[0] is None
 
 
+def _nest(head: str, open_: str, core: str, close: str, tail: str, depth: int) -> str:
+    return head + open_ * depth + core + close * depth + tail
+
+
+NESTED = [
+    ("javascript", "x = `${", "f({a: ", "{core}", "})", "}`\n"),
+    ("javascript", "x = ", "`a ${", "{core}", "} b`", "\n"),
+    ("typescript", "const x = `${r.map(r => { ", "if (r) { ", "return {core}", " }", " return '}' })}`\n"),
+    ("javascript", "x = `${r.map(r => {\n", "if (r) {\nlet q = 1\n", "return {core}\n", "}\n", "return /[}`]/.test(r)\n})}`\n"),
+    ("swift", 'let x = "\\(', "f(", "{core}", ")", ')"\n'),
+    ("swift", "let x = ", '"\\(', "{core}", ')"', "\n"),
+    ("swift", "let x = ", '##"a "# \\##(', "{core}", ')"##', "\n"),
+    ("swift", "let x = ", '"""\n a \\(', "{core}", ') "\n """', "\n"),
+]
+
+
+@pytest.mark.parametrize("depth", [2, 5, 10, 40])
+@pytest.mark.parametrize("language,head,open_,core,close,tail", NESTED)
+def test_holes_nest_to_any_depth(language, head, open_, core, close, tail, depth):
+    def text(c):
+        return _nest(head, open_, core.replace("{core}", c), close, tail, depth)
+
+    assert verdict(text("1"), language)[0], text("1")
+    assert verdict(text("1 +"), language)[0] is False
+    assert verdict(text("1")[: -len(tail) - len(close)], language)[0] is False
+
+
+@pytest.mark.parametrize("depth", [2, 5, 10, 40])
+def test_comments_raw_strings_and_unparsed_holes_nest_to_any_depth(depth):
+    h = "#" * depth
+    for language, code in (("rust", "fn f() { }\n"), ("swift", "let x = 1\n")):
+        assert verdict("/* a " * depth + "*/ " * depth + code, language)[0]
+        assert not verdict("/* a " * depth + "*/ " * (depth - 1) + code, language)[0]
+    for prefix in ("r", "br", "cr"):
+        assert verdict(f'fn f() {{ let x = {prefix}{h}"a "{h[1:]} {{ b"{h}; }}\n', "rust")[0]
+    assert not verdict(f'fn f() {{ let x = r{h}"a"{h[1:]}; }}\n', "rust")[0]
+    assert verdict(f'let x = {h}"a "{h[1:]} ( b"{h}\n', "swift")[0]
+    assert not verdict(f'let x = {h}"a"{h[1:]}\n', "swift")[0]
+    q = '"' * (depth + 3)
+    assert verdict(f"var x = {q}a {q[1:]} {{ b{q};\n", "csharp")[0]
+    assert verdict("var x = " + '$"{(' * depth + "1" + ')}"' * depth + ";\n", "csharp")[0]
+    assert verdict('var x = $"{' + "f(new { A = " * depth + "1" + " })" * depth + ':N2}";\n', "csharp")[0]
+    assert verdict("x = " + 'f"{f({1: ' * depth + 'd["k"]' + '}):>{w}}"' * depth + "\n", "python")[0]
+
+
+def test_unclosed_literals_take_no_long():
+    import time
+
+    for language, part in (("javascript", "`${"), ("swift", '"\\('), ("rust", "/*"), ("csharp", '$"{'), ("python", 'f"{')):
+        start = time.process_time()
+        assert verdict("a = " + part * 5000, language)[0] is False
+        assert time.process_time() - start < 10
+
+
 def test_another_language_is_named_however_late_the_text_fails():
     plain = "".join(f"const a{k} = {k};\n" for k in range(200))
     assert verdict(plain + "const b: number = 1;\n", "javascript") == (False, 201, 7, "wrong_language")
