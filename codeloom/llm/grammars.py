@@ -35,10 +35,10 @@ TypeAlias <- IDENT name TypeParams? '=' Expr
 TypeParams <- @[TypeParamList]
 TypeParamList <- TypeParam (',' TypeParam)* ','?
 TypeParam <- ('*' / '**')? name (':' Expr)? ('=' Expr)?
-ExprStmt <- Exprs (':' Expr ('=' Exprs)? / augop Exprs / ('=' Exprs)*)
+ExprStmt <- Single (':' Expr ('=' Exprs)? / augop Exprs) / (Targets '=')* Exprs
 Exprs <- Star (',' Star)* ','?
 Star <- '*' Or / 'yield' ('from' Expr / Exprs?) / Named
-Named <- Expr (':=' Expr)?
+Named <- name ':=' Expr / Expr
 Expr <- 'lambda' LambdaParams? ':' Expr / Or ('if' Or 'else' Expr)?
 LambdaParams <- LambdaParam (',' LambdaParam)* ','?
 LambdaParam <- ('*' / '**') name / '*' / '/' / name ('=' Expr)?
@@ -52,13 +52,22 @@ Paren <- (Star (CompFor / (',' Star)* ','?))?
 ListIn <- (Star (CompFor / (',' Star)* ','?))?
 DictIn <- (DictItem (CompFor / (',' DictItem)* ','?))?
 DictItem <- '**' Or / Star (':' Expr)?
-Args <- (Arg (',' Arg)* ','?)?
-Arg <- ('**' / '*') Expr / name '=' Expr / Named CompFor?
+Args <- ((PosArgs (',' KeyArgs)? (',' LastArgs)? / KeyArgs (',' LastArgs)? / LastArgs) ','?)?
+PosArgs <- PosArg (',' PosArg)*
+PosArg <- '*' Expr / !(name '=') Named CompFor?
+KeyArgs <- KeyArg (',' KeyArg)*
+KeyArg <- name '=' Expr / '*' Expr
+LastArgs <- LastArg (',' LastArg)*
+LastArg <- name '=' Expr / '**' Expr
 Subs <- Sub (',' Sub)* ','?
 Sub <- Expr? ':' Expr? (':' Expr?)? / Star
 CompFor <- ('async'? 'for' Targets 'in' Or ('if' (Or (':=' Expr)?))*)+
 Targets <- Target (',' Target)* ','?
-Target <- '*'? Primary
+Target <- '*'? (Place / name / @(TargetParen) / @[TargetList])
+Place <- Atom (Trailer &('.' / '(' / '['))* ('.' name / @[Subs])
+Single <- Place / name / @(Single)
+TargetParen <- (Target (',' Target)+ ','? / Target ',' / !'*' Target)?
+TargetList <- Targets?
 For <- Targets 'in' Exprs ':' Block Else?
 Try <- ':' Block (Except+ Else? Finally? / Finally)
 Except <- 'except' '*'? (Expr ('as' name)?)? ':' Block

@@ -74,6 +74,20 @@ def test_python_agrees_with_the_parser_of_the_language():
     assert agree >= 0.97 * n
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["f() = 1", "1 = x", "a + b = c", "a = f() = 1", "(a, 1) = x", "[a, f()] = x", "f() += 1", "a, b += 1", "f(): int", "(a, b): int = 1", "for f() in x: pass", "[x for f() in y]", "with a as f(): pass", "del f()", "'a' = 1", "(f() := 1)", "f(a=1, b)", "f(**a, b)", "f(**a, *b)", "class C(a=1, B): pass", "f(,)"]
+    + ["a = b = c", "a, *b = c", "(a, (b, c)), [d, *e] = x", "() = [] = x", "f().x = f()[0] = 1", "(a) = (b.c) = 1", "(a): int = 1", "a.b: int", "f()[0] += 1", "(a) += 1", "for a.b, (c, *d) in x: pass", "with a as b.c, d as (e, f): pass", "del a.b, (c, d), [e[0]]", "f(a, *b, c, d=1, *e, f=2, **g, h=3)", "f(a == b, x := 1)", "f(x for x in y)", "class C(A, m=B, **k): pass", "x = yield", "x: int = yield", "f(**a, b=1,)", "''.x = 1", "{}[1] = 2", "print(a)(b).c = d"],
+)
+def test_python_targets_and_arguments_agree_with_the_parser(text):
+    try:
+        ast.parse(text)
+        want = True
+    except SyntaxError:
+        want = False
+    assert verdict(text + "\n", "python")[0] == want
+
+
 def test_deep_and_long_texts():
     deep = "(" * 3000 + "1" + ")" * 3000
     assert verdict(f"x = {deep}\n", "python")[0] and verdict(f"x = {deep};", "javascript")[0]
