@@ -411,11 +411,11 @@ def r08_resolve_imports(spark, d):
 def g01_flow_nodes(spark, d):
     from codeloom.flow.tables import file_graphs
 
-    return file_graphs(_texts(spark, d)).select("file_id", "line", "name", F.inline("nodes").alias("node", "kind", "label", "node_line"))
+    return file_graphs(_texts(spark, d)).select("file_id", "line", "name", F.inline_outer("nodes").alias("node", "kind", "label", "node_line"), "error").where("node is not null or error is not null")
 
 
 @query()
 def g02_flow_edges(spark, d):
     from codeloom.flow.tables import file_graphs
 
-    return file_graphs(_texts(spark, d)).select("file_id", "line", "name", F.inline("edges").alias("source", "target", "label"))
+    return file_graphs(_texts(spark, d)).select("file_id", "line", "name", F.inline_outer("edges").alias("source", "target", "label"), "error").where("source is not null or error is not null")

@@ -21,6 +21,10 @@ class FlowError(ValueError):
     """No graph can be made; the message says why."""
 
 
+class NoBody(FlowError):
+    """A declaration that has no graph, as it has no body of its own."""
+
+
 def one_line(text: str) -> str:
     return re.sub(r"\s+", " ", text.strip())
 

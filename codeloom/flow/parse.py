@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 
 from codeloom.extract.scan import CSharp, Rust, Tokens
-from codeloom.flow.graph import Arm, Builder, Call, FlowError, Step, label, left_label, one_line
+from codeloom.flow.graph import Arm, Builder, Call, FlowError, NoBody, Step, label, left_label, one_line
 
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 
@@ -632,7 +632,7 @@ def csharp(finder: _CSharpFinder, hit: tuple, file: str, name: str, scope: str |
     x, b = finder.x, CSharpBody(finder.x)
     opening = x.angles(at + 1)
     if x.tok(opening) == "{":
-        raise FlowError(f"{f'{scope}.' if scope else ''}{name} is a property with accessors; flow needs a method body")
+        raise NoBody(f"{f'{scope}.' if scope else ''}{name} is a property with accessors; flow needs a method body")
     k = first
     while x.tok(k) == "[":
         k = x.after(k)
@@ -646,7 +646,7 @@ def csharp(finder: _CSharpFinder, hit: tuple, file: str, name: str, scope: str |
         "params": b.parts(opening + 1, x.match[opening]) if has else [], "returns": label(b.text(k, at)) if k < at else None,
     }
     if x.t[body] == ";":
-        raise FlowError(f"{name} has no body at {file}:{line}")
+        raise NoBody(f"{name} has no body at {file}:{line}")
     if x.t[body] == "=>":
         stop = end if x.t[end] == ";" else end + 1
         value = b.valued(body + 1, stop)
@@ -668,16 +668,22 @@ def _scan(language: str, source: str):
 
 
 def functions(language: str, source: str, file: str):
-    """Graphs of all functions of a text that have one."""
+    """Graphs of all functions of a text that have a body; where none can be made, ``error`` and where."""
     if language not in _LANGUAGES:
         return
     finder = _scan(language, source)
     for hit in finder.found:
+        name, line = finder.x.t[hit[0]], finder.x.place(hit[0])[0]
         try:
-            info, steps = _LANGUAGES[language](finder, hit, file, finder.x.t[hit[0]], hit[1], finder.x.place(hit[0])[0])
-            yield Builder(info).build(steps)
-        except (FlowError, LookupError):
-            continue  # a text that does not parse may have functions without a graph
+            info, steps = _LANGUAGES[language](finder, hit, file, name, hit[1], line)
+            graph = Builder(info).build(steps)
+        except NoBody:
+            continue
+        except (FlowError, LookupError) as e:
+            # a text that does not parse may have functions without a graph
+            yield {"function": {"name": name, "scope": hit[1], "line": line}, "nodes": None, "edges": None, "error": f"{type(e).__name__}: {e}"[:300]}
+            continue
+        yield {**graph, "error": None}
 
 
 def flow(language: str, source: str, file: str, name: str, scope: str | None, line: int) -> dict:

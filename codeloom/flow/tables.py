@@ -49,7 +49,7 @@ def flow_graphs(functions: DataFrame) -> DataFrame:
 def file_graphs(texts: DataFrame) -> DataFrame:
     """Graphs of every Rust and C# function with a body, straight from
     ``file_id, path, language, content``: texts stay where they are, nothing is
-    joined.  ``file_id, line, name`` with ``nodes, edges`` as above."""
+    joined.  ``file_id, line, name`` with ``nodes, edges, error`` as above."""
 
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -61,15 +61,15 @@ def file_graphs(texts: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 for g in functions(r["language"], r["content"] or "", r["path"]):
                     f = g["function"]
-                    rows.append({"file_id": r["file_id"], "line": f["line"], "name": f["name"], "scope": f["scope"], "nodes": g["nodes"], "edges": g["edges"]})
+                    rows.append({"file_id": r["file_id"], "line": f["line"], "name": f["name"], "scope": f["scope"], "nodes": g["nodes"], "edges": g["edges"], "error": g["error"]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     import pyarrow as pa
 
     n = pa.struct([("id", pa.int32()), ("kind", pa.string()), ("label", pa.string()), ("line", pa.int64())])
     e = pa.struct([("from", pa.int32()), ("to", pa.int32()), ("label", pa.string())])
-    schema = pa.schema([("file_id", pa.int64()), ("line", pa.int64()), ("name", pa.string()), ("scope", pa.string()), ("nodes", pa.list_(n)), ("edges", pa.list_(e))])
-    out = "file_id long, line long, name string, scope string, nodes array<struct<id:int,kind:string,label:string,line:long>>, edges array<struct<from:int,to:int,label:string>>"
+    schema = pa.schema([("file_id", pa.int64()), ("line", pa.int64()), ("name", pa.string()), ("scope", pa.string()), ("nodes", pa.list_(n)), ("edges", pa.list_(e)), ("error", pa.string())])
+    out = "file_id long, line long, name string, scope string, nodes array<struct<id:int,kind:string,label:string,line:long>>, edges array<struct<from:int,to:int,label:string>>, error string"
     use = texts.where(F.col("language").isin("rust", "csharp"))
     return spread(use.select("file_id", "path", "language", "content")).mapInArrow(go, out)
 

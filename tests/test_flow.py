@@ -155,6 +155,18 @@ def test_many_functions(spark):
     assert node_rows(g).count() == 4 and edge_rows(g).count() == 3
 
 
+def test_functions_without_a_graph_have_a_row(monkeypatch):
+    from codeloom.flow import parse
+
+    def fail(*_):
+        raise IndexError("gone")
+
+    text = "class C { int F() { return 1; } int G(); int P { get; set; } }"
+    assert [(g["function"]["name"], g["error"]) for g in parse.functions("csharp", text, "a.cs")] == [("F", None)]
+    monkeypatch.setattr(parse.Builder, "build", fail)
+    assert [(g["function"]["name"], g["function"]["line"], g["nodes"], g["error"]) for g in parse.functions("csharp", text, "a.cs")] == [("F", 1, None, "IndexError: gone")]
+
+
 def test_broken_and_deep_texts():
     from codeloom.flow.parse import functions
 
