@@ -6,11 +6,19 @@ sampling with the cube method: inclusion probabilities walk through the null
 space of the balancing constraints (number of documents, number of tokens), so
 both totals stay as planned while each step makes one probability 0 or 1.
 
-The flight runs per (source, block) with at most two undecided documents left
-per block; the leftovers of all blocks fly again, in blocks, until a source has
-one block; the at most two left then land on the pair of choices closest to the
-token total.  Documents so large that one of them moves the share fly and land
-first, and the probabilities of the others make good what that leaves.  Hot sources are split by block, so no source meets in one task.
+A large source flies in blocks, with at most two undecided documents left per
+block; what all blocks leave, and a reserve of documents that took no part, is
+settled in one task per source.  A source of one block is settled whole.
+Settling decides the documents from the largest size class down: a flight
+within the class, a draw for the two it leaves, and the probabilities of all
+smaller documents make good what the draw takes too much or too little.  The
+landing problem that remains are the 16 smallest documents, solved exactly.
+
+A document larger than all its source should give can't be part of a mix that
+meets the share; it is left out, and the others are planned with more copies.
+In a source of several blocks, documents that its smaller ones could not make
+good in passing are decided first, by the same steps.  A document whose choice
+no smaller ones could make good is taken or left by what misses the total less.
 """
 
 from __future__ import annotations
@@ -25,8 +33,12 @@ from pyspark.sql import functions as F
 from codeloom.session import materialize
 
 EPS = 1e-9
-#: Documents above this part of what a source's sample holds are decided first.
-GIANT = 0.002
+#: Documents above this part of what the smaller ones of their source can make good are decided first.
+SPARE = 0.02
+#: Documents of a source that are kept from the flights of blocks, so that its last task has enough to choose from.
+RESERVE = 256
+#: Documents of the landing problem.
+LANDING = 16
 
 
 def flight(p: list[float], size: list[float], rng: random.Random) -> list[float]:
@@ -72,33 +84,103 @@ def _direction(live: list[int], size: list[float]) -> list[tuple[int, float]]:
     return [(i, u / top) for i, u in move if u]
 
 
-def land(p: list[float], size: list[float]) -> list[float]:
-    """Landing: 0/1 choices for the few undecided, closest in tokens, then in number."""
-    free = [i for i, x in enumerate(p) if EPS < x < 1 - EPS]
-    want, docs = sum(p[i] * size[i] for i in free), sum(p[i] for i in free)
-    best = min(range(1 << len(free)), key=lambda m: (abs(sum(size[i] for k, i in enumerate(free) if m >> k & 1) - want), abs(bin(m).count("1") - docs), m))
-    p = [float(x >= 0.5) for x in p]
-    for k, i in enumerate(free):
-        p[i] = float(best >> k & 1)
+def land(want: float, docs: float, size: list[float]) -> list[float]:
+    """Landing: the 0/1 choices closest to ``want`` tokens, then to ``docs`` documents."""
+    import numpy as np
+
+    total, count = np.zeros(1), np.zeros(1, np.int64)
+    for x in size:
+        total, count = np.concatenate([total, total + x]), np.concatenate([count, count + 1])
+    miss = np.abs(total - want)
+    near = np.flatnonzero(miss <= miss.min() + EPS)
+    best = int(near[np.argmin(np.abs(count[near] - docs))])
+    return [float(best >> k & 1) for k in range(len(size))]
+
+
+def settle(p: list[float], size: list[float], rng: random.Random, room: tuple[float, float] | None = None) -> list[float]:
+    """Decide all documents: p becomes 0 or 1 everywhere, sum(p * size) stays as near as the sizes allow.
+
+    ``room`` is what documents outside can still add and take away; with it the
+    landing is theirs and every class is drawn.
+    """
+    p, n = list(p), len(p)
+    want = sum(x * s for x, s in zip(p, size))
+    order = sorted(range(n), key=lambda i: (-math.frexp(size[i])[1] if size[i] > 0 else math.inf, i))
+    sized = sorted((i for i in order if size[i] > 0), key=lambda i: (size[i], i))
+    pool = set() if room else set(sized[:LANDING])
+    levels: dict[int, list[int]] = {}
+    for i in order:
+        if i not in pool:
+            levels.setdefault(math.frexp(size[i])[1] if size[i] > 0 else -1, []).append(i)
+    later = sum(size)
+    expected = want  # of what is undecided
+    undecided = [i for level in levels.values() for i in level] + sorted(pool)
+    add, take = room or (0.0, 0.0)
+    for level in levels.values():
+        if not room and abs(expected - want) > EPS * (1 + abs(want)):
+            _shift(p, size, undecided, want, expected, later)
+        undecided = undecided[len(level) :]
+        planned = sum(p[i] * size[i] for i in level)
+        for i, x in zip(level, flight([p[i] for i in level], [size[i] for i in level], rng), strict=True):
+            p[i] = x
+        later -= sum(size[i] for i in level)
+        open_ = [i for i in level if EPS < p[i] < 1 - EPS]
+        fixed = sum(p[i] * size[i] for i in level if i not in open_)
+        # what the documents after this class may be asked for
+        low, high = -take, later + add
+        spare = lambda m: want - fixed - sum(size[i] for k, i in enumerate(open_) if m >> k & 1)  # noqa: E731, B023
+        miss = lambda m: max(0.0, low - spare(m), spare(m) - high)  # noqa: E731, B023
+        drawn = _draw([p[i] for i in open_], rng.random())
+        if any(miss(m) > 0 for m in range(1 << len(open_))):
+            drawn = min(range(1 << len(open_)), key=lambda m: (miss(m), abs(want - spare(m) - planned), m))
+        for k, i in enumerate(open_):
+            p[i] = float(drawn >> k & 1)
+        want = spare(drawn)
+        expected = sum(p[i] * size[i] for i in undecided)
+    last = sorted(pool)
+    for i, x in zip(last, land(want, sum(p[i] for i in last), [size[i] for i in last]), strict=True):
+        p[i] = x
     return p
 
 
-def plan_copies(totals: dict[str, tuple[int, int]], targets: Iterable[tuple[str, float, int]], total_tokens: float | None = None) -> dict[str, dict]:
+def _shift(p: list[float], size: list[float], which: list[int], want: float, have: float, total: float) -> None:
+    """Move probabilities evenly towards 0 or 1 until they expect ``want``."""
+    if want < have:
+        scale = max(0.0, want / have)
+        for i in which:
+            p[i] *= scale
+    else:
+        up = min(1.0, (want - have) / (total - have)) if total > have else 0.0
+        for i in which:
+            p[i] += (1 - p[i]) * up
+
+
+def _draw(p: list[float], at: float) -> int:
+    """Systematic draw: each is taken as often as its probability says; a bit each."""
+    out, low = 0, 0.0
+    for k, x in enumerate(p):
+        if math.floor(low + x - at) > math.floor(low - at):
+            out |= 1 << k
+        low += x
+    return out
+
+
+def plan_copies(totals: dict[str, tuple[int, int]], targets: Iterable[tuple[str, float, int]], total_tokens: float | None = None, usable: dict[str, int] | None = None) -> dict[str, dict]:
     """Expected copies per source.
 
-    ``totals``: source -> (documents, tokens).  Sources without target, weight,
-    allowed repeats or tokens take no part, and the weights of the others are
-    scaled to 1.  Without ``total_tokens`` the mix is the largest in which every
-    share is met within the caps; with it, a capped source falls short and the
-    report says so.
+    ``totals``: source -> (documents, tokens); ``usable``: source -> tokens of
+    the documents that may be taken, where not all.  Sources without target,
+    weight, allowed repeats or tokens take no part, and the weights of the
+    others are scaled to 1.  Without ``total_tokens`` the mix is the largest in
+    which every share is met within the caps; with it, a capped source falls
+    short and the report says so.
     """
     use = {s: (w, r) for s, w, r in targets if s is not None and w and w > 0 and r and r > 0 and totals.get(s, (0, 0))[1] > 0}
     weight = sum(w for w, _ in use.values())
-    if not use:
-        return {}
-    size = min(r * totals[s][1] * weight / w for s, (w, r) in use.items()) if total_tokens is None else total_tokens
+    have = {s: (usable or {}).get(s, totals[s][1]) for s in use}
+    size = total_tokens if total_tokens is not None else min((r * have[s] * weight / w for s, (w, r) in use.items() if have[s]), default=0.0)
     return {
-        s: {"target": w / weight, "max_repeats": r, "expected": min(float(r), size * w / weight / totals[s][1])}
+        s: {"target": w / weight, "max_repeats": r, "goal": size * w / weight, "expected": min(float(r), size * w / weight / have[s]) if have[s] else 0.0}
         for s, (w, r) in use.items()
     }
 
@@ -107,62 +189,107 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     """Copies of each document: ``doc_id, source, n_tokens, copies`` (> 0), and the plan.
 
     ``sizes``: ``doc_id`` (unique), ``source``, ``n_tokens``; a written table,
-    as it is read twice.  ``targets``: ``source, weight, max_repeats``; repeated
-    rows of a source add their weights and the smallest cap holds.  Empty
-    tables give no rows.  Null sizes count as 0.
+    as it is read several times.  ``targets``: ``source, weight, max_repeats``;
+    repeated rows of a source add their weights and the smallest cap holds.
+    Empty tables give no rows.  Null sizes count as 0.  A document larger than
+    its source's goal (``goal`` in the plan) is left out.
     """
     spark = sizes.sparkSession
     goal = targets.where("source is not null").groupBy("source").agg(F.sum("weight").alias("weight"), F.min("max_repeats").alias("max_repeats"))
     base = sizes.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
     # one row per target source, both times
     wanted = [tuple(r) for r in goal.select("source", F.col("weight").cast("double"), F.col("max_repeats").cast("int")).collect()]
-    have = base.join(goal.select("source"), "source", "left_semi").groupBy("source").agg(F.count(F.lit(1)), F.sum("n_tokens"))
-    totals = {r[0]: (int(r[1]), int(r[2])) for r in have.collect()}
+    figures = lambda df: {r[0]: tuple(map(int, r[1:])) for r in df.groupBy("source").agg(F.count(F.lit(1)), F.sum("n_tokens"), F.max("n_tokens")).collect()}
+    have = figures(base.join(goal.select("source"), "source", "left_semi"))
+    totals = {s: x[:2] for s, x in have.items()}
     plan = plan_copies(totals, wanted, total_tokens)
     schema = "doc_id long, source string, n_tokens long, copies int"
     if not plan:
         return spark.createDataFrame([], schema), plan
+    by = lambda m: F.element_at(F.create_map(*[F.lit(v) for kv in m.items() for v in kv]), F.col("source"))
+    # leaving a document out lowers what its source can give, which may lower all goals
+    limit: dict[str, int] = {}
+    while over := {s: int(plan[s]["goal"]) for s, x in have.items() if s in plan and x[2] > plan[s]["goal"]}:
+        limit |= over
+        fits = figures(base.where(F.col("source").isin(list(over)) & (F.col("n_tokens") <= by(over))))
+        have |= {s: fits.get(s, (0, 0, 0)) for s in over}
+        plan = plan_copies(totals, wanted, total_tokens, {s: x[1] for s, x in have.items()})
+    base = base.where(F.col("source").isin(list(plan)))
+    if limit:
+        base = base.where(F.col("n_tokens") <= F.coalesce(by(limit), F.lit(2**62)))
+    totals = {s: have[s][:2] for s in plan}
     whole, frac, blocks = {}, {}, {}
     for s, x in plan.items():
         near = round(x["expected"])
         whole[s] = near if abs(near - x["expected"]) < 1e-12 else math.floor(x["expected"])
         frac[s] = max(0.0, x["expected"] - whole[s])
         blocks[s] = max(1, -(-totals[s][0] // block_rows))
-    by = lambda m: F.element_at(F.create_map(*[F.lit(v) for kv in m.items() for v in kv]), F.col("source"))
-    docs = base.where(F.col("source").isin(list(plan))).withColumns({"copies": by(whole).cast("int"), "p": by(frac).cast("double")})
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), by(blocks)).cast("int"))
-    giant = F.col("n_tokens") > by({s: GIANT * frac[s] * totals[s][1] for s in plan})
+    docs = base.withColumns({"copies": by(whole).cast("int"), "p": by(frac).cast("double")})
+    # block -1: goes straight to the settling task of its source
+    kept = {s: 1.0 if blocks[s] == 1 else min(1.0, RESERVE / max(1, totals[s][0])) for s in plan}
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 30)) < by(kept) * (1 << 30)
+    docs = docs.withColumn("block", F.when(drawn, -1).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(seed)), by(blocks))).cast("int"))
     result = docs.where("p <= 0")
-    open_docs = docs.where("p > 0")
-    # giants first: what their landing leaves over is made good by the many others
-    big = materialize(_decide(open_docs.where(giant), max(blocks.values()), block_rows, seed), "giants")
-    taken = {r[0]: (int(r[1]), int(r[2])) for r in big.groupBy("source").agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("p").cast("int"))).collect()}
-    rest = {}
-    for s in plan:
-        size, got = taken.get(s, (0, 0))
-        left = totals[s][1] - size
-        rest[s] = min(1.0, max(0.0, (frac[s] * totals[s][1] - got) / left)) if left > 0 else 0.0
-    small = open_docs.where(~giant).withColumn("p", by(rest))
-    result = result.unionByName(big).unionByName(_decide(small, max(blocks.values()), block_rows, seed))
+    small = docs.where("p > 0")
+    width = max(blocks.values())
+    if width > 1:
+        # giants first: what their landing leaves over is made good by the many others
+        tops = _giants(base.where(F.col("source").isin([s for s in plan if blocks[s] > 1])), frac)
+        giant = F.col("n_tokens") > by({s: tops.get(s, 2**62) for s in plan})
+        held = {r[0]: int(r[1]) for r in small.where(giant).groupBy("source").agg(F.sum("n_tokens")).collect()}
+        if held:
+            room = {s: ((1 - frac[s]) * (totals[s][1] - held.get(s, 0)), frac[s] * (totals[s][1] - held.get(s, 0))) for s in plan}
+            big = materialize(_decide(small.where(giant), width, block_rows, seed, room), "giants")
+            got = {r[0]: int(r[1]) for r in big.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("p").cast("int"))).collect()}
+            left = {s: totals[s][1] - held.get(s, 0) for s in plan}
+            rest = {s: min(1.0, max(0.0, (frac[s] * totals[s][1] - got.get(s, 0)) / left[s])) if left[s] > 0 else frac[s] for s in plan}
+            small = small.where(~giant).withColumn("p", by(rest))
+            result = result.unionByName(big)
+    result = result.unionByName(_decide(small, width, block_rows, seed))
     result = result.select("doc_id", "source", "n_tokens", (F.col("copies") + F.col("p").cast("int")).alias("copies")).where("copies > 0")
     return result, plan
 
 
-def _decide(docs: DataFrame, width: int, block_rows: int, seed: int) -> DataFrame:
-    """Flights over blocks, rounds over the leftovers, one landing per source."""
+def _giants(sizes: DataFrame, frac: dict[str, float]) -> dict[str, int]:
+    """source -> greatest size that is no giant, where there are giants.
+
+    From a histogram by powers of two: a size class holds no giants where its
+    greatest document is at most ``SPARE`` of what the others up to it can add
+    and can take away.
+    """
+    level = F.length(F.conv(F.col("n_tokens").cast("string"), 10, 2))
+    classes = sizes.where("n_tokens > 0").groupBy("source", level.alias("level")).agg(F.max("n_tokens").alias("top"), F.sum("n_tokens").alias("tokens"))
+    found: dict[str, list[tuple[int, int, int]]] = {}
+    for r in classes.collect():  # at most 63 rows a source
+        found.setdefault(r[0], []).append((int(r[1]), int(r[2]), int(r[3])))
+    out = {}
+    for s, rows in found.items():
+        below = sum(t for _, _, t in rows)
+        for k, (_, top, tokens) in enumerate(sorted(rows, reverse=True)):
+            if top <= SPARE * min(frac[s], 1 - frac[s]) * (below - top):
+                if k:
+                    out[s] = top
+                break
+            below -= tokens
+    return out
+
+
+def _decide(docs: DataFrame, width: int, block_rows: int, seed: int, room: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Flights over blocks, rounds over the leftovers, then one settling task per source."""
 
     def fly(last: bool):
         def go(key, pdf):
             # an order of its own per document, so the result does not hang on how rows arrive
             pdf = pdf.assign(_o=[random.Random(f"{seed}:{d}").random() for d in pdf["doc_id"]]).sort_values(["_o", "doc_id"])
-            size = pdf["n_tokens"].astype(float).tolist()
-            p = flight(pdf["p"].tolist(), size, random.Random(f"{seed}:{key}"))
-            return pdf.assign(p=land(p, size) if last else p).drop(columns="_o")
+            size, p, rng = pdf["n_tokens"].astype(float).tolist(), pdf["p"].tolist(), random.Random(f"{seed}:{key}")
+            p = settle(p, size, rng, room[key[0]] if room else None) if last else flight(p, size, rng)
+            return pdf.assign(p=p).drop(columns="_o")
 
         return go
 
     cols = "doc_id long, source string, n_tokens long, copies int, p double, block int"
-    flying, done = docs, []
+    waiting, done = docs.where("block < 0"), []
+    flying = docs.where("block >= 0")
     while width > 1:
         flown = materialize(flying.groupBy("source", "block").applyInPandas(fly(False), cols), "flight")
         done.append(flown.where("p = 0 or p = 1"))
@@ -170,7 +297,8 @@ def _decide(docs: DataFrame, width: int, block_rows: int, seed: int) -> DataFram
         group = max(2, block_rows // 2)
         flying = flown.where("p > 0 and p < 1").withColumn("block", F.floor(F.col("block") / group).cast("int"))
         width = -(-width // group)
-    result = flying.groupBy("source", "block").applyInPandas(fly(True), cols)
+    last = waiting.unionByName(flying).withColumn("block", F.lit(0)) if done else waiting.withColumn("block", F.lit(0))
+    result = last.groupBy("source", "block").applyInPandas(fly(True), cols)
     for x in done:
         result = result.unionByName(x)
     return result

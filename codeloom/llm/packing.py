@@ -137,6 +137,33 @@ def packed_documents(docs: DataFrame, capacity: int = CAPACITY, **tokens) -> Dat
     return pack(materialize(token_counts(docs, ["doc_id"], **tokens), "sizes"), capacity)
 
 
+def over_several(packed: DataFrame) -> DataFrame:
+    """``doc_id`` of the documents whose pieces lie in more than one container."""
+    per = packed.where("container >= 0").groupBy("doc_id").agg(F.min("container").alias("_lo"), F.max("container").alias("_hi"))
+    return per.where("_lo < _hi").select("doc_id")
+
+
+def placement_report(packed: DataFrame, sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row of counts: ``documents``; ``misplaced``, whose pieces don't add up to
+    the document in order; ``cut_needlessly``, in pieces though they fit;
+    ``overfull`` containers and ``idle`` ones, which could go into another."""
+    whole = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("_n"))
+    per = packed.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("_pieces"), F.max("piece").alias("_last"), F.count_distinct("piece").alias("_kinds"),
+        F.sum("piece_tokens").alias("_t"), F.max(F.col("first_token") + F.col("piece_tokens")).alias("_end"),
+    )
+    both = whole.join(per, "doc_id", "full")
+    right = (F.col("_t") == F.col("_n")) & (F.col("_end") == F.col("_n")) & (F.col("_kinds") == F.col("_pieces")) & (F.col("_last") == F.col("_pieces") - 1)
+    docs = both.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(~F.coalesce(right, F.lit(False))).alias("misplaced"),
+        F.count_if((F.col("_n") <= capacity) & (F.col("_pieces") > 1)).alias("cut_needlessly"),
+    )
+    used = packed.where("container >= 0").groupBy("container").agg(F.sum("piece_tokens").alias("t"))
+    least = used.agg(F.count_if(F.col("t") > capacity).alias("overfull"), F.greatest(F.count_if(F.col("t") <= capacity // 2) - 1, F.lit(0)).alias("idle"))
+    both = docs.unionByName(least, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
+
+
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens, fill (used share of the containers' space)."""
     per = packed.where("container >= 0").groupBy("container").agg(F.sum("piece_tokens").alias("t"), F.count(F.lit(1)).alias("n"))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm.packing import fill_report, pack, packed_documents, plan_containers
+from codeloom.llm.packing import fill_report, over_several, pack, packed_documents, placement_report, plan_containers
 from codeloom.llm.tokens import VOCABULARY, encoding, token_counts
 
 
@@ -76,3 +76,22 @@ def test_token_counts_are_the_tokenizers(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     enc = encoding(VOCABULARY)
     assert {r.doc_id: r.n_tokens for r in token_counts(df, ["doc_id"]).collect()} == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
+
+
+def test_over_several_and_the_report(spark):
+    rows = [(1, 25), (2, 10), (3, 3), (4, 0), (5, None), (6, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    packed = pack(df, capacity=10)
+    assert {r[0] for r in over_several(packed).collect()} == {1, 6}
+    assert placement_report(packed, df, 10).first().asDict() == {"documents": 6, "misplaced": 0, "cut_needlessly": 0, "overfull": 0, "idle": 0}
+    # what it must notice
+    lost = packed.where("not (doc_id = 1 and piece = 1)")
+    assert placement_report(lost, df, 10).first().misplaced == 1
+    assert placement_report(packed.withColumn("container", F.lit(0)), df, 10).first().overfull == 1
+
+
+def test_found_through_the_slots(spark, sf):
+    from codeloom.llm import entry
+
+    plan = entry.p6_found(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "slots" in plan
