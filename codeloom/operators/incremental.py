@@ -1,35 +1,37 @@
 """Processing only new or changed records (problem 1).
 
-Three folders make one incremental job, all under ``root``:
+A job keeps one folder per batch, ``batches/batch=B``, with
 
-* ``manifest/batch=B``  the input files batch B has consumed: path, size,
-  modification time and SHA-256.  The folder appears by one rename, after
-  everything else of the batch is written, so its existence *is* the commit.
-* ``out/batch=B``       what batch B emitted (overwritten on a retry).
-* ``compact/batch=B``   now and then the folded state of all batches up to B.
+* ``files``  the manifest: path, size, modification time and SHA-256 of the
+  input files batch B has consumed,
+* ``rows``   what batch B emitted,
+* ``state``  in some batches, the folded state of all batches up to B.
+
+The folder is written elsewhere and appears by one rename, so its existence
+*is* the commit of input and output together.  A run that dies before leaves
+nothing a later run sees: its files are still absent from the manifest.  Of two
+runs of one batch the second to rename fails.  Nothing is skipped and nothing
+is repeated.
 
 A run lists the landing folder, anti-joins the listing with the manifest,
-hashes only files that are new or touched, folds their rows into the state and
-writes ``out/batch=B``; then the manifest is committed.  A run that dies
-anywhere before the rename leaves nothing a later run sees: its files are still
-absent from the manifest and its output folder is either ignored or
-overwritten.  Nothing is skipped and nothing is repeated.
-
-The state is the log of emitted rows itself (append-only), so a run costs one
-shuffle over (new rows + state rows) and never rewrites what did not change.
+hashes only files that are new or touched and folds their rows into the state.
+The state is the log of emitted rows itself; it is folded again when the log
+has grown by as much as its last fold, so folding costs a constant share of all
+that is ever written.  Only state rows of ids that occur among the new rows are
+ever shuffled.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.session import fs, work_dir
+from codeloom.session import fs, publish, work_dir
 
 MANIFEST = T.StructType(
     [
@@ -39,49 +41,78 @@ MANIFEST = T.StructType(
         T.StructField("checksum", T.StringType()),
     ]
 )
+#: Bytes of a file held at a time while it is hashed.
+HASH_BLOCK = 8 << 20
+#: New rows up to which their ids are sent to the state instead of both being shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def _open(path: str):
+    """File system and path within it, for Python."""
+    from pyarrow import fs as afs
+
+    if path.startswith("file:"):
+        return afs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return afs.FileSystem.from_uri(path)
+
+
+def with_checksums(listing: DataFrame, root: str) -> DataFrame:
+    """``listing`` (path, size, modified) with the SHA-256 of each file, read in blocks of fixed size.
+
+    Where Python can't reach the file system of ``root``, the JVM reads the
+    files instead, each of which must then be below 2 GB.
+    """
+    try:
+        _open(root)
+    except Exception:  # noqa: BLE001
+        names = [r[0] for r in listing.select("path").collect()]
+        if not names:
+            return listing.withColumn("checksum", F.lit(None).cast("string"))
+        whole = listing.sparkSession.read.format("binaryFile").load(names).select("path", F.sha2("content", 256).alias("checksum"))
+        return listing.join(whole, "path")
+
+    def go(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        for b in batches:
+            sums = []
+            for path in b.column("path").to_pylist():
+                files, at = _open(path)
+                made = hashlib.sha256()
+                with files.open_input_stream(at) as f:
+                    while block := f.read(HASH_BLOCK):
+                        made.update(block)
+                sums.append(made.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.string())], names=[*b.schema.names, "checksum"])
+
+    return listing.mapInArrow(go, T.StructType([*listing.schema, MANIFEST["checksum"]]))
 
 
 @dataclass
 class BatchStore:
-    """Manifest, outputs and compacted states of one incremental job."""
+    """Manifest, outputs and folded states of one incremental job."""
 
     spark: SparkSession
     root: str
     #: of the emitted rows; read once from the newest batch where not given
     schema: T.StructType | None = None
 
-    def _batches(self, kind: str) -> list[int]:
+    def _at(self, batch: int, part: str) -> str:
+        return f"{self.root}/batches/batch={batch}/{part}"
+
+    def committed(self) -> list[int]:
         f, P = fs(self.spark, self.root)
-        at = P(f"{self.root}/{kind}")
+        at = P(f"{self.root}/batches")
         if not f.exists(at):
             return []
-        names = [s.getPath().getName() for s in f.listStatus(at)]
-        return sorted(int(n[6:]) for n in names if n.startswith("batch="))
-
-    def committed(self) -> list[int]:
-        return self._batches("manifest")
+        return sorted(int(s.getPath().getName()[6:]) for s in f.listStatus(at))
 
     def manifest(self) -> DataFrame:
-        done = [f"{self.root}/manifest/batch={b}" for b in self.committed()]
+        done = [self._at(b, "files") for b in self.committed()]
         return self.spark.read.schema(MANIFEST).parquet(*done) if done else self.spark.createDataFrame([], MANIFEST)
 
-    def _publish(self, df: DataFrame, kind: str, batch: int) -> None:
-        """Write beside the target, then rename: the target is whole or absent.
-
-        A compaction left by a run that was never committed may lack rows, so
-        it is replaced; a manifest is never replaced.
-        """
-        f, P = fs(self.spark, self.root)
-        beside, target = f"{self.root}/_writing/{uuid.uuid4().hex}", f"{self.root}/{kind}/batch={batch}"
-        df.write.parquet(beside)
-        f.mkdirs(P(f"{self.root}/{kind}"))
-        if f.exists(P(target)) and kind == "compact":
-            f.delete(P(target), True)
-        if f.exists(P(target)):
-            raise FileExistsError(f"another run has committed {target}")
-        if not f.rename(P(beside), P(target)):
-            raise OSError(f"could not publish {target}")
-
     def new_files(self, landing: list[str]) -> DataFrame:
         """Listing of ``landing`` minus the manifest, with checksums.
 
@@ -99,15 +130,7 @@ class BatchStore:
         fresh = listing.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).join(
             seen.select("path", "size", "modified"), ["path", "size", "modified"], "left_anti"
         )
-        # file names only, as many as the run has new files; Spark's own file index holds the same list
-        names = [r[0] for r in fresh.select("path").collect()]
-        if not names:
-            return self.spark.createDataFrame([], MANIFEST)
-        hashed = (
-            self.spark.read.format("binaryFile")
-            .load(names)
-            .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("checksum"))
-        )
+        hashed = with_checksums(fresh.select("path", "size", "modified"), self.root)
         return hashed.join(seen.select("path", "checksum"), ["path", "checksum"], "left_anti").select(*MANIFEST.names)
 
     def outputs(self, batches: list[int] | None = None) -> DataFrame | None:
@@ -115,11 +138,11 @@ class BatchStore:
         done = self.committed() if batches is None else batches
         if not done:
             return None
-        paths = [f"{self.root}/out/batch={b}" for b in done]
+        paths = [self._at(b, "rows") for b in done]
         if self.schema is None:
             self.schema = self.spark.read.parquet(paths[-1]).schema
         whole = T.StructType([*self.schema, T.StructField("batch", T.IntegerType())])
-        return self.spark.read.schema(whole).option("basePath", f"{self.root}/out").parquet(*paths)
+        return self.spark.read.schema(whole).option("basePath", f"{self.root}/batches").parquet(*paths)
 
     def run(
         self,
@@ -127,55 +150,77 @@ class BatchStore:
         landing: list[str],
         process: Callable[[DataFrame, DataFrame | None], DataFrame],
         compact: Callable[[DataFrame], DataFrame] | None = None,
-        compact_every: int = 16,
+        growth: float = 1.0,
         read: Callable[[list[str]], DataFrame] | None = None,
         fail_at: str | None = None,
     ) -> bool:
         """One run.  ``process(new rows, state or None)`` gives the batch's rows.
 
         Returns False if batch was committed before (a repeated call does
-        nothing).  ``fail_at`` ("output" or "manifest") raises before that step
-        is finished and exists for crash tests.
+        nothing).  ``growth``: the log is folded when it has grown by so many
+        times its last fold (at first, its first batch).  ``fail_at`` ("output"
+        or "manifest") raises before that step is finished and exists for crash
+        tests.
         """
         if batch in self.committed():
             return False
-        listed = [tuple(r) for r in self.new_files(landing).collect()]
-        files = self.spark.createDataFrame(listed, MANIFEST).coalesce(1)
-        if listed:
-            names = [r[0] for r in listed]
-            rows = read(names) if read else self.spark.read.parquet(*names)
-            emitted = process(rows, self.state())
-            self.schema = self.schema or emitted.schema
-            emitted.write.mode("overwrite").parquet(f"{self.root}/out/batch={batch}")
+        stage = f"{self.root}/_writing/{uuid.uuid4().hex}"
+        self.new_files(landing).write.parquet(f"{stage}/files")
+        # file names only, as many as the run has new files; Spark's own file index holds the same list
+        names = [r[0] for r in self.spark.read.schema(MANIFEST).parquet(f"{stage}/files").select("path").collect()]
+        if names:
+            emitted = process(read(names) if read else self.spark.read.parquet(*names), self.state())
         elif (prior := self.outputs()) is not None:
-            prior.drop("batch").limit(0).write.mode("overwrite").parquet(f"{self.root}/out/batch={batch}")
+            emitted = prior.drop("batch").limit(0)
         else:
+            self._drop(stage)
             return False  # nothing has ever arrived; there is no schema to write
+        self.commit(batch, stage, emitted, compact, growth, fail_at)
+        return True
+
+    def commit(self, batch: int, stage: str, emitted: DataFrame, compact: Callable[[DataFrame], DataFrame] | None = None, growth: float = 1.0, fail_at: str | None = None) -> None:
+        """Write the batch's rows, fold the log where it is due, and publish all of it at once."""
+        self.schema = self.schema or emitted.schema
+        emitted.write.parquet(f"{stage}/rows")
         if fail_at == "output":
             raise RuntimeError("stopped after the output, before the manifest")
-        if compact and len(self.committed()) % compact_every == compact_every - 1:
-            own = self.spark.read.parquet(f"{self.root}/out/batch={batch}")
-            before = self.state()
-            self._publish(compact(own if before is None else before.unionByName(own)), "compact", batch)
+        if compact and self._due(stage, growth):
+            self.state(f"{stage}/rows").transform(compact).write.parquet(f"{stage}/state")
         if fail_at == "manifest":
             raise RuntimeError("stopped before the manifest was committed")
-        self._publish(files, "manifest", batch)
-        return True
+        publish(self.spark, stage, f"{self.root}/batches/batch={batch}")
+
+    def _drop(self, path: str) -> None:
+        f, P = fs(self.spark, path)
+        f.delete(P(path), True)
 
-    def state(self) -> DataFrame | None:
-        """The last committed compaction and all outputs committed after it."""
+    def _log(self) -> tuple[int | None, list[int]]:
+        """The batch of the last fold, and the batches after it."""
+        f, P = fs(self.spark, self.root)
         done = self.committed()
-        folded = [b for b in self._batches("compact") if b in done]
-        later = [b for b in done if not folded or b > folded[-1]]
-        rest = self.outputs(later)
-        if self.schema is None and folded:
-            self.outputs(folded[-1:])  # reads the schema
-        parts = [self.spark.read.schema(self.schema).parquet(f"{self.root}/compact/batch={b}") for b in folded[-1:]]
-        if rest is not None:
-            parts.append(rest.drop("batch"))
+        folded = next((b for b in reversed(done) if f.exists(P(self._at(b, "state")))), None)
+        return folded, [b for b in done if folded is None or b > folded]
+
+    def _due(self, stage: str, growth: float) -> bool:
+        f, P = fs(self.spark, self.root)
+        size = lambda at: f.getContentSummary(P(at)).getLength()
+        folded, later = self._log()
+        sizes = [size(self._at(b, "rows")) for b in later] + [size(f"{stage}/rows")]
+        base = size(self._at(folded, "state")) if folded is not None else sizes.pop(0)
+        return bool(sizes) and sum(sizes) >= growth * base
+
+    def state(self, own: str | None = None) -> DataFrame | None:
+        """The last fold and all rows committed after it (and those at ``own``)."""
+        folded, later = self._log()
+        if self.schema is None and folded is not None:
+            self.outputs([folded])  # reads the schema
+        parts = [self._at(folded, "state")] if folded is not None else []
+        parts += [self._at(b, "rows") for b in later] + ([own] if own else [])
         if not parts:
             return None
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        if self.schema is None:
+            self.outputs(later[-1:])
+        return self.spark.read.schema(self.schema).parquet(*parts)
 
 
 def _norm(hash_col: Column) -> Column:
@@ -192,15 +237,21 @@ def changed_files(rows: DataFrame, state: DataFrame | None) -> DataFrame:
     and rows without ``id`` or ``feed_id`` take no part; exact repeats fold
     away; extra columns are ignored.
 
-    One shuffle, with map-side combine: the maximum is associative, so the row
-    in force over everything seen is the maximum of the old one and the new
-    rows.
+    One shuffle, with map-side combine, of the new rows and the state rows of
+    their ids: the maximum is associative, so the row in force over everything
+    seen is the maximum of the old one and the new rows, and an id without new
+    rows can't move.
     """
     rank = lambda: F.struct("last_indexed_at", F.negative("feed_id").alias("back"), "content_hash")
     new = rows.where(
         "content_hash is not null and last_indexed_at is not null and id is not null and feed_id is not null"
     ).select("id", F.struct(F.col("last_indexed_at"), F.negative("feed_id").alias("back"), _norm(F.col("content_hash")).alias("content_hash")).alias("row"), F.lit(False).alias("old"))
-    both = new if state is None else new.unionByName(state.select("id", rank().alias("row"), F.lit(True).alias("old")))
+    both = new
+    if state is not None:
+        ids = new.select("id")
+        # one long per new row, counted before it is sent; beyond that both sides are shuffled by id
+        ids = F.broadcast(ids) if rows.count() <= BROADCAST_IDS else ids.distinct()
+        both = new.unionByName(state.join(ids, "id", "left_semi").select("id", rank().alias("row"), F.lit(True).alias("old")))
     folded = both.groupBy("id").agg(
         F.max("row").alias("now"),
         F.max(F.when(F.col("old"), F.col("row"))).alias("before"),

@@ -5,7 +5,8 @@ partition, of fixed size by ``spark.sql.files.maxPartitionBytes``) is combined
 on its own, giving one state per key and chunk; rounds then merge the states of
 ``fan_in`` neighbouring chunks, until one chunk is left.  No task ever receives
 more than ``fan_in`` states of one key, however many rows the key has and
-however many partitions there were.  Only the states move, never the rows.
+however many partitions there were.  Only the states move, never the rows; distinct
+counts (``per_key_sites``) move each row once before.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,29 +57,46 @@ def tree_aggregate(df: DataFrame, keys: list[str], states: dict[str, tuple[str,
     )
 
 
-def per_key_sites(df: DataFrame, key: str, fan_in: int = 8) -> DataFrame:
+#: Buckets of files by hash; a bucket with more than this share and number of rows is hot.
+FILE_BUCKETS, HOT_SHARE, HOT_ROWS = 16_384, 1 / 4_096, 200_000
+
+
+def per_key_sites(df: DataFrame, key: str, fan_in: int = 8, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Usage figures per key: ``key, n_rows, sites, files, first_site, last_site``.
 
     ``n_rows`` counts all rows, ``sites`` distinct (file, line, column) and
     ``files`` distinct files; the first and last site are ordered by file, line
-    and column (nulls first).  Null keys form a group of their own.
+    and column (nulls first).  Null keys form a group of their own, and so do
+    null files.
 
-    Distinct counting is spread over (key, file, site), so a hot key never
-    meets in one place: the first shuffle groups by the site, the second by
-    (key, file) and the tree does the rest on states.
+    Each row moves once, to the place of its (key, file), which serves both
+    distinct counts; a hot key is spread over its files.  Files that hold many
+    rows, found by a count per hash bucket, are counted by site first, which
+    combines repeats where they lie and spreads the rest.  The tree does all
+    that remains on states.
     """
-    site = [F.col("file_id"), F.col("line"), F.col("column")]
-    base = df.select(F.col(f"`{key}`").alias("key"), *site)
-    by_site = base.groupBy("key", "file_id", "line", "column").agg(F.count(F.lit(1)).alias("n"))
-    by_file = by_site.groupBy("key", "file_id").agg(
-        F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("sites"),
-        F.min(F.struct("line", "column")).alias("lo"),
-        F.max(F.struct("line", "column")).alias("hi"),
-    )
+    base = df.select(F.col(f"`{key}`").alias("key"), "file_id", "line", "column")
+    bucket = F.pmod(F.xxhash64("file_id"), F.lit(FILE_BUCKETS))
+    total = df.count()
+    least = max(hot_rows, int(total * HOT_SHARE))
+    # below 1 / HOT_SHARE rows, as each stands for more than that share of the table
+    hot = [r[0] for r in base.groupBy(bucket.alias("b")).count().where(F.col("count") > least).select("b").collect()] if total > least else []
+
+    def by_file(rows: DataFrame) -> DataFrame:
+        by_site = rows.groupBy("key", "file_id", "line", "column").agg(F.count(F.lit(1)).alias("n"))
+        return by_site.groupBy("key", "file_id").agg(
+            F.sum("n").alias("n"),
+            F.count(F.lit(1)).alias("sites"),
+            F.min(F.struct("line", "column")).alias("lo"),
+            F.max(F.struct("line", "column")).alias("hi"),
+        )
+
+    parts = [by_file((base.where(~bucket.isin(hot)) if hot else base).repartition("key", "file_id"))]
+    if hot:
+        parts.append(by_file(base.where(bucket.isin(hot))))
     at = lambda e: F.struct("file_id", F.col(f"{e}.line").alias("line"), F.col(f"{e}.column").alias("column"))
     return tree_aggregate(
-        by_file,
+        reduce(DataFrame.unionByName, parts),
         ["key"],
         {
             "n_rows": ("sum", F.col("n")),
@@ -86,7 +106,7 @@ def per_key_sites(df: DataFrame, key: str, fan_in: int = 8) -> DataFrame:
             "last_site": ("max", at("hi")),
         },
         fan_in,
-        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+        len(parts) * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
     )
 
 

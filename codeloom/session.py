@@ -18,9 +18,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK_KEY = "spark.codeloom.fallback.dir"
-
-
 _shipped: set[str] = set()
 
 
@@ -104,3 +101,23 @@ def fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     Path = jvm.org.apache.hadoop.fs.Path
     return Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), Path
+
+
+def publish(spark: SparkSession, beside: str, target: str) -> None:
+    """Rename ``beside`` to ``target``, which must not exist yet.
+
+    The target is whole or absent, and of several runs that publish the same
+    target only one succeeds; the others get ``FileExistsError``.
+    """
+    sc = spark.sparkContext
+    fs_ = sc._jvm.org.apache.hadoop.fs
+    files, P = fs(spark, target)
+    files.mkdirs(P(target).getParent())
+    how = sc._gateway.new_array(fs_.Options.Rename, 1)
+    how[0] = fs_.Options.Rename.NONE
+    try:
+        fs_.FileContext.getFileContext(P(target).toUri(), sc._jsc.hadoopConfiguration()).rename(files.makeQualified(P(beside)), files.makeQualified(P(target)), how)
+    except Exception as e:
+        if files.exists(P(target)):
+            raise FileExistsError(f"another run has published {target}") from e
+        raise

@@ -1,35 +1,28 @@
 """The incremental job as a stream of landing files.
 
 The file source keeps track of what it has read in the checkpoint; each micro
-batch is folded by the same function as a batch run and written under its
-batch number, so a batch that is run again after a failure overwrites itself.
+batch is folded by the same function as a batch run and committed under its
+batch number by one rename, so a batch that is run again after a failure either
+finds itself committed or starts afresh.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from codeloom.operators.incremental import LANDED, BatchStore, changed_files, fold_state
-from codeloom.session import fs
 
 
 class StreamStore(BatchStore):
-    """A store whose batches are committed by a marker written after the output."""
-
-    def committed(self) -> list[int]:
-        return self._batches("done")
+    """A store whose input is tracked by the stream's own checkpoint."""
 
     def fold(self, rows: DataFrame, batch: int, process: Callable[[DataFrame, DataFrame | None], DataFrame]) -> None:
-        if batch in self.committed():
-            return
-        emitted = process(rows, self.state())
-        self.schema = self.schema or emitted.schema
-        emitted.write.mode("overwrite").parquet(f"{self.root}/out/batch={batch}")
-        f, P = fs(self.spark, self.root)
-        f.mkdirs(P(f"{self.root}/done/batch={batch}"))
+        if batch not in self.committed():
+            self.commit(batch, f"{self.root}/_writing/{uuid.uuid4().hex}", process(rows, self.state()), fold_state)
 
 
 def stream_changes(spark: SparkSession, landing: str, root: str, schema: str = LANDED, per_trigger: int = 1000) -> StreamingQuery:

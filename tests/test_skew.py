@@ -26,9 +26,10 @@ def test_tree_equals_plain_grouping(spark, parts, fan_in):
     assert got == {k: (len(v), min(v), max(v)) for k, v in want.items()}
 
 
-def test_sites_equal_brute_force(spark):
+@pytest.mark.parametrize("hot_rows", [10**6, 90, 0])
+def test_sites_equal_brute_force(spark, hot_rows):
     data = rows(500) + rows(100)  # exact repeats
-    got = {r.key: r for r in per_key_sites(spark.createDataFrame(data, SCHEMA).repartition(7), "symbol_name", 2).collect()}
+    got = {r.key: r for r in per_key_sites(spark.createDataFrame(data, SCHEMA).repartition(7), "symbol_name", 2, hot_rows).collect()}
     by = defaultdict(list)
     for r in data:
         by[r[1]].append((r[0], r[2], r[3]))

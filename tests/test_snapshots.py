@@ -59,6 +59,33 @@ def test_null_equals_null_only(spark):
     assert make(row(1, "pub", None), row(2, "pub", 0)) == 1
 
 
+def test_redelivered_paths_beyond_the_broadcast_bound(spark, monkeypatch):
+    from codeloom.operators import snapshots
+
+    row = lambda s, d, name, line: (s, d, 1, "p", name, "fn", line, 9, None, None)
+    data = [row(1, 1, "a", 1), row(1, 1, "gone", 2), row(1, 2, "a", 3), row(2, 1, "a", 3), row(2, 1, "b", 7), row(2, None, "c", 7)]
+    found = {("b", "added", None, 7)}
+    for bound in (10, 0):
+        monkeypatch.setattr(snapshots, "BROADCAST_PAIRS", bound)
+        assert {(r.name, r.change_kind, r.old_line, r.new_line) for r in symbol_changes(spark.createDataFrame(data, SCHEMA)).collect()} == found
+
+
+def test_rows_move_once_and_are_hashed(spark, sf):
+    import re
+
+    plan = symbol_changes(spark.read.parquet(f"{sf}/symbol_snapshots.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Exchange hashpartitioning", plan)) == 1 and "SortAggregate" not in plan
+
+
+def test_extreme_lines(spark):
+    row = lambda s, line: (s, 1, 1, "p", "n", "fn", line, 9, None, None)
+    top, low = 2**63 - 1, -(2**63)
+    make = lambda *r: {(x.change_kind, x.old_line, x.new_line) for x in symbol_changes(spark.createDataFrame(list(r), SCHEMA)).collect()}
+    assert make(row(1, top), row(1, None), row(2, top - 1)) == {("modified", top, top - 1)}
+    assert make(row(1, low), row(1, None), row(2, low)) == set()
+    assert make(row(1, None), row(2, low)) == {("modified", None, low)}
+
+
 def test_empty_and_single_snapshot(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert symbol_changes(empty).count() == 0
