@@ -23,6 +23,7 @@ from codeloom.operators.maintenance import stale_files, upsert_metadata
 from codeloom.operators.snapshots import snapshot_diff
 from codeloom.plans import refresh as R
 from codeloom.plans.index import Index
+from codeloom.schema import RELATIONS
 from codeloom.sources import ndjson, vcs
 from codeloom.sources.tree import LANGUAGES, read_tree
 from codeloom.store import NoIndex, Store
@@ -85,15 +86,17 @@ class App:
         return {r["key"]: r["value"] for r in self.store.read("metadata").collect()}
 
     # -- building ------------------------------------------------------------
+    def _note(self, metadata: DataFrame, notes: dict) -> DataFrame:
+        rows = [(k, v) for k, v in notes.items() if v]
+        return upsert_metadata(metadata, self.spark.createDataFrame(rows, "key string, value string")) if rows else metadata
+
     def _commit(self, rel: dict, records: str | None = None, **notes) -> None:
         if records:
             rec = ndjson.read_records(self.spark, records)
             rel = R.with_semantic(rel, ndjson.definitions(rec), ndjson.references(rec))
         else:
             notes.setdefault("csharp_resolver", "treesitter")
-        rows = [(k, v) for k, v in notes.items() if v]
-        if rows:
-            rel = {**rel, "metadata": upsert_metadata(rel["metadata"], self.spark.createDataFrame(rows, "key string, value string"))}
+        rel = {**rel, "metadata": self._note(rel["metadata"], notes)}
         self.store.write({k: v for k, v in rel.items() if k != "errors"})
         self.store.drop_old()
 
@@ -131,8 +134,9 @@ class App:
             texts = read_tree(self.spark, self.root).join(modified, "path", "left_semi")
             self._commit(R.refresh(self.store.all(), texts, deleted), last_indexed_commit=commit, csharp_resolver=self.meta().get("csharp_resolver"))
         else:
-            rel = self.store.all()
-            self._commit(rel, last_indexed_commit=commit, csharp_resolver=self.meta().get("csharp_resolver"))
+            # only the commit moves: one small relation is written
+            self.store.write({"metadata": self._note(self.store.read("metadata"), {"last_indexed_commit": commit})}, keep=[r for r in RELATIONS if r != "metadata"])
+            self.store.drop_old()
         self.say({"files_indexed": n, "files_deleted": gone, "warning": warn}, f"Updated {n} files, deleted {gone}" + (f"\nwarning: {warn}" if warn else ""))
 
     # -- queries -------------------------------------------------------------

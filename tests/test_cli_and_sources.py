@@ -4,6 +4,7 @@ import subprocess
 import pytest
 
 from codeloom.cli import main, parse_target
+from codeloom.schema import RELATIONS
 from codeloom.sources import ndjson, vcs
 from codeloom.sources.tree import read_collection, read_tree, walk
 from codeloom.store import Store
@@ -61,6 +62,41 @@ def test_targets(text, want):
     assert (t.name, t.scope, t.file) == want
 
 
+@pytest.mark.parametrize("where", ["data", "version"])
+def test_a_crash_leaves_the_index_as_it_was(spark, tmp_path, where):
+    store = Store(spark, f"file://{tmp_path}/x")
+    meta = lambda v: {"metadata": spark.createDataFrame([("k", v)], "key string, value string")}
+    assert not store.exists()
+    with pytest.raises(RuntimeError):
+        store.write(meta("a"), fail_at=where)
+    assert not store.exists()
+    assert store.write(meta("a")) == 1
+    with pytest.raises(RuntimeError):
+        store.write(meta("b"), fail_at=where)
+    assert store.current() == 1 and store.read("metadata").first().value == "a"
+    assert store.write(meta("c")) == 2 and store.read("metadata").first().value == "c" and store.read("metadata", 1).first().value == "a"
+    store.drop_old(1)
+    assert store.versions() == [2] and store.read("metadata").first().value == "c" and len(list((tmp_path / "x/data/metadata").iterdir())) == 1
+
+
+def test_a_version_keeps_relations_of_the_one_before(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/x")
+    note = lambda v: spark.createDataFrame([("k", v)], "key string, value string")
+    files = spark.createDataFrame([(1, "a.py", "h", "python", None)], RELATIONS["files"])
+    store.write({"files": files, "metadata": note("a")})
+    store.write({"metadata": note("b")}, keep=["files"])
+    assert store.folders(1)["files"] == store.folders(2)["files"] and store.read("files").count() == 1
+    store.drop_old(1)
+    assert store.read("files").count() == 1 and store.read("metadata").first().value == "b" and store.read("symbols").count() == 0
+    # of two writers of one version the second fails
+    late = Store(spark, store.root)
+    late.current = lambda: 1
+    late.folders = lambda v: {}
+    with pytest.raises(FileExistsError):
+        late.write({"metadata": note("c")})
+    assert store.read("metadata").first().value == "b"
+
+
 def test_commands_end_to_end(spark, tmp_path, capsys):
     root = ["--root", str(tmp_path)]
     run = lambda *a: (main([*root, *a], spark), capsys.readouterr())
@@ -92,6 +128,16 @@ def test_commands_end_to_end(spark, tmp_path, capsys):
     table = lambda: {k: sorted(map(str, df.drop("last_indexed_at").collect())) for k, df in Store(spark, f"file://{tmp_path}/.codeloom").all().items() if k != "metadata"}
     updated = table()
     assert any("extra" in x for x in updated["symbols"]) and len(updated["references"]) == 1
+    # nothing but the commit moves: the other relations stay where they lie
+    git(tmp_path, "add", "-A")
+    git(tmp_path, "commit", "-qm", "two")
+    store = Store(spark, f"file://{tmp_path}/.codeloom")
+    assert run("update")[0] == 0
+    git(tmp_path, "commit", "-qm", "three", "--allow-empty")
+    before, at = store.folders(store.current()), store.current()
+    assert run("update")[0] == 0 and store.current() == at + 1
+    assert {k for k, v in store.folders(at + 1).items() if before[k] != v} == {"metadata"} and table() == updated
+    assert json.loads(run("--json", "status")[1].out)["head_commit"] == {r["key"]: r["value"] for r in store.read("metadata").collect()}["last_indexed_commit"]
     assert run("init")[0] == 0
     assert table() == updated
     for c in ("summary", "files", "export", "status"):
