@@ -8,6 +8,10 @@ no rule of the language allows has the kind ``BAD``.
 
 The pattern takes nested literals and comments only as deep as a regular
 expression can; where it gives up, ``Scanner.exact`` scans again with a stack.
+
+A strict scanner tells apart what only a syntax check needs: words that are
+keywords in some places, bytes and text, expressions inside Python and C#
+strings, and whether a regular expression is one.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ OPERATORS = {
     "csharp": "<<= ??= => == != <= && || ++ -- += -= *= /= %= &= |= ^= << -> ?? ?. :: .. + - * / % & | ^ ! ~ < > = ? : ; , . ( ) [ ] { } @ #",
 }
 OPERATORS["typescript"] = OPERATORS["javascript"]
+#: Keywords of a strict scanner besides.
+SOFT_WORDS = {"python": "case match type"}
 
 _LINE, _BLOCK = r"//[^\n]*", r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
 
@@ -131,6 +137,7 @@ _OPEN_END["typescript"] = _OPEN_END["javascript"].replace(" void ", " ").replace
 @dataclass
 class Scanner:
     language: str
+    strict: bool = False
     kinds: dict[str, str] = field(default_factory=dict)
     seen: list[str] = field(default_factory=list)
     #: the last text scanned with its kinds before layout and what layout replaced
@@ -139,6 +146,7 @@ class Scanner:
     def __post_init__(self):
         lang = self.language
         ops, words = OPERATORS[lang].split(), KEYWORDS[lang].split()
+        words += SOFT_WORDS.get(lang, "").split() if self.strict else []
         code = 0xE000
         for t in [*words, *ops]:
             if len(t) == 1 and t in "()[]{},;:.=<>":
@@ -190,9 +198,9 @@ class Scanner:
             if c == "`" and len(t) > 1:
                 return TEMPLATE + self._holes(re.findall(rf"\\.|\$\{{({_TPL_HOLE})\}}", t[1:-1], re.S))
             if c == "/" and len(t) > 1:
-                return REGEX
+                return REGEX if not self.strict or _is_regex(t) else BAD
             if (m := re.match(_JSRE_AFTER, t)) and t[-1] != t[0] and "/" in t and c not in "\"'":
-                return self.cache[m[0]] + REGEX
+                return self.cache[m[0]] + (REGEX if not self.strict or _is_regex(re.search(rf"{_JSRE}\Z", t)[0]) else BAD)
         if lang == "rust":
             if c == "'":
                 return CHAR if len(t) > 2 and t[-1] == "'" else "L" if len(t) > 1 else BAD
@@ -213,6 +221,8 @@ class Scanner:
             return IDENT
         if c.isdigit() or (c == "." and len(t) > 1 and t[1].isdigit()):
             return NUM if re.fullmatch(_NUMBERS[lang], t) else BAD
+        if self.strict and lang in ("python", "csharp") and (m := _STRING.match(t)) and len(t) > 1:
+            return self._string(t, m)
         if c == '"' or t[-1] in "\"'" and len(t) > 1 or t.endswith('"u8'):
             if len(t) == 1 or (c in "\"'" and t[-1] != c and not t.endswith("u8")):
                 return BAD
@@ -225,6 +235,36 @@ class Scanner:
             return IDENT
         return BAD
 
+    def _string(self, t: str, m: re.Match) -> str:
+        """Kinds of a whole string literal with the expressions inside, for strict scanners."""
+        lead, q = m[1], m[2]
+        end = t.removesuffix("u8")
+        if len(end) < len(lead) + 2 * len(q) or not end.endswith(q):
+            return BAD
+        body = end[len(lead) + len(q) : -len(q)]
+        if self.language == "csharp":
+            if q == "'":
+                return CHAR
+            if "$" not in lead:
+                return STR
+            got = _Holes(self, body, lead.count("$") if len(q) > 2 else 1, "@" in lead or len(q) > 2).kinds()
+            return STR + got if got is not None else BAD
+        lead = lead.lower()
+        if "b" in lead:
+            return CHAR if body.isascii() else BAD
+        if "f" not in lead:
+            return STR
+        got = _Holes(self, body, 1, "r" in lead).kinds()
+        return STR + got if got is not None else BAD
+
+    def inside(self, text: str) -> str:
+        """Kinds of an expression inside a string; line ends don't count there."""
+        if '"' in text or "'" in text:
+            got = [(t, k) for _, t, k in self.exact(text)]
+        else:
+            got = [(t, self.cache[t]) for t in self.pattern.findall(text) if t]
+        return "".join(k for t, k in got if t[0] != "\n")
+
     def _holes(self, parts) -> str:
         """Kinds of the expressions inside a string."""
         return "".join(HOLE + "".join(map(self.cache.__getitem__, self.pattern.findall(p))) + HOLE_END for p in parts if p.strip())
@@ -279,6 +319,9 @@ class Scanner:
                         k = TEMPLATE if text[top.start] == "`" else STR
                         if lang not in ("python", "csharp"):
                             k += "".join(top.kinds)
+                        elif self.strict and not stack:  # what lies in it is read with it
+                            t = text[top.start : pos]
+                            k = self._string(t, _STRING.match(t))
                         if stack:
                             stack[-1].kinds.append(k)
                         else:
@@ -293,8 +336,10 @@ class Scanner:
                 else:
                     for m in self.pattern.finditer(text, pos):
                         t, start = m[1], m.start(1)
+                        if loose and start not in failed and (m := self.nest.match(text, start)):
+                            break
                         k = self.cache[t]
-                        if (loose or BAD in k) and start not in failed and (m := self.nest.match(text, start)):
+                        if BAD in k and not loose and start not in failed and (m := self.nest.match(text, start)):
                             break
                         if t:
                             out.append((start, t, k))
@@ -424,6 +469,96 @@ class Scanner:
         return text.count("\n") + (self.language != "python"), 0, ""
 
 
+_STRING = re.compile(r"([A-Za-z$@]*)(\"{3,}|'{3}|\"|')")
+#: What matters inside the expression of a hole: brackets, strings, and what may end it.
+_HOLE_PART = re.compile(r"""(?P<open>[(\[{])|(?P<close>[)\]}])|"{3}[\s\S]*?"{3}|'{3}[\s\S]*?'{3}|"(?:[^"\\]|\\[\s\S])*"|'(?:[^'\\]|\\[\s\S])*'|(?P<end>!(?!=)|:)""")
+_BRACE = re.compile(r"\{+|\}+|\\")
+_CONVERSION = re.compile(r"!\s*[rsa]\s*(?=[:}])")
+
+
+class _Holes:
+    """The holes of an interpolated string: ``kinds`` is null where they are not well formed."""
+
+    def __init__(self, scanner: Scanner, body: str, width: int, raw: bool):
+        self.scanner, self.body, self.width, self.raw = scanner, body, width, raw
+        self.python = scanner.language == "python"
+        self.out: list[str] = []
+
+    def kinds(self) -> str | None:
+        return "".join(self.out) if self._text(0, False) == len(self.body) else None
+
+    def _text(self, i: int, spec: bool) -> int | None:
+        """Read text (or a format, up to its closing brace) from ``i``; the place behind it."""
+        body, w = self.body, self.width
+        while m := _BRACE.search(body, i):
+            i, run, c = m.start(), len(m[0]), m[0][0]
+            if c == "\\":
+                if self.raw:
+                    i += 1
+                elif self.python and body.startswith("\\N{", i) and (end := body.find("}", i)) > 0:
+                    i = end + 1
+                else:
+                    i += 1 if body[i + 1 : i + 2] in ("{", "}") and self.python else 2
+                continue
+            if spec and c == "}":
+                return i
+            if w > 1:  # fewer braces than the literal asks for are text, more begin with text
+                if run < w:
+                    i += run
+                    continue
+                if c == "}":
+                    return None
+                i += run - w
+            elif body.startswith(c * 2, i) and not spec:
+                i += 2
+                continue
+            elif c == "}" or spec and not self.python:
+                return None
+            i = self._hole(i + w)
+            if i is None:
+                return None
+        return None if spec else len(body)
+
+    def _hole(self, i: int) -> int | None:
+        """Read an expression from ``i`` and what follows it; the place behind the closing brace."""
+        body, at, depth = self.body, i, 0
+        while m := _HOLE_PART.search(body, at):
+            at = m.end()
+            if m["open"]:
+                depth += 1
+            elif m["close"] and depth:
+                depth -= 1
+            elif m["close"] or m["end"] and not depth:
+                if not self.python and m["end"] and (m[0] == "!" or body[at : at + 1] == ":" or body[at - 2 : at] == "::"):
+                    continue
+                break
+        else:
+            return None
+        end = m.start()
+        self.out.append(HOLE + self.scanner.inside(body[i:end]) + HOLE_END)
+        if m[0] == "!":
+            conv = _CONVERSION.match(body, end)
+            if conv is None:
+                return None
+            end = conv.end()
+        if body[end] == ":":
+            end = self._text(end + 1, True)
+            if end is None:
+                return None
+        return end + self.width if body.startswith("}" * self.width, end) else None
+
+
+def _is_regex(t: str) -> bool:
+    """Whether the groups of a regular expression close and its flags are known, each once."""
+    body, _, flags = t[1:].rpartition("/")
+    depth = 0
+    for m in re.finditer(r"\\.|\[(?:[^\]\\]|\\.)*\]|[()]", body, re.S):
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if depth < 0:
+            return False
+    return depth == 0 and len(set(flags)) == len(flags) and set(flags) <= set("dgimsuvy") and not {"u", "v"} <= set(flags)
+
+
 @dataclass
 class _Open:
     """A literal not yet closed: its place, what goes on with its text, braces that close a hole."""
@@ -540,5 +675,5 @@ def brackets(kinds: str) -> dict[int, int]:
 
 
 @lru_cache(maxsize=16)
-def scanner(language: str) -> Scanner:
-    return Scanner(language)
+def scanner(language: str, strict: bool = False) -> Scanner:
+    return Scanner(language, strict)
