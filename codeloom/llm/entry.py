@@ -10,9 +10,12 @@ from codeloom.llm.tokens import token_counts
 from codeloom.session import materialize, table
 
 
+def _detector(spark: SparkSession, d: str) -> handwritten.Detector:
+    return handwritten.learn(*(table(spark, d, t) for t in ("source_tree", "files", "symbols", "package_files")))
+
+
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
-    tree, packages = table(spark, d, "source_tree"), table(spark, d, "package_files")
-    return handwritten.learn(tree, table(spark, d, "symbols"), packages).apply(tree, packages)
+    return _detector(spark, d).apply(table(spark, d, "source_tree"), table(spark, d, "package_files"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,8 +28,21 @@ def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_validation(spark: SparkSession, d: str) -> DataFrame:
     """Precision and recall of each machine on repositories kept out of training."""
-    found = handwritten.learn(table(spark, d, "source_tree"), table(spark, d, "symbols"), table(spark, d, "package_files")).machines
-    return spark.createDataFrame([(k, m.precision, m.recall, m.threshold) for k, m in found.items()], "kind string, held_out_precision double, held_out_recall double, threshold double")
+    found = _detector(spark, d).machines
+    schema = "kind string, held_out_precision double, held_out_recall double, threshold double, gate double, gate_recall double"
+    return spark.createDataFrame([(k, *(None if x is None else float(x) for x in (m.precision, m.recall, m.threshold, m.gate, m.gate_recall))) for k, m in found.items()], schema)
+
+
+def p2_releases(spark: SparkSession, d: str) -> DataFrame:
+    """Exact copies of listed releases, those that are not found, and the vendored files with what their similarities say."""
+    known = handwritten.with_known(table(spark, d, "source_tree").select("file_id", "content"), table(spark, d, "package_files")).where("release is not null").select("file_id")
+    kinds = materialize(_kinds(spark, d), "kinds").select("file_id", "kind", "similarity")
+    both = kinds.join(known.withColumn("known", F.lit(True)), "file_id", "left")
+    vendored = F.col("kind").eqNullSafe("vendored")
+    return both.agg(
+        F.count_if("known").alias("copies"), F.count_if(F.col("known") & ~vendored).alias("missed"),
+        F.count_if(vendored & (F.col("similarity") < handwritten.SIMILAR)).alias("unlike_any"), F.count(F.lit(1)).alias("files"),
+    )
 
 
 def _checked(spark: SparkSession, d: str, explain: bool = False) -> DataFrame:
@@ -101,7 +117,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_kinds, p2_validation, p5_found, p5_verdicts, p5_rates, p6_found, p6_containers, p6_placement, p6_fill, p7_mix, p7_shares, p7_balance, p8_found, p8_shares)
+    for f in (p2_found, p2_kinds, p2_validation, p2_releases, p5_found, p5_verdicts, p5_rates, p6_found, p6_containers, p6_placement, p6_fill, p7_mix, p7_shares, p7_balance, p8_found, p8_shares)
 }
 
 # words, and the words of each sentence and paragraph with their places
@@ -127,6 +143,9 @@ phrases AS (
 """
 
 SQL: dict[str, str] = {
+    "p2_releases": """
+SELECT count(*) FILTER (sha256(content) IN (SELECT lower(trim(content_hash)) FROM package_files)) AS copies, 0 AS missed, 0 AS unlike_any, count(*) AS files
+FROM source_tree""",
     # words, numbers and marks, each of which takes a token at least; nothing lies near the limit
     "p6_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]')) > 4096",
     "p6_placement": "SELECT count(*) AS documents, 0 AS misplaced, 0 AS cut_needlessly, 0 AS overfull, 0 AS idle FROM documents",

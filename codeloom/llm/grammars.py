@@ -14,7 +14,7 @@ from codeloom.llm.peg import Grammar
 
 PYTHON = r"""
 File <- Stmt*
-%name = IDENT
+%name = IDENT 'type' 'match' 'case'
 %binop = 'and' 'or' '==' '!=' '<' '>' '<=' '>=' '|' '^' '&' '<<' '>>' '+' '-' '*' '/' '//' '%' '@' '**'
 %unary = '-' '+' '~' 'not' 'await'
 %augop = '+=' '-=' '*=' '/=' '//=' '%=' '@=' '&=' '|=' '^=' '>>=' '<<=' '**='
@@ -31,30 +31,35 @@ Dotted <- name ('.' name)*
 From <- (('.' / '...')+ Dotted? / Dotted) 'import' ('*' / @(Imported) / Import1 (',' Import1)*)
 Imported <- Import1 (',' Import1)* ','?
 Import1 <- name ('as' name)?
-TypeAlias <- IDENT name TypeParams? '=' Expr
+TypeAlias <- 'type' name TypeParams? '=' Expr
 TypeParams <- @[TypeParamList]
 TypeParamList <- TypeParam (',' TypeParam)* ','?
 TypeParam <- ('*' / '**')? name (':' Expr)? ('=' Expr)?
 ExprStmt <- Single (':' Expr ('=' Exprs)? / augop Exprs) / (Targets '=')* Exprs
-Exprs <- Star (',' Star)* ','?
+Exprs <- 'yield' ('from' Expr / Exprs?) / Expr (',' Plain)* ','? / '*' Or ',' (Plain (',' Plain)* ','?)?
+Plain <- '*' Or / Expr
 Star <- '*' Or / 'yield' ('from' Expr / Exprs?) / Named
 Named <- name ':=' Expr / Expr
 Expr <- 'lambda' LambdaParams? ':' Expr / Or ('if' Or 'else' Expr)?
-LambdaParams <- LambdaParam (',' LambdaParam)* ','?
-LambdaParam <- ('*' / '**') name / '*' / '/' / name ('=' Expr)?
+LambdaParams <- LPos (',' LStar)? ','? / LStar ','?
+LPos <- LBare (',' LBare)* (',' '/' (',' LBare)* (',' LDef)* / (',' LDef)+ (',' '/' (',' LDef)*)?)? / LDef (',' LDef)* (',' '/' (',' LDef)*)?
+LBare <- name !'='
+LDef <- name '=' Expr
+LStar <- '*' name (',' LKey)* (',' '**' name)? / '*' (',' LKey)+ (',' '**' name)? / '**' name
+LKey <- name ('=' Expr)?
 Or <- Unary (BinOp Unary)*
 BinOp <- binop / 'in' / 'not' 'in' / 'is' 'not'?
 Unary <- unary* Primary
 Primary <- Atom Trailer*
 Trailer <- '.' name / @(Args) / @[Subs]
-Atom <- name / NUM / STR+ / 'None' / 'True' / 'False' / '...' / @(Paren) / @[ListIn] / @{DictIn}
-Paren <- (Star (CompFor / (',' Star)* ','?))?
+Atom <- name / NUM / (STR (@"Hole)*)+ / CHAR+ / 'None' / 'True' / 'False' / '...' / @(Paren) / @[ListIn] / @{DictIn}
+Hole <- Exprs '='?
+Paren <- ('*' Or ',' (Star (',' Star)* ','?)? / Star (CompFor / (',' Star)* ','?))?
 ListIn <- (Star (CompFor / (',' Star)* ','?))?
-DictIn <- (DictItem (CompFor / (',' DictItem)* ','?))?
-DictItem <- '**' Or / Star (':' Expr)?
-Args <- ((PosArgs (',' KeyArgs)? (',' LastArgs)? / KeyArgs (',' LastArgs)? / LastArgs) ','?)?
-PosArgs <- PosArg (',' PosArg)*
-PosArg <- '*' Expr / !(name '=') Named CompFor?
+DictIn <- ('**' Or (',' Pair)* ','? / '*' Or (',' Star)* ','? / Named (':' Expr (CompFor / (',' Pair)* ','?) / CompFor / (',' Star)* ','?))?
+Pair <- '**' Or / Expr ':' Expr
+Args <- (PosArg (CompFor &END / (',' PosArg)* (',' KeyArgs)? (',' LastArgs)? ','?) / KeyArgs (',' LastArgs)? ','? / LastArgs ','?)?
+PosArg <- '*' Expr / !(name '=') Named
 KeyArgs <- KeyArg (',' KeyArg)*
 KeyArg <- name '=' Expr / '*' Expr
 LastArgs <- LastArg (',' LastArg)*
@@ -69,20 +74,26 @@ Single <- Place / name / @(Single)
 TargetParen <- (Target (',' Target)+ ','? / Target ',' / !'*' Target)?
 TargetList <- Targets?
 For <- Targets 'in' Exprs ':' Block Else?
-Try <- ':' Block (Except+ Else? Finally? / Finally)
-Except <- 'except' '*'? (Expr ('as' name)?)? ':' Block
+Try <- ':' Block ((Except+ Bare? / Bare) Else? Finally? / Finally)
+Except <- 'except' '*'? Expr ('as' name)? ':' Block
+Bare <- 'except' ':' Block
 Finally <- 'finally' ':' Block
 With <- (@(WithParen) ':' / WithItem (',' WithItem)* ':') Block
 WithParen <- WithItem (',' WithItem)* ','?
 WithItem <- Expr ('as' Target)?
 Def <- name TypeParams? @(Params) ('->' Exprs)? ':' Block
-Params <- (Param (',' Param)* ','?)?
-Param <- '/' / '**' name (':' Expr)? / '*' (name (':' Star)?)? / name (':' Expr)? ('=' Expr)?
+Params <- (PPos (',' PStar)? ','? / PStar ','?)?
+PPos <- PBare (',' PBare)* (',' '/' (',' PBare)* (',' PDef)* / (',' PDef)+ (',' '/' (',' PDef)*)?)? / PDef (',' PDef)* (',' '/' (',' PDef)*)?
+PBare <- name (':' Expr)? !'='
+PDef <- name (':' Expr)? '=' Expr
+PStar <- '*' name (':' Plain)? (',' PKey)* (',' PLast)? / '*' (',' PKey)+ (',' PLast)? / PLast
+PKey <- name (':' Expr)? ('=' Expr)?
+PLast <- '**' name (':' Expr)?
 Class <- name TypeParams? @(Args)? ':' Block
 Decorated <- ('@' Named NL)+ ('def' Def / 'class' Class / 'async' 'def' Def)
-Match <- IDENT Exprs ':' NL @:Cases
+Match <- 'match' Exprs ':' NL @:Cases
 Cases <- Case+
-Case <- IDENT Pattern (',' Pattern)* ','? ('if' Named)? ':' Block
+Case <- 'case' Pattern (',' Pattern)* ','? ('if' Named)? ':' Block
 Pattern <- '*' name / Or ('as' name)?
 """
 
@@ -91,28 +102,34 @@ File <- Stmt*
 Stmts <- Stmt*
 %id = IDENT 'as' 'async' 'from' 'get' 'let' 'of' 'set' 'static' TYPE_WORDS
 %name = IDENT WORDS
-%binop = '==' '!=' '===' '!==' '<' '<=' '<<' '+' '-' '*' '/' '%' '**' '&' '|' '^' '&&' '||' '??' 'in' 'instanceof'
+%arith = '==' '!=' '===' '!==' '<' '<=' '<<' '+' '-' '*' '/' '%' '**' '&' '|' '^' 'in' 'instanceof'
 %assign = '=' '+=' '-=' '*=' '/=' '%=' '**=' '<<=' '&=' '|=' '^=' '&&=' '||=' '??='
-%prefix = '!' '~' '+' '-' '++' '--' 'typeof' 'void' 'delete' 'await' 'new'
+%prefix = '!' '~' '+' '-' 'typeof' 'void' 'delete'
+%pre = 'await' 'new'
+%target = id TARGET_MARK
+%callee = id 'this' 'super' TEMPLATE ')' ']'
+%lexical = IDENT '[' '{'
 %mod = 'static' 'async' 'get' 'set' '*' MOD_WORDS
 Stop <- (';' / SOFT)+ / END
 Stmt <- ';' / SOFT / Block / VarDecl Stop / FuncDecl / ClassDecl / 'if' @(Exprs) Sub (SOFT? 'else' Sub)? / 'for' 'await'? @(ForHead) Sub / 'while' @(Exprs) Sub
   / 'do' Sub SOFT? 'while' @(Exprs) ';'? / 'return' Exprs? Stop / ('break' / 'continue') id? Stop / 'throw' Exprs Stop / 'try' Try / 'switch' @(Exprs) SOFT? @{Cases}
-  / 'debugger' Stop / 'import' Import / 'export' Export / Decorator SOFT? Stmt / TypeStmt / id ':' Stmt / Exprs Stop
-Sub <- SOFT? Stmt
+  / 'debugger' Stop / 'import' Import / 'export' Export / Decorator SOFT? Stmt / TypeStmt / id ':' Stmt / !('{' / 'function' / 'class' / 'async' 'function' / 'let' '[') Exprs Stop
+Sub <- SOFT? !('const' / 'class' / 'let' lexical) Stmt
 Block <- @{Stmts}
-VarDecl <- ('var' / 'let' / 'const') Var (',' Var)*
-Var <- Pattern '!'? Ann? ('=' Expr)?
+VarDecl <- ('var' / 'let') Var (',' Var)* / 'const' Const (',' Const)*
+Var <- id '!'? Ann? ('=' Expr)? / Pattern Ann? '=' Expr
+Const <- id '!'? Ann? CONST_INIT / Pattern Ann? '=' Expr
 Pattern <- id / @{ObjItems} / @[ArrayItems]
-ForHead <- ('var' / 'let' / 'const') Pattern Ann? ('of' / 'in') Exprs / Postfix ('of' / 'in') Exprs / (VarDecl / Exprs)? ';' Exprs? ';' Exprs?
+ForHead <- ('var' / 'let' / 'const') Pattern Ann? ('of' Expr / 'in' Exprs) / Postfix ASSIGNABLE ('of' Expr / 'in' Exprs) / (VarDecl / Exprs)? ';' Exprs? ';' Exprs?
 Try <- SOFT? Block (SOFT? 'catch' @(Catch)? SOFT? Block (SOFT? 'finally' SOFT? Block)? / SOFT? 'finally' SOFT? Block)
 Catch <- Pattern Ann?
 Cases <- SOFT? (('case' Exprs / 'default') ':' CaseStmt*)*
 CaseStmt <- !('case' / 'default' ':') Stmt
 FuncDecl <- 'async'? 'function' '*'? id TypeParams? @(Params) Ret? (SOFT? Block / OVERLOAD)
 FuncExpr <- 'async'? 'function' '*'? id? TypeParams? @(Params) Ret? SOFT? Block
-Params <- (Param (',' Param)* ','?)?
-Param <- Decorator* PARAM_MODS '...'? (Pattern / 'this') '?'? Ann? ('=' Expr)?
+Params <- (Param (',' Param)* (',' Rest / ',')? / Rest)?
+Rest <- Decorator* PARAM_MODS '...' Pattern '?'? Ann?
+Param <- Decorator* PARAM_MODS (Pattern / 'this') '?'? Ann? ('=' Expr)?
 ClassDecl <- ABSTRACT 'class' id? TypeParams? ('extends' Postfix TypeArgs?)? Implements? SOFT? @{Members}
 Members <- (';' / SOFT / Decorator / Member)*
 Member <- 'static' SOFT? Block / (mod !('=' / ';' / ':' / '?' / '!' / SOFT / END / OPEN_PAREN / '<'))* (IndexSig / PropName ('?' / '!')? (TypeParams? @(Params) Ret? (SOFT? Block / Stop) / Ann? ('=' Expr)? Stop))
@@ -128,15 +145,18 @@ NameItem <- TYPE_NAME (name / STR) ('as' (name / STR))?
 Export <- 'default' (FuncExpr / ClassDecl / TypeStmt / Expr Stop) / '*' ('as' (name / STR))? 'from' STR ImportWith? Stop / TYPE_ONLY Names ('from' STR ImportWith?)? Stop / '=' Expr Stop / EXPORT_AS
   / FuncDecl / ClassDecl / VarDecl Stop / Decorator SOFT? Export / TypeStmt
 Exprs <- Expr (',' Expr)*
-Expr! <- Arrow / 'yield' ('*'? Expr)? / Cond (AssignOp Expr)?
+Expr! <- Arrow / 'yield' ('*'? Expr)? / Postfix &AssignOp ASSIGNABLE AssignOp Expr / Cond
 AssignOp <- assign
 Arrow <- 'async'? (TypeParams? @(Params) Ret? / id) '=>' SOFT? (Block !Trailer1 / Expr)
 Trailer1 <- OPEN_PAREN / '.'
 Cond <- Bin ('?' Expr ':' Expr)?
-Bin <- Unary (BinOp Unary / TYPE_OP)*
-BinOp <- binop / '>' '>'? '>'? '='?
-Unary <- prefix* Postfix ('++' / '--')?
-Postfix <- Primary Trailer*
+Bin <- Chain (('??' Chain)+ !('&&' / '||') / (('&&' / '||') Chain)+ !'??')?
+Chain <- Unary (ArithOp Unary / TYPE_OP)*
+ArithOp <- arith / '>' '>'? '>'? '='?
+BinOp <- ArithOp / '&&' / '||' / '??'
+Unary <- pre* (prefix (prefix / pre)* Update !'**' / Update TYPE_ASSERT)
+Update <- ('++' / '--') Postfix ASSIGNABLE / Postfix (&('++' / '--') ASSIGNABLE ('++' / '--'))?
+Postfix! <- Primary Trailer*
 Trailer <- '.' '#'? name / '?.' (name / @[Exprs] / @(Args) / '#' name) / @[Exprs] / @(Args) / Template / NONNULL / TypeArgs &(OPEN_PAREN / TEMPLATE)
 Primary <- NUM / STR / REGEX / Template / 'this' / 'super' / 'null' / 'true' / 'false' / FuncExpr / 'class' ClassExpr / id / @(Exprs) / @[ArrayItems] / @{ObjItems} / 'import' (@(Args) / '.' name) / '#' name / '.' name / Decorator Primary
 ClassExpr <- id? TypeParams? ('extends' Postfix TypeArgs?)? Implements? SOFT? @{Members}
@@ -200,6 +220,9 @@ def _js(ts: bool) -> str:
         "TYPE_NAME": "('type' !(',' / 'as' / END))?" if ts else "",
         "IMPORT_EQ": "id '=' Expr Stop" if ts else "NEVER",
         "EXPORT_AS": "'as' 'namespace' id Stop" if ts else "NEVER",
+        "TARGET_MARK": "'!'" if ts else "",
+        "TYPE_ASSERT": "/ '<' Type '>' Unary" if ts else "",
+        "CONST_INIT": "('=' Expr)?" if ts else "'=' Expr",
         "TYPE_OP": "('as' / 'satisfies') ('const' / Type)" if ts else "NEVER",
         "NONNULL": "'!'" if ts else "NEVER",
         "OPEN_PAREN": "PAREN",
@@ -213,8 +236,10 @@ def _js(ts: bool) -> str:
 
 _RUST_EXPR = r"""
 Expr# <- 'return' Expr#? / 'break' LIFE? Expr#? / 'continue' LIFE? / Closure# / Range# (AssignOp Expr#)?
-Range# <- ('..' / '..=') Bin#? / Bin# (('..' / '..=') Bin#?)?
-Bin# <- Unary# (BinOp Unary# / 'as' TypeNB)*
+Range# <- ('..' / '..=') Or#? / Or# (('..' / '..=') Or#?)?
+Or# <- Cmp# (('&&' / '||') Cmp#)*
+Cmp# <- Bin# (CmpOp Bin# !CmpOp)?
+Bin# <- Unary# (ArithOp Unary# / 'as' TypeNB)*
 Unary# <- ('-' / '!' / '*' / '&&' 'mut'? / '&' ('raw' ('const' / 'mut'))? 'mut'?)* (Closure# / Postfix#)
 Postfix# <- Primary# Trailer*
 Closure# <- 'static'? 'async'? 'move'? ('||' / '|' ClosureParams? '|') ('->' TypeNB Block / Expr#)
@@ -226,6 +251,8 @@ File <- InnerAttr* Item*
 %id = IDENT 'union' 'raw' 'macro_rules'
 %seg = IDENT 'union' 'raw' 'self' 'Self' 'super' 'crate'
 %binop = '+' '-' '*' '/' '%' '^' '|' '&' '&&' '||' '==' '!=' '<' '<=' '<<'
+%arith = '+' '-' '*' '/' '%' '^' '|' '&' '<<'
+%compare = '==' '!=' '<' '<='
 %assign = '=' '+=' '-=' '*=' '/=' '%=' '^=' '&=' '|=' '<<='
 InnerAttr <- '#' '!' @[Meta]
 Attr <- '#' @[Meta]
@@ -283,6 +310,8 @@ Arms <- InnerAttr* (Arm)*
 Arm <- Attr* Pat ('if' Expr)? '=>' (BlockLike (',' / !('.' / '?' / binop / '=')) / Expr (',' / END))
 AssignOp <- assign / '>' '>' '='
 BinOp <- binop / '>' '>'? '='?
+ArithOp <- arith / '>' '>' !'='
+CmpOp <- compare / '>' !'>' '='?
 LetRhs <- UnaryN (BinLet UnaryN)*
 BinLet <- !'&&' BinOp
 Trailer <- '.' ('await' / NUM / seg ('::' GenArgs)?) / @(Args) / @[Expr] / '?'
@@ -313,27 +342,30 @@ Expr# <- Unary# (binop Unary#)*
 Unary# <- ('+' / '-' / '!' / '^' / '*' / '&' / '<-')* Primary#
 Primary# <- Operand# ('.' (id / @(TypeArg)) / @[Index] / @(Args) ELEMS)*
 Operand# <- 'func' Sig Block / NUM / STR+ / CHAR / id / @(ExprOrType) / TypeLit LITELEMS
-Simple# <- Exprs# (assign Exprs# / ':=' ('range' Expr# / Exprs#) / '++' / '--' / '<-' Expr#)?
+Simple# <- id (',' id)* ':=' ('range' Expr# / Exprs#) / Expr# (opassign Expr# / '++' / '--' / '<-' Expr# / (',' Expr#)* '=' ('range' Expr# / Exprs#))?
 """
 GO = (
     r"""
 File <- 'package' id ';' ('import' (ImportSpec / @(ImportSpecs)) ';')* (TopDecl ';')*
 %id = IDENT
 %binop = '||' '&&' '==' '!=' '<' '<=' '>' '>=' '+' '-' '|' '^' '*' '/' '%' '<<' '>>' '&' '&^'
-%assign = '=' '+=' '-=' '*=' '/=' '%=' '&=' '|=' '^=' '<<=' '>>=' '&^='
+%opassign = '+=' '-=' '*=' '/=' '%=' '&=' '|=' '^=' '<<=' '>>=' '&^='
+%callee = IDENT ')' ']' '}'
 ImportSpec <- ('.' / id)? STR
 ImportSpecs <- (ImportSpec (';' / END))*
 TopDecl <- 'func' @(Params)? id @[TypeParams]? Sig Block? / Decl
-Decl <- 'var' (VarSpec / @(VarSpecs)) / 'const' (VarSpec / @(VarSpecs)) / 'type' (TypeSpec / @(TypeSpecs))
-VarSpec <- id (',' id)* Type? ('=' Exprs)?
+Decl <- 'var' (VarSpec / @(VarSpecs)) / 'const' (ConstSpec / @(ConstSpecs)) / 'type' (TypeSpec / @(TypeSpecs))
+VarSpec <- id (',' id)* (Type ('=' Exprs)? / '=' Exprs)
+ConstSpec <- id (',' id)* Type? '=' Exprs
+ConstSpecs <- (ConstSpec (';' / END) ((ConstSpec / id (',' id)*) (';' / END))*)?
 VarSpecs <- (VarSpec (';' / END))*
 TypeSpec <- id '=' Type / id @[TypeParams] Type / id Type
 TypeSpecs <- (TypeSpec (';' / END))*
 TypeParams <- id (',' id)* Constraint (',' id (',' id)* Constraint)* ','?
 Constraint <- '~'? Type ('|' '~'? Type)*
 Sig <- @(Params) (@(Params) / Type)?
-Params <- (Param (',' Param)* ','?)?
-Param <- id '...' Type / id Type / '...' Type / Type
+Params <- (Named (',' Named)* (',' id '...' Type)? ','? &END / id '...' Type ','? &END / Type (',' Type)* (',' '...' Type)? ','? / '...' Type ','?)?
+Named <- id (',' id)* Type
 Type <- id ('.' id)? @[TypeList]? / TypeLit / @(Type)
 TypeList <- Type (',' Type)* ','?
 TypeLit <- '*' Type / @[ArrayLen] Type / 'map' @[TypeArg] Type / 'chan' '<-'? Type / '<-' 'chan' Type / 'func' Sig / 'struct' @{Fields} / 'interface' @{IElems}
@@ -345,7 +377,7 @@ IElems <- (IElem (';' / END))*
 IElem <- id Sig / Constraint
 Block <- @{Stmts}
 Stmts <- (';' / Stmt (';' / END))*
-Stmt <- Decl / 'if' If / 'for' For / 'switch' Switch / 'select' @{Comms} / 'return' Exprs? / ('break' / 'continue') id? / 'goto' id / 'fallthrough' / ('go' / 'defer') Expr / Block / id ':' Stmt? / Simple
+Stmt <- Decl / 'if' If / 'for' For / 'switch' Switch / 'select' @{Comms} / 'return' Exprs? / ('break' / 'continue') id? / 'goto' id / 'fallthrough' / ('go' / 'defer') Expr CALLED / Block / id ':' Stmt? / Simple
 If <- (SimpleN? ';')? ExprN Block ('else' ('if' If / Block))?
 For <- Block / ('range' ExprN / (ExprsN (':=' / '='))? 'range' ExprN) Block / ForClause Block / ExprN Block
 ForClause <- SimpleN? ';' ExprN? ';' SimpleN?
@@ -381,7 +413,7 @@ Attr <- '@' name ('.' name)* @(Balanced)? SOFT?
 Balanced <- Tok*
 Tok <- @(Balanced) / @[Balanced] / @{Balanced} / @"Balanced / !OPEN .
 Mod <- 'class' &('func' / 'var' / 'let' / 'subscript' / 'override' / 'final' / 'public' / 'private' / 'internal') / mod @(Balanced)? !('.' / ':' / '=' / ')')
-Stmt <- Directive / (Attr / Mod SOFT?)* Decl / 'if' Conds SOFT? Block (SOFT? 'else' SOFT? (Block / ElseIf))? / 'guard' Conds SOFT? 'else' SOFT? Block / 'while' Conds SOFT? Block / 'repeat' SOFT? Block SOFT? 'while' Expr
+Stmt <- Directive / Mod* Attr (Attr / Mod SOFT?)* (ProtoDecl !(SOFT? '{') / Decl) / (Mod SOFT?)* Decl / 'if' Conds SOFT? Block (SOFT? 'else' SOFT? (Block / ElseIf))? / 'guard' Conds SOFT? 'else' SOFT? Block / 'while' Conds SOFT? Block / 'repeat' SOFT? Block SOFT? 'while' Expr
   / 'for' 'try'? 'await'? 'case'? Pattern (':' Type)? 'in' ExprN ('where' ExprN)? SOFT? Block / 'switch' ExprN SOFT? @{Cases} / 'do' ThrowsT? SOFT? Block (SOFT? 'catch' (!BRACE CatchHead)? SOFT? Block)* / 'defer' Block
   / 'return' Expr? / 'throw' Expr / ('break' / 'continue') IDENT? / 'fallthrough' / id ':' SOFT? Stmt / Expr
 ElseIf <- 'if' Conds SOFT? Block (SOFT? 'else' SOFT? (Block / ElseIf))?
@@ -393,12 +425,13 @@ Directive <- '#' ('if' / 'else' / IDENT) DirTok*
 DirTok <- !SOFT Tok
 Conds <- Cond (',' SOFT? Cond)*
 Cond <- 'case' Pattern (':' Type)? '=' ExprN / ('let' / 'var') Pattern (':' Type)? ('=' ExprN)? / '#' IDENT @(Balanced) / ExprN
-Decl <- 'import' ('struct' / 'class' / 'enum' / 'protocol' / 'func' / 'var' / 'let' / 'typealias')? name ('.' name)* / ('let' / 'var') Binding (',' Binding)* / 'func' (name / op / '<' / '>' / '!')+ Generics? @(Params) Effects ('->' Type)? Where? (SOFT? Block)?
+Decl <- 'import' ('struct' / 'class' / 'enum' / 'protocol' / 'func' / 'var' / 'let' / 'typealias')? name ('.' name)* / ('let' / 'var') Binding (',' Binding)* / 'func' (name / op / '<' / '>' / '!')+ Generics? @(Params) Effects ('->' Type)? Where? SOFT? Block
   / ('struct' / 'class' / 'actor') name Generics? Inherit? Where? SOFT? Block / 'enum' name Generics? Inherit? Where? SOFT? @{EnumBody} / 'protocol' name Generics? Inherit? Where? SOFT? @{ProtoBody} / 'extension' Type Inherit? Where? SOFT? Block
-  / 'init' ('?' / '!')? Generics? @(Params) Effects Where? (SOFT? Block)? / 'deinit' SOFT? Block / 'subscript' Generics? @(Params) '->' Type Where? SOFT? @{PropBody} / 'typealias' name Generics? '=' Type Where? / 'associatedtype' name Inherit? ('=' Type)? Where?
+  / 'init' ('?' / '!')? Generics? @(Params) Effects Where? SOFT? Block / 'deinit' SOFT? Block / 'subscript' Generics? @(Params) '->' Type Where? SOFT? @{PropBody} / 'typealias' name Generics? '=' Type Where? / 'associatedtype' name Inherit? ('=' Type)? Where?
   / ('operator' (op / '<' / '>' / '!' / '.')+ (':' name)?) / 'precedencegroup' name @{Balanced} / 'case' EnumCase (',' EnumCase)* / 'macro' name Generics? @(Params) ('->' Type)? ('=' Expr)?
 EnumBody <- Stmts
-ProtoBody <- Stmts
+ProtoBody <- (';' / SOFT / Directive / (Attr / Mod SOFT?)* ProtoDecl (SOFT / ';' / END))*
+ProtoDecl <- 'func' (name / op / '<' / '>' / '!')+ Generics? @(Params) Effects ('->' Type)? Where? / 'init' ('?' / '!')? Generics? @(Params) Effects Where? / Decl
 EnumCase <- name @(EnumParams)? ('=' Expr)?
 EnumParams <- (EnumParam (',' EnumParam)* ','?)?
 EnumParam <- (name name? ':')? Type ('=' Expr)?
@@ -432,7 +465,7 @@ Unary <- ('try' ('?' / '!')? / 'await' / pre)* Postfix
 Postfix <- Primary (Trailer / @{Closure} (name ':' @{Closure})*)*
 Trailer <- SOFT? '.' (name TypeArgs? / NUM / @(Args)) / '?' &('.' / '(' / '[' / Q) / '!' / @(Args) / @[Args] / TypeArgs &'(' / '...' &END
 Q <- '!'
-Primary <- NUM / Str / 'true' / 'false' / 'nil' / 'if' Conds SOFT? Block SOFT? 'else' SOFT? (Block / ElseIf) / 'switch' ExprN SOFT? @{Cases} / id / 'init' / @(Args) / @[ArrayIn] / @{Closure} / '.' name / '#' name @(Args)? / '\' . / '$' NUM / op
+Primary <- NUM / Str / 'true' / 'false' / 'nil' / 'if' Conds SOFT? Block SOFT? 'else' SOFT? (Block / ElseIf) / 'switch' ExprN SOFT? @{Cases} / id / @(Args) / @[ArrayIn] / @{Closure} / '.' name / '#' name @(Args)? / '\' . / '$' NUM / op
 Str <- STR (@"Args)*
 Args <- (Arg (',' Arg)* ','?)?
 Arg <- (name ':')? (Expr / op / '<' / '>')
@@ -452,15 +485,15 @@ CaseStmts <- (';' / SOFT / !('case' / 'default' / '@' IDENT 'default') Stmt (SOF
 """
 
 CSHARP = r"""
-File <- ('extern' 'alias' id ';')* (Using / AttrList)* Top*
+File <- ('extern' 'alias' id ';')* Using* Top*
 %id = IDENT 'add' 'alias' 'and' 'ascending' 'async' 'await' 'by' 'descending' 'dynamic' 'equals' 'file' 'from' 'get' 'global' 'group' 'init' 'into' 'join' 'let' 'managed' 'nameof' 'not' 'notnull' 'on' 'or' 'orderby' 'partial' 'record' 'remove' 'required' 'scoped' 'select' 'set' 'unmanaged' 'value' 'var' 'when' 'where' 'with' 'yield'
 %prim = 'bool' 'byte' 'char' 'decimal' 'double' 'float' 'int' 'long' 'object' 'sbyte' 'short' 'string' 'uint' 'ulong' 'ushort' 'void'
 %binop = '==' '!=' '<' '<=' '<<' '+' '-' '*' '/' '%' '&' '|' '^' '&&' '||' '??'
 %assign = '=' '+=' '-=' '*=' '/=' '%=' '&=' '|=' '^=' '<<=' '??='
 %modword = 'public' 'private' 'protected' 'internal' 'static' 'readonly' 'sealed' 'abstract' 'virtual' 'override' 'new' 'extern' 'unsafe' 'volatile' 'async' 'partial' 'const' 'required' 'file' 'fixed' 'ref'
 Using <- 'global'? 'using' ('static' / 'unsafe')? (id '=')? Type ';'
-Top <- Using / 'namespace' QName (';' / @{NsBody} ';'?) / AttrList* Mod* TypeDecl / Stmt
-NsBody <- (Using / 'namespace' QName @{NsBody} ';'? / AttrList* Mod* TypeDecl)*
+Top <- 'namespace' QName (';' Using* / @{NsBody} ';'?) / AttrList* Mod* TypeDecl / AttrList / Stmt
+NsBody <- Using* ('namespace' QName @{NsBody} ';'? / AttrList* Mod* TypeDecl)*
 QName <- id (('.' / '::') id)*
 AttrList <- @[Attrs]
 Attrs <- (id ':' / 'return' ':' / 'event' ':')? Attr1 (',' Attr1)* ','?
@@ -511,7 +544,7 @@ CatchIn <- Type id?
 Sections <- (('case' Pattern ('when' Expr)? / 'default') ':' (!('case' / 'default' ':') Stmt)*)*
 Expr! <- Lambda / 'throw' Expr / 'ref' Expr / Query / Cond (AssignOp Expr)?
 AssignOp <- assign / '>' '>' '>'? '='
-Lambda <- AttrList* ('static' / 'async')* (id / Type? @(LambdaParams)) '=>' (Block / Expr)
+Lambda <- AttrList* ('static' / 'async')* (id / @(LambdaParams) &'=>' / Type @(LambdaParams)) '=>' (Block / Expr)
 LambdaParams <- (LParam (',' LParam)*)?
 LParam <- AttrList* ('ref' / 'out' / 'in' / 'params' / 'scoped')* (Type id ('=' Expr)? / id)
 Query <- 'from' (Type !'in')? id 'in' Expr QClause+
@@ -528,8 +561,9 @@ CastNext <- id / prim / NUM / STR / CHAR / 'this' / 'base' / 'new' / 'true' / 'f
 Postfix <- Primary Trailer*
 Trailer <- ('.' / '?.' / '->' / '::') id (TypeArgs &TypeArgEnd)? / '?' @[Args] / @[Args] / @(Args) / '++' / '--' / '!' !'='
 TypeArgEnd <- '(' / ')' / '.' / ',' / ';' / ']' / '}' / ':' / '?' / '==' / '!=' / END
-Primary <- NUM / STR / CHAR / 'true' / 'false' / 'null' / 'this' / 'base' / 'new' New / ('typeof' / 'sizeof' / 'checked' / 'unchecked') @(TypeOrExpr) / 'default' @(TypeOrExpr)? / 'stackalloc' Type? @[Args]? @{ArrayInit}? / 'delegate' @(Params)? Block / prim / id (TypeArgs &TypeArgEnd)? / @(Args) / @[Collection]
+Primary <- NUM / STR (@"Hole)* / CHAR / 'true' / 'false' / 'null' / 'this' / 'base' / 'new' New / ('typeof' / 'sizeof' / 'checked' / 'unchecked') @(TypeOrExpr) / 'default' @(TypeOrExpr)? / 'stackalloc' Type? @[Args]? @{ArrayInit}? / 'delegate' @(Params)? Block / prim / id (TypeArgs &TypeArgEnd)? / @(Args) / @[Collection]
 TypeOrExpr <- Type / Expr
+Hole <- Expr (',' Expr)?
 New <- @{ArrayInit} / @[Ranks] @{ArrayInit} / @(Args) @{ObjInit}? / TypeNN '?'? (@(Args) @{ObjInit}? / @[Ranks] TypeSuffix* @{ArrayInit} / @[Args] TypeSuffix* @{ArrayInit}? / @{ObjInit})
 ObjInit <- (ObjItem (',' ObjItem)* ','?)?
 ObjItem <- (id / @[Args]) '=' VarInit / @{ArrayInit} / Expr
@@ -558,4 +592,4 @@ TEXTS = {"python": PYTHON, "javascript": _js(False), "typescript": _js(True), "r
 
 @lru_cache(maxsize=16)
 def grammar(language: str) -> Grammar:
-    return Grammar(TEXTS[language], scanner(language))
+    return Grammar(TEXTS[language], scanner(language, True))

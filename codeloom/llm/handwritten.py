@@ -8,8 +8,11 @@ are masked in the features (the leading comment block is cut), so the machines
 learn from the code itself and find files that lack them.  Validation is split
 by repository and sets each kind's threshold.
 
-Scoring is one narrow pass over whole texts: no shuffle, and what is broadcast
-is the weights, of fixed size.
+Two passes read texts: one over the ids of the training sample, one that scores
+all files where they lie, with the weights broadcast (fixed size).  Files that
+the vendored machine does not place clearly among the hand-written ones leave
+that pass with a sketch, and those alone are compared with the known releases:
+by equal bands of minima of hashed five-word shingles, then exactly.
 """
 
 from __future__ import annotations
@@ -29,8 +32,13 @@ GRAMS = (4, 8)
 #: Occurrences a path part counts for.
 PATH_WEIGHT = 4
 KINDS = ("generated", "minified", "vendored", "data")
-#: Bounds of the training sample: files looked at, hand-written rows, rows per kind.
-LOOK, HAND_ROWS, KIND_ROWS = 40_000, 3_000, 800
+#: Bounds of the training sample: files looked at, hand-written rows, rows per kind, copies of releases.
+LOOK, HAND_ROWS, KIND_ROWS, RELEASE_ROWS = 40_000, 3_000, 800, 2_000
+#: Copies of one release in the sample.
+COPIES = 8
+#: Score of the vendored machine above which a file is compared with the releases;
+#: hand-written files lie around -1, the far side of the margin.
+GATE = -0.75
 
 # fixed values: words of headers that tools write
 _TOOL = re.compile(r"(?i)do not (?:edit|modify)|(?:auto-?)?generated|machine-written|automati\w+ (?:produced|erzeugt)|nicht von hand")
@@ -168,10 +176,11 @@ class Machine:
     weights: object
     bias: float
     threshold: float = 0.0
-    #: above this and up to the threshold, an exact check decides
-    loose: float = 0.0
     precision: float = 0.0
     recall: float = 0.0
+    #: above this an exact check follows (vendored only), and the held-out cases that lie above it
+    gate: float | None = None
+    gate_recall: float | None = None
 
     def score(self, x) -> float:
         return float(self.weights[x[0]] @ x[1]) + self.bias
@@ -220,39 +229,34 @@ def fit(rows: list[tuple[str, str, object]], bits: int = BITS) -> dict[str, Mach
         use = [(r, x, 1 if label == kind else -1) for r, label, x in rows if label in (kind, "hand")]
         if not any(y > 0 for _, _, y in use) or not any(y < 0 for _, _, y in use):
             continue
-        fitted = train([x for r, x, _ in use if not held(r)], [y for r, _, y in use if not held(r)], bits=bits)
+        # copies are written like other code: hardly any of them may be given up for a wider margin
+        cost = 10.0 if kind == "vendored" else 1.0
+        fitted = train([x for r, x, _ in use if not held(r)], [y for r, _, y in use if not held(r)], cost=cost, bits=bits)
         scored = sorted(((fitted.score(x), y) for r, x, y in use if held(r)), reverse=True)
-        whole = train([x for _, x, _ in use], [y for _, _, y in use], bits=bits)
+        whole = train([x for _, x, _ in use], [y for _, _, y in use], cost=cost, bits=bits)
         positives = sum(y > 0 for _, y in scored)
-        # (F1, cut, precision, recall): the best cut, and the best where hardly a hand-written file is above it
-        none = (-1.0, 0.0, 0.0, 0.0)
-        best, safe, hit = none, (-1.0, 1.0, 0.0, 0.0), 0
+        # (F1, cut, precision, recall) of the best cut
+        best, hit = (-1.0, 0.0, 0.0, 0.0), 0
         for k, (s, y) in enumerate(scored if positives else []):
             hit += y > 0
             low = scored[k + 1][0] if k + 1 < len(scored) else s - 1
             # the middle of the gap; of equal cuts the one nearest to zero
             cut = min(max(0.0, low), s) if low <= 0 <= s else (low + s) / 2
             made = (2 * hit / (k + 1 + positives), cut, hit / (k + 1), hit / positives)
-            rank = lambda x: (x[0], -abs(x[1]))
-            best = max(best, made, key=rank)
-            if hit >= 0.995 * (k + 1):
-                safe = max(safe, made, key=rank)
+            best = max(best, made, key=lambda x: (x[0], -abs(x[1])))
         if positives:
-            # the vendored machine decides alone only where it is sure; below, the check against the releases does
-            whole.threshold = (safe if kind == "vendored" else best)[1]
-            whole.precision, whole.recall = best[2:]
-            whole.loose = min(whole.threshold, min(s for s, y in scored if y > 0)) - 0.1
-        elif kind == "vendored":
-            # nothing to set a cut by: every file is checked
-            whole.threshold, whole.loose = 1.0, float("-inf")
+            whole.threshold, whole.precision, whole.recall = best[1:]
+        if kind == "vendored":
+            # nothing to measure the gate by: every file is compared
+            whole.gate = min(GATE, whole.threshold) if positives else float("-inf")
+            whole.gate_recall = sum(y > 0 and s > whole.gate for s, y in scored) / positives if positives else None
         out[kind] = whole
     return out
 
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Releases held in memory at a time for the exact check.
-RELEASE_BLOCK = 20_000
-
+#: Bands and minima per band; two texts of similarity 0.8 share a band in all but 5 of 10^8 cases.
+BANDS, MINIMA = 32, 4
 
 _WORDS = re.compile(r"\w+|[^\w\s]")
 _word_hash: dict[str, int] = {}
@@ -277,77 +281,70 @@ def shingles(text: str):
     return np.unique(run)
 
 
-class Releases:
-    """Shingles of known releases; the greatest similarity of a text to any of them."""
-
-    def __init__(self, sets: list):
-        import numpy as np
-
-        self.sizes = np.array([len(x) for x in sets], np.int64)
-        whole = np.concatenate(sets) if sets else np.array([], np.uint64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        order = np.argsort(whole, kind="stable")
-        self.hashes, self.owner = whole[order], owner[order]
-
-    def closest(self, x) -> float:
-        import numpy as np
+def band_keys(x):
+    """A key per band of a shingle set: equal sets have equal keys, similar ones likely an equal one."""
+    import numpy as np
 
-        if not len(x) or not len(self.sizes):
-            return 0.0
-        lo, hi = np.searchsorted(self.hashes, x, "left"), np.searchsorted(self.hashes, x, "right")
-        n = hi - lo
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        shared = np.bincount(self.owner[at], minlength=len(self.sizes))
-        return float((shared / (len(x) + self.sizes - shared)).max())
+    rng = np.random.default_rng(11)
+    factors = rng.integers(0, 1 << 63, (BANDS, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for j in range(MINIMA):
+        minima = np.array([(x * f).min() for f in factors[:, j]], np.uint64)
+        keys = (keys ^ (minima >> np.uint64(31)) ^ minima) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
+    return keys.view(np.int64)
 
 
 @dataclass
 class Detector:
-    """Fitted machines and the texts of the known releases, applied to a table of files."""
+    """Fitted machines, applied to a table of files."""
 
     machines: dict[str, Machine] = field(default_factory=dict)
     bits: int = BITS
-    #: ``x binary``: shingles of each distinct known release found in the tree
-    releases: DataFrame | None = None
 
     def apply(self, tree: DataFrame, packages: DataFrame) -> DataFrame:
         """``file_id``, one ``<kind>_score`` per kind (score minus threshold, null
         where no machine could be trained), ``similarity`` to the closest known
-        release (computed for files the vendored machine can't rule out) and
-        ``kind``: the highest score above 0, or ``vendored`` where the similarity
-        is 0.8 or more, or null.  Null texts, empty ones and texts of comments
-        alone have no kind.
+        release (0 below 0.5 or so, null for files the vendored machine rules
+        out) and ``kind``: ``vendored`` where the similarity is 0.8 or more,
+        else the highest of the other scores above 0, or null.  Releases are
+        the listed ones of which an exact copy is in the tree.  Null texts,
+        empty ones and texts of comments alone have no kind.
         """
-        import numpy as np
-
-        sets = [np.frombuffer(bytes(r[0]), np.uint64) for r in self.releases.toLocalIterator()] if self.releases is not None else []
-        marked = with_known(spread(tree.select("file_id", "path", "content")), packages).select("file_id", "path", "content", "known")
-        blocks = [sets[i : i + RELEASE_BLOCK] for i in range(0, len(sets), RELEASE_BLOCK)] or [[]]
-        parts = [self._pass(marked, Releases(b)) for b in blocks]
-        if len(parts) == 1:
-            return parts[0]
-        whole = parts[0]
-        for x in parts[1:]:
-            whole = whole.unionByName(x)
-        scores = [F.first(f"{k}_score").alias(f"{k}_score") for k in KINDS]
-        return whole.groupBy("file_id").agg(*scores, F.max("similarity").alias("similarity"), F.max("kind").alias("kind"))
-
-    def _pass(self, marked: DataFrame, releases: Releases) -> DataFrame:
+        marked = with_known(spread(tree.select("file_id", "path", "content")), packages).select("file_id", "path", "content", "release")
+        scored = materialize(self._scored(marked), "scored")
+        out = ["file_id", *[f"{k}_score" for k in KINDS], "similarity", "kind"]
+        ruled_out = scored.where("near is null").withColumn("similarity", F.lit(None).cast("double")).withColumnRenamed("other", "kind")
+        if "vendored" not in self.machines:
+            return ruled_out.select(*out)
+        same = scored.where("near = 1").withColumns({"similarity": F.lit(1.0), "kind": F.lit("vendored")})
+        asked = scored.where("near = 0")
+        found = asked.join(similarities(asked, scored.where("near = 1 and shingles is not null")), "text_id", "left").fillna(0.0, ["similarity"])
+        found = found.withColumn("kind", F.when(F.col("similarity") >= SIMILAR, "vendored").otherwise(F.col("other")))
+        return ruled_out.select(*out).unionByName(same.select(*out)).unionByName(found.select(*out))
+
+    def _scored(self, marked: DataFrame) -> DataFrame:
+        """Per file its scores, the best other kind, and ``near``: 1 for exact copies
+        of a release, 0 for files to be compared, null for the rest; compared
+        files and, once per task, releases carry their shingles and bands."""
         kinds, bits = list(KINDS), self.bits
-        carried = marked.sparkSession.sparkContext.broadcast((self.machines, releases))
+        carried = marked.sparkSession.sparkContext.broadcast(self.machines)
 
         def go(batches: Iterator) -> Iterator:
+            import hashlib
+
             import numpy as np
             import pyarrow as pa
 
-            machines, known_texts = carried.value
+            machines = carried.value
             names = list(machines)
             weights = np.stack([machines[k].weights for k in names], 1) if names else np.zeros((1 << bits, 1), np.float32)
             bias = np.array([machines[k].bias for k in names])
+            gate = machines["vendored"].gate if "vendored" in machines else float("inf")
+            shown: set = set()
             for b in batches:
                 cols: dict[str, list] = {k: [] for k in kinds}
-                best, close = [], []
-                paths, texts, release = ([x or e for x in b.column(c).to_pylist()] for c, e in (("path", ""), ("content", ""), ("known", False)))
+                rest: list[tuple] = []
+                paths, texts, release = ([x or e for x in b.column(c).to_pylist()] for c, e in (("path", ""), ("content", ""), ("release", None)))
                 scores: list = []
                 for lo in range(0, len(texts), 256):  # bounds the arrays, not the work
                     scores.extend(score_files(paths[lo : lo + 256], texts[lo : lo + 256], weights, bits))
@@ -356,61 +353,95 @@ class Detector:
                     got = {k: raw[k] - m.threshold for k, m in machines.items()}
                     for k in kinds:
                         cols[k].append(got.get(k))
-                    top = max(got, key=got.get, default=None)
+                    top = max((k for k in got if k != "vendored"), key=got.get, default=None)
                     top = top if top and got[top] > 0 else None
-                    near = None
-                    if (top or "vendored" in raw) and not split_header(text)[1].strip():
-                        top = None  # nothing but comments: no code that a tool could have made
-                    elif "vendored" in raw and raw["vendored"] > machines["vendored"].loose:
-                        near = 1.0 if known else known_texts.closest(shingles(text))
-                        if near >= SIMILAR:
-                            top = "vendored"
-                    best.append(top)
-                    close.append(near)
+                    near = 1 if known and "vendored" in raw else 0 if raw.get("vendored", float("-inf")) > gate else None
+                    if (top or near is not None) and not split_header(text)[1].strip():
+                        top = near = None  # nothing but comments: no code that a tool could have made
+                    x = keys = name = None
+                    if near == 0 or near == 1 and known not in shown:
+                        x = shingles(text)
+                        if len(x):
+                            keys, name = band_keys(x), hashlib.sha256(x.tobytes()).hexdigest()
+                        shown.add(known)
+                    rest.append((near, top, known, name, None if keys is None else x.view(np.int64), keys))
+                ends = list(zip(*rest, strict=True)) or [[]] * 6
+                types = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("file_id"), *[pa.array(cols[k], pa.float64()) for k in kinds], pa.array(close, pa.float64()), pa.array(best, pa.string())],
-                    names=["file_id", *[f"{k}_score" for k in kinds], "similarity", "kind"],
+                    [b.column("file_id"), *[pa.array(cols[k], pa.float64()) for k in kinds], *[pa.array(c, t) for c, t in zip(ends, types, strict=True)]],
+                    names=["file_id", *[f"{k}_score" for k in kinds], "near", "other", "release", "text_id", "shingles", "bands"],
                 )
 
-        schema = "file_id long, " + ", ".join(f"{k}_score double" for k in kinds) + ", similarity double, kind string"
+        schema = "file_id long, " + ", ".join(f"{k}_score double" for k in kinds) + ", near int, other string, release string, text_id string, shingles array<long>, bands array<long>"
         return marked.mapInArrow(go, schema)
 
 
+def similarities(asked: DataFrame, releases: DataFrame) -> DataFrame:
+    """``text_id, similarity``: the greatest similarity of each asked text to any release it shares a band with.
+
+    Both have ``file_id, text_id, shingles, bands``.  Equal texts are one text
+    here, so copies never meet each other; texts meet releases by band and are
+    compared once per pair.
+    """
+
+    def distinct(df: DataFrame) -> DataFrame:
+        one = df.where("text_id is not null").groupBy("text_id").agg(F.min("file_id").alias("file_id"))
+        return df.drop("text_id").join(one, "file_id")
+
+    texts, known = distinct(asked), distinct(releases).withColumnRenamed("text_id", "known_id")
+    left = texts.select("text_id", F.explode("bands").alias("band"))
+    right = known.select("known_id", F.explode("bands").alias("band"))
+    pairs = left.join(right, "band").select("text_id", "known_id").distinct()
+    both = pairs.join(texts.select("text_id", "shingles"), "text_id").join(known.select("known_id", F.col("shingles").alias("theirs")), "known_id")
+    shared = F.size(F.array_intersect("shingles", "theirs"))
+    return both.groupBy("text_id").agg(F.max(shared / (F.size("shingles") + F.size("theirs") - shared)).alias("similarity"))
+
+
 #: A package list above this many rows is joined by shuffle, not broadcast.
 BROADCAST_ROWS = 200_000
 
 
+def _listed(packages: DataFrame) -> DataFrame:
+    """Hashes of the listed releases, broadcast where the list is short."""
+    hashes = packages.where("content_hash is not null").select(F.lower(F.trim("content_hash")).alias("_h")).distinct()
+    return F.broadcast(hashes) if packages.count() <= BROADCAST_ROWS else hashes
+
+
 def with_known(tree: DataFrame, packages: DataFrame) -> DataFrame:
-    """Adds ``known``: the text is a listed release, byte for byte."""
-    hashes = packages.where("content_hash is not null").select(F.lower(F.trim("content_hash")).alias("_h"), F.lit(True).alias("_k")).distinct()
-    if packages.count() <= BROADCAST_ROWS:
-        hashes = F.broadcast(hashes)
-    return tree.withColumn("_h", F.sha2(F.col("content"), 256)).join(hashes, "_h", "left").withColumn("known", F.coalesce("_k", F.lit(False))).drop("_h", "_k")
+    """Adds ``release``: the hash of the text if it is a listed release, byte for byte."""
+    listed = _listed(packages).withColumn("release", F.col("_h"))
+    return tree.withColumn("_h", F.sha2(F.col("content"), 256)).join(listed, "_h", "left").drop("_h")
 
 
-def learn(tree: DataFrame, symbols: DataFrame, packages: DataFrame, look: int = LOOK, hand_rows: int = HAND_ROWS, kind_rows: int = KIND_ROWS, bits: int = BITS) -> Detector:
+def learn(
+    tree: DataFrame, files: DataFrame, symbols: DataFrame, packages: DataFrame,
+    look: int = LOOK, hand_rows: int = HAND_ROWS, kind_rows: int = KIND_ROWS, release_rows: int = RELEASE_ROWS, bits: int = BITS,
+) -> Detector:
     """Fit on a bounded sample: about ``look`` files drawn by hash, of them at most
-    ``hand_rows`` hand-written and ``kind_rows`` of each kind; besides, one file
-    of each known release (at most ``kind_rows``)."""
+    ``hand_rows`` hand-written and ``kind_rows`` of each kind; besides, copies of
+    the known releases, at most ``COPIES`` of each and ``release_rows`` in all,
+    first ones first.  ``files`` says by its hashes which files are copies."""
+    import numpy as np
+    from pyspark.sql import Window
+
     spark = tree.sparkSession
     n = tree.count()
     if not n:
         return Detector({}, bits)
     share = min(1.0, look / n)
     draw = F.pmod(F.xxhash64("file_id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))
-    marked = with_known(spread(tree.select("file_id", "repo", "path", "content")), packages)
-    drawn = marked.where(draw & ~F.col("known"))
-    one = materialize(marked.where("known").select("file_id", F.sha2("content", 256).alias("h")), "releases").groupBy("h").agg(F.min("file_id").alias("file_id"))
-    one = materialize(one, "release-ids")
-    # as many rows as listed releases; the sample's part is limited
-    every = one.select("file_id")
-    every = F.broadcast(every) if packages.count() <= BROADCAST_ROWS else every
-    releases = F.broadcast(one.orderBy("h").limit(kind_rows).select("file_id"))
-    texts = materialize(_shingled(marked.join(every, "file_id", "left_semi")), "release-texts")
-    sample = drawn.unionByName(marked.join(releases, "file_id", "left_semi"))
-    # only ids of the drawn files (about `look`) meet the symbols and travel to the texts
-    ids = tree.where(draw).select("file_id").join(symbols.select("file_id").distinct(), "file_id", "left_semi").distinct().withColumn("_i", F.lit(True))
-    sample = sample.join(F.broadcast(ids), "file_id", "left").withColumn("indexed", F.coalesce("_i", F.lit(False)))
+    copies = files.select(F.col("id").alias("file_id"), F.lower(F.trim("content_hash")).alias("_h")).join(_listed(packages), "_h")
+    # at most COPIES rows a release, however many copies it has
+    few = copies.groupBy("_h", F.pmod(F.xxhash64("file_id"), F.lit(COPIES)).alias("_b")).agg(F.min("file_id").alias("file_id"))
+    few = few.withColumn("_k", F.row_number().over(Window.partitionBy("_h").orderBy("file_id")))
+    few = few.orderBy("_k", "_h").limit(release_rows).select("file_id", F.lit(True).alias("known"), F.lit(False).alias("indexed"))
+    # ids only: those drawn, whether symbols are known of them, without the copies
+    drawn = materialize(tree.where(draw).select("file_id").distinct(), "drawn")
+    indexed = symbols.select("file_id").join(F.broadcast(drawn), "file_id", "left_semi").distinct().withColumn("indexed", F.lit(True))
+    others = drawn.join(copies.select("file_id").join(F.broadcast(drawn), "file_id", "left_semi"), "file_id", "left_anti").join(indexed, "file_id", "left")
+    wanted = materialize(few.unionByName(others.select("file_id", F.lit(False).alias("known"), F.coalesce("indexed", F.lit(False)).alias("indexed"))), "wanted")
+    # about look + release_rows ids at most go to the texts
+    sample = spread(tree.select("file_id", "repo", "path", "content")).join(F.broadcast(wanted), "file_id")
     # hand-written files are the many; thin them before features are made
     hand = min(1.0, 1.5 * hand_rows / max(1.0, share * n))
 
@@ -430,14 +461,13 @@ def learn(tree: DataFrame, symbols: DataFrame, packages: DataFrame, look: int =
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["repo", "label", "rank", "x", "v"])
 
-    import numpy as np
-
     made = materialize(sample.select("file_id", "repo", "path", "content", "known", "indexed").mapInArrow(go, "repo string, label string, rank long, x binary, v binary"), "training")
     # ranks first (numbers of a bounded sample), then the chosen rows, partition by partition
     ranks: dict[str, list[int]] = {}
     for label, rank in made.select("label", "rank").toLocalIterator():
         ranks.setdefault(label, []).append(rank)
-    cut = {label: sorted(found)[: hand_rows if label == "hand" else kind_rows][-1] for label, found in ranks.items()}
+    bounds = {"hand": hand_rows, "vendored": release_rows}
+    cut = {label: sorted(found)[: bounds.get(label, kind_rows)][-1] for label, found in ranks.items()}
     rows = []
     if cut:
         chosen = F.lit(False)
@@ -446,14 +476,4 @@ def learn(tree: DataFrame, symbols: DataFrame, packages: DataFrame, look: int =
         for r in made.where(chosen).toLocalIterator():
             rows.append((r[2], (r[0], r[1], (np.frombuffer(bytes(r[3]), np.int32), np.frombuffer(bytes(r[4]), np.float32)))))
     rows = [r for _, r in sorted(rows, key=lambda x: x[0])]
-    return Detector(fit(rows, bits), bits, texts)
-
-
-def _shingled(df: DataFrame) -> DataFrame:
-    def go(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([shingles(t or "").tobytes() for t in b.column("content").to_pylist()], pa.binary())], names=["x"])
-
-    return df.select("content").mapInArrow(go, "x binary")
+    return Detector(fit(rows, bits), bits)

@@ -7,8 +7,12 @@ continue a rule):
 * ``A B``, ``A / B``, ``A* A+ A?``, ``&A !A``, ``( )``  as usual in PEGs
 * ``@(Rule)``     brackets whose whole inside is ``Rule``; also ``@[ ]``, ``@{ }``,
   ``@:`` (indented block) and ``@"`` (hole in a string)
-* ``Name! <- ..`` keeps results per position (needed where choices share a start)
+* ``Name! <- ..`` keeps results per position where choices share a start; rules that can reach
+  themselves without entering brackets always do, so parsing takes linear time
 * ``.``           any token outside brackets; ``END`` a closing bracket or the end of input
+* ``ASSIGNABLE``  what has just been read ends like a target: in one of ``%target``, in ``]`` or
+  ``}``, in a word after a dot, or in brackets that are no call; ``CALLED``: it ends in a call.
+  ``%callee`` are the kinds after which a parenthesis is a call
 
 The grammar is compiled to Python functions with first-set tests before every
 alternative.  The packrat memo has two levels: per position, and, for
@@ -66,6 +70,7 @@ class Grammar:
                 if self._at != len(self._toks) or sum(len(m[0]) for m in self._toks) != len(body.rstrip()):
                     raise ValueError(f"bad rule {head}: {body}")
                 self.rules[head] = node
+        self.kept |= self._recursive()
         self.first = self._first_sets()
         self.start = next(iter(self.rules))
         self.fast, self.slow = self._compile(False), self._compile(True)
@@ -138,12 +143,27 @@ class Grammar:
             return node
         if m[4] == ".":
             return Node("any")
-        if m[5] == "END":
-            return Node("end")
+        if m[5] in ("END", "ASSIGNABLE", "CALLED"):
+            return Node(m[5].lower())
         if m[5] in self.classes or m[5] in _KINDS:
             return Node("set", (self.classes.get(m[5]) or _KINDS[m[5]],))
         return Node("rule", (m[5],))
 
+    def _recursive(self) -> set[str]:
+        """Rules that can reach themselves without entering brackets."""
+
+        def calls(n) -> set[str]:
+            if n.op == "rule":
+                return {n.args[0]}
+            return set().union(*(calls(a) for a in n.args)) if n.op not in ("set", "group") else set()
+
+        reach = {r: calls(n) & set(self.rules) for r, n in self.rules.items()}
+        while True:
+            new = {r: to.union(*(reach[x] for x in to)) for r, to in reach.items()}
+            if new == reach:
+                return {r for r, to in reach.items() if r in to}
+            reach = new
+
     # -- first sets ----------------------------------------------------------
     def _first_sets(self) -> dict[str, frozenset | None]:
         """Kinds a rule can begin with; None where it may match nothing (or look ahead only)."""
@@ -157,7 +177,7 @@ class Grammar:
                 return frozenset(n.args[0]), False
             if n.op == "any":
                 return everything, False
-            if n.op in ("end", "and", "not"):
+            if n.op in ("end", "and", "not", "assignable", "called"):
                 return frozenset(), True
             if n.op == "rule":
                 if n.args[0] not in known:
@@ -193,7 +213,7 @@ class Grammar:
 
     # -- compiling -----------------------------------------------------------
     def _compile(self, track: bool):
-        out = ["def make(K, M, group, far):"]
+        out = ["def make(K, M, group, far, back):"]
         self._n = 0
 
         def fresh() -> str:
@@ -212,6 +232,8 @@ class Grammar:
                 return [f"{ind}{dst} = {src} + 1 if K[{src}] not in {CLOSERS + EOF!r} else -1"]
             if n.op == "end":
                 return [f"{ind}{dst} = {src} if K[{src}] in {CLOSERS + EOF!r} else -1", *([f"{ind}if {dst} < 0:", *miss(src, one)] if track else [])]
+            if n.op in ("assignable", "called"):
+                return [f"{ind}{dst} = {src} if back({src}, {n.op == 'called'}) else -1"]
             if n.op == "rule":
                 return [f"{ind}{dst} = r_{n.args[0]}({src})"]
             if n.op == "group":
@@ -280,6 +302,25 @@ class Grammar:
         return env["make"]
 
     # -- parsing -------------------------------------------------------------
+    def _back(self, kinds: str, match: dict[int, int]):
+        """What ``ASSIGNABLE`` and ``CALLED`` ask about the token before a position."""
+        openers: dict[int, int] = {}
+        target, callee = self.classes.get("target", ""), self.classes.get("callee", "")
+        words, dot, maybe = "".join(self.scanner.words.values()), self.scanner.kinds.get("."), self.scanner.kinds.get("?.")
+
+        def back(i: int, called: bool) -> bool:
+            c, before = kinds[i - 1], kinds[i - 2] if i > 1 else EOF
+            if c == ")":
+                if not openers:
+                    openers.update((b, a) for a, b in match.items())
+                at = openers.get(i - 1, 0)
+                return (at > 0 and kinds[at - 1] in callee) == called
+            if called or before == maybe:
+                return False
+            return c in "]}" or (before == dot if c in words and c not in target else c in target)
+
+        return back
+
     def accepts(self, kinds: str, match: dict[int, int] | None = None) -> bool:
         match = brackets(kinds) if match is None else match
         memo, here = self.memo, {}
@@ -302,7 +343,7 @@ class Grammar:
                 memo[key] = ok
             return j + 1 if ok else -1
 
-        parse = self.fast(kinds, match, group, None)
+        parse = self.fast(kinds, match, group, None, self._back(kinds, match))
         return parse[self.start](0) == len(kinds) - 1
 
     def furthest(self, kinds: str) -> int:
@@ -322,7 +363,7 @@ class Grammar:
                 here[rule, i] = end
             return end
 
-        parse = self.slow(kinds, match, group, far)
+        parse = self.slow(kinds, match, group, far, self._back(kinds, match))
         end = parse[self.start](0)
         return max(far[0], end)
 
