@@ -299,6 +299,7 @@ class Scanner:
         """
         lang, out, stack, failed, pos = self.language, [], [], set(), 0
         loose = lang in ("python", "csharp")
+        comments: dict[int, int | None] = {}
         while True:
             top = stack[-1] if stack else None
             ok = True
@@ -348,7 +349,9 @@ class Scanner:
                     t, end, opens = m[0], m.end(), True
                 if opens:
                     if t == "/*":
-                        pos = _comment_end(text, start)
+                        if start not in comments:
+                            comments.update(_comment_ends(text, start))
+                        pos = comments[start]
                         if pos is None:
                             pos = start
                             failed.add(start)
@@ -607,13 +610,19 @@ def _chunk(language: str, opener: str) -> str:
 _COMMENT = re.compile(r"/\*|\*/")
 
 
-def _comment_end(text: str, at: int) -> int | None:
-    depth = 0
+def _comment_ends(text: str, at: int) -> dict[int, int | None]:
+    """The ends of the comment that opens at ``at`` and of those in it, null where there is none."""
+    ends: dict[int, int | None] = {}
+    stack: list[int] = []
     for m in _COMMENT.finditer(text, at):
-        depth += 1 if m[0] == "/*" else -1
-        if not depth:
-            return m.end()
-    return None
+        if m[0] == "/*":
+            stack.append(m.start())
+            ends[m.start()] = None
+        else:
+            ends[stack.pop()] = m.end()
+            if not stack:
+                break
+    return ends
 
 
 class _Cache(dict):
