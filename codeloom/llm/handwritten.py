@@ -362,7 +362,7 @@ class Detector:
                     if near == 0 or near == 1 and known not in shown:
                         x = shingles(text)
                         if len(x):
-                            keys, name = band_keys(x), hashlib.sha256(x.tobytes()).hexdigest()
+                            keys, name = band_keys(x), hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest()
                         shown.add(known)
                     rest.append((near, top, known, name, None if keys is None else x.view(np.int64), keys))
                 ends = list(zip(*rest, strict=True)) or [[]] * 6
@@ -376,23 +376,32 @@ class Detector:
         return marked.mapInArrow(go, schema)
 
 
+#: Texts with a candidate release up to which their ids are sent to the sketches; beyond, both are shuffled.
+BROADCAST_TEXTS = 500_000
+
+
 def similarities(asked: DataFrame, releases: DataFrame) -> DataFrame:
     """``text_id, similarity``: the greatest similarity of each asked text to any release it shares a band with.
 
-    Both have ``file_id, text_id, shingles, bands``.  Equal texts are one text
-    here, so copies never meet each other; texts meet releases by band and are
-    compared once per pair.
+    Both have ``file_id, text_id, shingles, bands`` and are written tables.
+    Equal texts are one text here, so copies never meet each other; texts meet
+    releases by band, and only the shingles of texts that met one are fetched,
+    to be compared once per pair.
     """
-
-    def distinct(df: DataFrame) -> DataFrame:
-        one = df.where("text_id is not null").groupBy("text_id").agg(F.min("file_id").alias("file_id"))
-        return df.drop("text_id").join(one, "file_id")
-
-    texts, known = distinct(asked), distinct(releases).withColumnRenamed("text_id", "known_id")
-    left = texts.select("text_id", F.explode("bands").alias("band"))
-    right = known.select("known_id", F.explode("bands").alias("band"))
-    pairs = left.join(right, "band").select("text_id", "known_id").distinct()
-    both = pairs.join(texts.select("text_id", "shingles"), "text_id").join(known.select("known_id", F.col("shingles").alias("theirs")), "known_id")
+    keys = lambda df: df.where("text_id is not null").select("text_id", F.explode("bands").alias("band")).distinct()
+    pairs = keys(asked).join(keys(releases).withColumnRenamed("text_id", "known_id"), "band").select("text_id", "known_id").distinct()
+    pairs = materialize(pairs, "pairs")
+    few = pairs.count() <= BROADCAST_TEXTS
+
+    def sets(df: DataFrame, ids: DataFrame) -> DataFrame:
+        """Shingles of one row per text in ``ids``."""
+        ids = F.broadcast(ids) if few else ids
+        one = df.select("text_id", "file_id").join(ids, "text_id", "left_semi").groupBy("text_id").agg(F.min("file_id").alias("file_id"))
+        return df.select("text_id", "file_id", "shingles").join(F.broadcast(one) if few else one, ["text_id", "file_id"]).drop("file_id")
+
+    texts = sets(asked, pairs.select("text_id").distinct())
+    known = sets(releases, pairs.select(F.col("known_id").alias("text_id")).distinct()).select(F.col("text_id").alias("known_id"), F.col("shingles").alias("theirs"))
+    both = pairs.join(texts, "text_id").join(known, "known_id")
     shared = F.size(F.array_intersect("shingles", "theirs"))
     return both.groupBy("text_id").agg(F.max(shared / (F.size("shingles") + F.size("theirs") - shared)).alias("similarity"))
 

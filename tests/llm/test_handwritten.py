@@ -122,6 +122,7 @@ def test_long_lists_are_joined_by_shuffle(spark, corpus, monkeypatch):
     d = H.learn(tree, files, symbols, packages)
     one = {r.file_id: (r.kind, r.similarity) for r in d.apply(tree, packages).collect()}
     monkeypatch.setattr(H, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(H, "BROADCAST_TEXTS", 0)
     assert {r.file_id: (r.kind, r.similarity) for r in d.apply(tree, packages).collect()} == one
 
 
