@@ -391,6 +391,46 @@ def x01_extract_symbols(spark, d):
     return relations(_texts(spark, d))["symbols"]
 
 
+@query("""SELECT language, count(*) AS listed, count(*) AS found FROM symbols JOIN files f ON f.id = file_id GROUP BY language""")
+def x01_listed_symbols(spark, d):
+    """Symbols of the table that extraction finds in the texts, by name, kind and lines
+    (a listed place may be that of a decorator; end 0 is one line)."""
+    x = relations(_texts(spark, d))["symbols"].select("file_id", "name", "kind", F.col("line").alias("at"))
+    s = table(spark, d, "symbols").withColumn("upto", F.greatest(F.col("end_line"), F.col("line") + 1))
+    hit = s.join(x, ["file_id", "name", "kind"]).where("at between line and upto").select("id").distinct().withColumn("hit", F.lit(1))
+    f = table(spark, d, "files").select(F.col("id").alias("file_id"), "language")
+    return s.join(f, "file_id").join(hit, "id", "left").groupBy("language").agg(F.count(F.lit(1)).alias("listed"), F.count("hit").alias("found"))
+
+
+@query(r"""WITH t AS (SELECT file_id, regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '\A\x{FEFF}', '') AS c, language FROM source_tree JOIN files f ON f.id = file_id WHERE file_id IN (SELECT file_id FROM symbols)),
+i AS (
+  SELECT file_id, language, unnest(regexp_extract_all(c, '(?m)^import ([\w.]+)$', 1)) AS p FROM t WHERE language = 'python'
+  UNION ALL SELECT file_id, language, unnest(regexp_extract_all(c, '(?m)^from ([\w.]+) import ', 1)) FROM t WHERE language = 'python'
+  UNION ALL SELECT file_id, language, unnest(regexp_extract_all(c, '(?m)^import (\w+)$', 1)) FROM t WHERE language = 'swift'
+  UNION ALL SELECT file_id, language, unnest(regexp_extract_all(c, '(?m)^using ([\w.]+);', 1)) FROM t WHERE language = 'csharp'
+  UNION ALL SELECT file_id, language, unnest(regexp_extract_all(c, '(?m)^import [^;]*?[''"]([^''"]+)[''"]', 1)) FROM t WHERE language IN ('javascript', 'typescript'))
+SELECT file_id, p AS import_path, count(*) AS n FROM i GROUP BY file_id, p""")
+def x02_imports_by_pattern(spark, d):
+    """Imports of the hand-written files in the languages where a line pattern tells them."""
+    listed = table(spark, d, "symbols").select("file_id").distinct()
+    texts = _texts(spark, d).where("language in ('python', 'swift', 'csharp', 'javascript', 'typescript')")
+    i = relations(texts)["imports"].join(listed, F.col("source_file_id") == F.col("file_id"), "left_semi")
+    return i.groupBy(F.col("source_file_id").alias("file_id"), "import_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT language, count(*) AS functions, count(*) AS graphs FROM symbols JOIN files f ON f.id = file_id WHERE kind = 'fn' AND language IN ('rust', 'csharp') GROUP BY language""")
+def g01_listed_functions(spark, d):
+    """Functions of the table that have a flow graph with one entry and one exit."""
+    from codeloom.flow.tables import file_graphs
+
+    ends = lambda k: F.size(F.filter("nodes", lambda n: n["kind"] == k)) == 1
+    g = file_graphs(_texts(spark, d)).where("error is null").where(ends("entry") & ends("exit")).select("file_id", "name", F.col("line").alias("at"))
+    s = table(spark, d, "symbols").where("kind = 'fn'").withColumn("upto", F.greatest("end_line", "line"))
+    f = table(spark, d, "files").where("language in ('rust', 'csharp')").select(F.col("id").alias("file_id"), "language")
+    hit = s.join(g, ["file_id", "name"]).where("at between line and upto").select("id").distinct().withColumn("hit", F.lit(1))
+    return s.join(f, "file_id").join(hit, "id", "left").groupBy("language").agg(F.count(F.lit(1)).alias("functions"), F.count("hit").alias("graphs"))
+
+
 @query()
 def x02_extract_imports(spark, d):
     return relations(_texts(spark, d))["imports"]

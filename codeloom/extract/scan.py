@@ -34,7 +34,8 @@ class Tokens:
         self.t, self.k, self.at = [], [], []
         for at, token, kinds in s.places(self.text):
             self.t.append(token)
-            self.k.append(kinds)
+            # keywords in one place only, names elsewhere
+            self.k.append(IDENT if language == "rust" and token in ("raw", "union") else kinds)
             self.at.append(at)
         self.n = len(self.t)
         self.match: dict[int, int] = {}
@@ -136,9 +137,9 @@ class Scan:
             {"name": name or self.x.t[i].strip("`"), "kind": kind, "line": line, "column": column, "end_line": max(line, self.x.end_line(min(end, self.x.n - 1))), "visibility": visibility, "scope": scope}
         )
 
-    def ref(self, i: int, qualified: bool, scope: str | None = None) -> None:
+    def ref(self, i: int, qualified: bool, scope: str | None = None, name: str | None = None) -> None:
         line, column = self.x.place(i)
-        self.out.references.append({"symbol_name": self.x.t[i], "line": line, "column": column, "from_scope": scope, "qualified": qualified})
+        self.out.references.append({"symbol_name": name or self.x.t[i], "line": line, "column": column, "from_scope": scope, "qualified": qualified})
 
     def imp(self, path: str, names: list[str] = (), alias: str | None = None) -> None:
         if path:
@@ -617,6 +618,8 @@ class Swift(Scan):
 
 
 class CSharp(Scan):
+    #: behind the last type name that a creation has listed
+    named = 0
     _TYPES = {"class": "class", "struct": "struct", "interface": "interface", "enum": "enum", "record": "class"}
     _MODS = ("public", "private", "protected", "internal", "static", "readonly", "sealed", "abstract", "virtual", "override", "new", "extern", "unsafe", "volatile", "async", "partial", "const", "required", "file", "ref")
 
@@ -655,15 +658,33 @@ class CSharp(Scan):
             self.symbol(name, self._TYPES[t], end, self._vis(i), self._scope())
         elif self._word(i) and frame[1] in ("type", "interface") and self._member(i):
             return
-        elif x.is_id(i) and frame[1] not in ("file", "namespace", "type", "interface", "enum") or x.is_id(i) and x.prev(i) == "new":
-            if x.tok(i - 1) == "new":
-                if x.tok(i + 1) in ("(", "{"):
-                    self.ref(i, False, self._scope())
-            elif x.tok(i + 1) == "(":
+        elif t == "new" and self._created(i + 1):
+            return
+        elif i < self.named:
+            return
+        elif x.is_id(i) and frame[1] not in ("file", "namespace", "type", "interface", "enum"):
+            if x.tok(i + 1) == "(":
                 self.ref(i, x.tok(i - 1) in (".", "?."), self._scope())
         elif x.is_id(i) and x.tok(i + 1) == "(" and x.tok(i - 1) in (".", "?.", "=", "=>", "(", ",", "return"):
             self.ref(i, x.tok(i - 1) in (".", "?."), self._scope())
 
+    def _created(self, i: int) -> bool:
+        """A creation of the type named at ``i``: listed by its name, without
+        arguments, or by all of a qualified name."""
+        x, j, parts, simple = self.x, i, [], True
+        while x.tok(j)[:1].isalpha() or x.tok(j)[:1] in ("_", "@"):
+            parts.append(x.t[j])
+            j = x.angles(j + 1)
+            if x.tok(j) not in (".", "::"):
+                break
+            simple = False
+            j += 1
+        if not parts or x.tok(j) not in ("(", "{"):
+            return False
+        self.ref(i, False, self._scope(), parts[0] if simple else x.text[x.at[i] : x.at[j - 1] + len(x.t[j - 1])])
+        self.named = j
+        return True
+
     def _word(self, i: int) -> bool:
         x = self.x
         return x.is_id(i) or 0 <= i < x.n and x.t[i].isidentifier() and x.t[i] in _CONTEXTUAL

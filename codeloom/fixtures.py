@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.extract.tables import parse_files
-from codeloom.flow import render
-from codeloom.flow.parse import flow
+from codeloom.flow.tables import flow_graphs, rendered
 from codeloom.functions import text as T
 from codeloom.operators import maintenance as M
 from codeloom.plans.resolve import resolve_imports
 from codeloom.schema import FILES, IMPORTS, REFERENCES, SYMBOLS
 from codeloom.session import ship
 from codeloom.sources import vcs
+from codeloom.sources.tree import LANGUAGES
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -89,6 +89,14 @@ def x22_usages(spark):
     return parse_files(df).select(F.inline("references")).select(*_REF)
 
 
+@expects(_REF, [("List", 1, 33, "A", False), ("B.C", 2, 8, "A", False), ("D", 3, 8, "A", False), ("E.F<int>", 4, 8, "A", False), ("Go", 5, 0, "A", False), ("Run", 6, 2, "A", True), ("int", 8, 8, "A", False)])
+def x24_csharp_creations(spark):
+    """Creations by the name of their type; calls with type arguments are no usages."""
+    text = "class A { void M() { var x = new List<int>();\nx = new B.C(1);\nx = new D { P = 1 };\nx = new E.F<int>();\nGo(x);\na.Run(x);\nGo<int>(); a.B<int>(); y = new int[3]; y = new();\nz = new int();\n} }\n"
+    df = spark.createDataFrame([(1, "p", "csharp", text)], "file_id long, path string, language string, content string")
+    return parse_files(df).select(F.inline("references")).select(*_REF)
+
+
 _IMP = {"import_path": "VARCHAR", "names": "VARCHAR"}
 
 
@@ -131,8 +139,8 @@ def r01_resolution_cases(spark):
 
 @expects({"status": "VARCHAR", "path": "VARCHAR"}, [("A", "b.py"), ("M", "new.py"), ("M", "copy.py")])
 def s11_change_feed(spark):
-    out = "M\ta.py\nA\tsub/b.py\nD\tc.py\nR100\told.py\tsub/new.py\nC75\ta.py\tsub/copy.py\n"
-    return spark.createDataFrame(vcs.parse_status(out, "sub/"), "status string, path string")
+    out = ["M\ta.py", "A\tsub/b.py", "D\tc.py", "R100\told.py\tsub/new.py", "C75\ta.py\tsub/copy.py"]
+    return vcs.status_rows(spark.createDataFrame([(x,) for x in out], "value string"), "sub/")
 
 
 @expects({"symbol_id": "BIGINT", "file_id": "BIGINT", "line": "BIGINT", "column": "BIGINT"}, [(2, 2, 6, 0), (1, 1, 7, 4)])
@@ -162,10 +170,18 @@ def m02_upsert_metadata(spark):
 _EDGE = {"source": "VARCHAR", "label": "VARCHAR", "target": "VARCHAR"}
 
 
-def _edges(spark, language, text, name):
-    g = flow(language, text, "f", name, None, 1)
-    at = {n["id"]: f"{n['kind']} {n['label']}" for n in g["nodes"]}
-    return spark.createDataFrame([(at[e["from"]], e["label"], at[e["to"]]) for e in g["edges"]], "source string, label string, target string")
+def _graph(spark, language, text, *names):
+    rows = [(k, f"f{k}", language, n, None, 1, text) for k, n in enumerate(names, 1)]
+    return flow_graphs(spark.createDataFrame(rows, "symbol_id long, path string, language string, name string, scope string, line long, content string"))
+
+
+def _edges(spark, language, text, *names):
+    """Edges with the kind and label of both ends; one row without ends where there is no graph."""
+    g = _graph(spark, language, text, *names)
+    node = lambda i: F.element_at(F.filter("nodes", lambda n: n["id"] == i), 1)
+    shown = lambda n: F.concat_ws(" ", n["kind"], n["label"])
+    e = g.select("nodes", F.explode_outer("edges").alias("e"))
+    return e.select(F.when(F.col("e").isNotNull(), shown(node(F.col("e.from")))).alias("source"), F.col("e.label").alias("label"), F.when(F.col("e").isNotNull(), shown(node(F.col("e.to")))).alias("target"))
 
 
 @expects(_EDGE, [
@@ -190,6 +206,42 @@ def g04_csharp_flow(spark):
     return _edges(spark, "csharp", text, "F")
 
 
+_SKIP = "call Skip(…)"
+_EACH = "loop foreach (var x in Items())"
+
+
+@expects(_EDGE, [
+    ("entry G(int n) -> IEnumerable<int>", None, "branch n < 0"), ("branch n < 0", "true", "call new E(…)"), ("call new E(…)", None, "throw throw new E();"), ("throw throw new E();", None, "exit end"),
+    ("branch n < 0", "false", "call Open(…)"), ("call Open(…)", None, "call Read(…)"), ("call Read(…)", None, "yield yield return Read(r);"), ("yield yield return Read(r);", None, "loop do while (n > 0)"),
+    ("loop do while (n > 0)", "body", _SKIP), (_SKIP, None, "branch Skip(n)"), ("branch Skip(n)", "true", "continue continue;"), ("continue continue;", None, "loop do while (n > 0)"), ("branch Skip(n)", "false", "loop do while (n > 0)"),
+    ("loop do while (n > 0)", "done", "call Items(…)"), ("call Items(…)", None, _EACH), (_EACH, "body", "branch x > 9"), ("branch x > 9", "true", "goto goto again;"), ("branch x > 9", "false", _EACH),
+    (_EACH, "done", "return yield break;"), ("return yield break;", None, "exit end"),
+])
+def g12_csharp_jumps(spark):
+    """Throw, yield, goto, wrappers (using, lock, a labelled statement), do and foreach."""
+    text = "class K { IEnumerable<int> G(int n) {\n if (n < 0) { throw new E(); }\n using (var r = Open()) { lock (r) { yield return Read(r); } }\n again:\n do { n--; if (Skip(n)) { continue; } } while (n > 0);\n"
+    return _edges(spark, "csharp", text + " foreach (var x in Items()) { if (x > 9) { goto again; } }\n yield break;\n} }\n", "G")
+
+
+@expects(_EDGE, [
+    ("entry Q() -> int", None, "call Load(…)"), ("call Load(…)", None, "return Load()"), ("return Load()", None, "exit end"), (None, None, None), (None, None, None), (None, None, None),
+])
+def g21_no_graph(spark):
+    """An arrow property has a graph; one with accessors, a method without body and a missing one have an error instead."""
+    return _edges(spark, "csharp", "class K {\n int Q => Load();\n int P { get { return 1; } set { } }\n abstract void R();\n}\n", "Q", "P", "R", "Z")
+
+
+@expects(_EDGE, [
+    ("entry h(x: &mut V) -> u8", None, "loop loop"), ("loop loop", "body", "call x.pop(…)"), ("call x.pop(…)", None, "loop while let Some(v) = x.pop()"),
+    ("loop while let Some(v) = x.pop()", "body", "branch v.bad"), ("branch v.bad", "true", "continue continue 'outer"), ("continue continue 'outer", None, "loop loop"),
+    ("branch v.bad", "false", "branch v.done"), ("branch v.done", "true", "break break 'outer"), ("branch v.done", "false", "loop while let Some(v) = x.pop()"), ("loop while let Some(v) = x.pop()", "done", "loop loop"),
+    ("break break 'outer", None, "call raw(…)"), ("call raw(…)", None, "return 1"), ("return 1", None, "exit end"),
+])
+def g08_rust_labels(spark):
+    """Labelled loops, patterns in conditions, closures and an unsafe block."""
+    return _edges(spark, "rust", "fn h(x: &mut V) -> u8 {\n 'outer: loop { while let Some(v) = x.pop() { if v.bad { continue 'outer; } if v.done { break 'outer; } } }\n let f = |a| a.go();\n unsafe { raw(x) };\n 1\n}\n", "h")
+
+
 _FLOW = "fn f() { if a() { return; } b()? }"
 
 
@@ -198,7 +250,7 @@ _FLOW = "fn f() { if a() { return; } b()? }"
     (8, "    #5 call b(…) :1"), (9, "      ! Err ? -> #1"), (10, "    #6 return b()? :1"), (11, "    -> #1 exit (end)"),
 ])
 def k07_flow_tree(spark):
-    return _lines(spark, render.tree(flow("rust", _FLOW, "f", "f", None, 1)))
+    return _lines(_graph(spark, "rust", _FLOW, "f"), "tree")
 
 
 @expects({"line_no": "BIGINT", "text": "VARCHAR"}, [
@@ -206,21 +258,20 @@ def k07_flow_tree(spark):
     (9, "  n0 --> n2"), (10, "  n2 --> n3"), (11, '  n3 -->|"true"| n4'), (12, "  n4 --> n1"), (13, '  n3 -->|"false"| n5'), (14, '  n5 -->|"Err ?"| n1'), (15, "  n5 --> n6"), (16, "  n6 --> n1"),
 ])
 def k08_flow_mermaid(spark):
-    return _lines(spark, render.mermaid(flow("rust", _FLOW, "f", "f", None, 1)))
+    return _lines(_graph(spark, "rust", _FLOW, "f"), "mermaid")
 
 
-def _lines(spark, text):
-    return spark.createDataFrame(list(enumerate(text.splitlines(), 1)), "line_no long, text string")
+def _lines(graphs, how):
+    lines = rendered(graphs, how).select(F.posexplode(F.split(F.rtrim("text", F.lit("\n")), "\n")).alias("n", "text"))
+    return lines.select((F.col("n") + 1).cast("long").alias("line_no"), "text")
 
 
 @expects({"target": "VARCHAR", "name": "VARCHAR", "scope": "VARCHAR", "file": "VARCHAR"}, [
     ("pay", "pay", None, None), ("src/a.py:pay", "pay", None, "src/a.py"), ("src/a.py", None, None, "src/a.py"), ("a.py", None, None, "a.py"), ("Cart.total", "total", "Cart", None), ("a::b", "b", None, "a:"), ("a.b.c", "a.b.c", None, None),
 ])
 def q10_targets(spark):
-    from codeloom.cli import parse_target
-
-    made = [(t, *[getattr(parse_target(t), k) for k in ("name", "scope", "file")]) for t in ("pay", "src/a.py:pay", "src/a.py", "a.py", "Cart.total", "a::b", "a.b.c")]
-    return spark.createDataFrame(made, "target string, name string, scope string, file string")
+    asked = spark.createDataFrame([(t,) for t in ("pay", "src/a.py:pay", "src/a.py", "a.py", "Cart.total", "a::b", "a.b.c")], "target string")
+    return asked.select("target", T.target(F.col("target"), LANGUAGES).alias("t")).select("target", "t.*")
 
 
 @expects({"case_no": "BIGINT", "collapsed": "VARCHAR", "unquoted": "VARCHAR", "escaped": "VARCHAR", "short": "VARCHAR", "stem": "VARCHAR", "found": "BOOLEAN"}, [

@@ -204,6 +204,14 @@ class RustBody(Body):
             return [Step("jump", self.line(i), label(self.text(i, end)), self.calls(i, end), node="return")]
         return [Step("calls", calls=self.calls(i, end))]
 
+    def condition(self, i: int, end: int) -> list[Call]:
+        """Calls of a condition, without the patterns of its ``let`` parts."""
+        out, start = [], i
+        while (at := self.find(start, end, "let")) < end:
+            out += self.calls(start, at)
+            start = self.find(at, end, "=") + 1
+        return out + self.calls(start, end)
+
     def let(self, i: int, end: int) -> tuple[list[Step], int]:
         x = self.x
         stop = self.find(i, end, ";")
@@ -240,7 +248,7 @@ class RustBody(Body):
         if brace >= end:
             return None, i
         if t == "while":
-            return [Step("loop", self.line(at), f"while {label(self.text(i + 1, brace))}", self.calls(i + 1, brace), self.block(brace, False), name=name)], x.after(brace)
+            return [Step("loop", self.line(at), f"while {label(self.text(i + 1, brace))}", self.condition(i + 1, brace), self.block(brace, False), name=name)], x.after(brace)
         if t == "for":
             mid = self.find(i + 1, brace, "in")
             text = f"for {label(self.text(i + 1, mid))} in {label(self.text(mid + 1, brace))}"
@@ -265,7 +273,7 @@ class RustBody(Body):
                 if body is None:
                     after = self.find(arrow + 1, close, ",")
                     body = self.expression(arrow + 1, after, tail)
-                step.arms.append(Arm(label(self.text(j, arrow)), body, self.calls(guard, arrow) if guard < arrow else []))
+                step.arms.append(Arm(label(self.text(j, arrow)), body, self.condition(guard, arrow) if guard < arrow else []))
                 j = after + (x.tok(after) == ",")
             return [step], close + 1
         return None, i
@@ -275,7 +283,7 @@ class RustBody(Body):
         brace = self.find(i + 1, end, "{")
         if brace >= end:
             return None, i
-        step = Step("branch", self.line(i), label(self.text(i + 1, brace)), self.calls(i + 1, brace), arms=[Arm("true", self.block(brace, tail))])
+        step = Step("branch", self.line(i), label(self.text(i + 1, brace)), self.condition(i + 1, brace), arms=[Arm("true", self.block(brace, tail))])
         after = x.after(brace)
         if x.tok(after) == "else" and after < end:
             if x.tok(after + 1) == "if":
@@ -617,7 +625,7 @@ def rust(finder: _RustFinder, hit: tuple, file: str, name: str, scope: str | Non
     x, b = finder.x, RustBody(finder.x)
     opening = x.angles(at + 1)
     if x.tok(opening) != "(" or opening not in x.match:
-        raise FlowError(f"{name} has no parameter list at {file}:{line}")
+        raise FlowError(f"the parameters of {name} ({file}, line {line}) can't be read")
     arrow = b.find(x.after(opening), brace, "->")
     where = b.find(arrow, brace, "where")
     info = {
@@ -632,7 +640,7 @@ def csharp(finder: _CSharpFinder, hit: tuple, file: str, name: str, scope: str |
     x, b = finder.x, CSharpBody(finder.x)
     opening = x.angles(at + 1)
     if x.tok(opening) == "{":
-        raise NoBody(f"{f'{scope}.' if scope else ''}{name} is a property with accessors; flow needs a method body")
+        raise NoBody(f"{file}, line {line}: {name} only has accessors, so there are no statements to draw")
     k = first
     while x.tok(k) == "[":
         k = x.after(k)
@@ -640,13 +648,13 @@ def csharp(finder: _CSharpFinder, hit: tuple, file: str, name: str, scope: str |
         k += 1
     has = x.tok(opening) == "("
     if has and opening not in x.match:
-        raise FlowError(f"{name} has no parameter list at {file}:{line}")
+        raise FlowError(f"the parameters of {name} ({file}, line {line}) can't be read")
     info = {
         "name": name, "scope": scope, "file": file, "line": b.line(first), "end_line": x.end_line(end), "language": "csharp",
         "params": b.parts(opening + 1, x.match[opening]) if has else [], "returns": label(b.text(k, at)) if k < at else None,
     }
     if x.t[body] == ";":
-        raise NoBody(f"{name} has no body at {file}:{line}")
+        raise NoBody(f"{file}, line {line}: {name} is declared without statements")
     if x.t[body] == "=>":
         stop = end if x.t[end] == ";" else end + 1
         value = b.valued(body + 1, stop)
@@ -660,7 +668,7 @@ _FINDERS = {"rust": _RustFinder, "csharp": _CSharpFinder}
 
 def _scan(language: str, source: str):
     if language not in _LANGUAGES:
-        raise FlowError(f"flow does not support {language} yet (supported: rust, csharp)")
+        raise FlowError(f"no flow graphs for {language}, only for {' and '.join(_LANGUAGES)}")
     sys.setrecursionlimit(1_000_000)  # nested statements; calls between Python functions take no C stack
     finder = _FINDERS[language](source, language)
     finder.run()
@@ -691,7 +699,7 @@ def flow(language: str, source: str, file: str, name: str, scope: str | None, li
     finder = _scan(language, source)
     hit = locate(finder.found, finder.x, name, scope, line)
     if hit is None:
-        raise FlowError(f"no function body for {f'{scope}.' if scope else ''}{name} at {file}:{line} (the index may be stale)")
+        raise FlowError(f"{file} holds no function {name} around line {line}; perhaps it has changed since it was indexed")
     info, steps = _LANGUAGES[language](finder, hit, file, name, scope, line)
     return Builder(info).build(steps)
 

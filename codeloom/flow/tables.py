@@ -80,3 +80,21 @@ def node_rows(graphs: DataFrame) -> DataFrame:
 
 def edge_rows(graphs: DataFrame) -> DataFrame:
     return graphs.where("error is null").select("symbol_id", F.inline("edges"))
+
+
+def rendered(graphs: DataFrame, how: str = "tree") -> DataFrame:
+    """``graphs`` (with ``nodes``, ``edges``) and a column ``text``: each graph as ``tree`` or ``mermaid``; null where there is none."""
+
+    def go(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from codeloom.flow import render
+
+        draw = {"tree": render.tree, "mermaid": render.mermaid}[how]
+        for b in batches:
+            made = [None if n is None else draw({"nodes": n, "edges": e}) for n, e in zip(b.column("nodes").to_pylist(), b.column("edges").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, "text"])
+
+    from pyspark.sql import types as T
+
+    return graphs.mapInArrow(go, T.StructType([*graphs.schema, T.StructField("text", T.StringType())]))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,12 +42,13 @@ def sqlite_like(c: Column, pattern: str) -> Column:
 
 
 def java_regex(pattern: str) -> str:
-    """Named groups as the JVM spells them; an invalid pattern raises ValueError."""
+    """Named groups as the JVM spells them; a pattern that it can't compile raises ValueError."""
+    made = pattern.replace("(?P<", "(?<")
     try:
-        re.compile(pattern)
-    except re.error as e:
-        raise ValueError(f"invalid regex: {e}") from e
-    return pattern.replace("(?P<", "(?<")
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(made)
+    except Py4JJavaError as e:
+        raise ValueError(f"invalid regex: {e.java_exception.getMessage()}") from None
+    return made
 
 
 def grep(c: Column, pattern: str) -> Column:
@@ -97,6 +101,26 @@ def mermaid_escape(c: Column) -> Column:
     return F.replace(c, F.lit('"'), F.lit("#quot;"))
 
 
+def target(c: Column, extensions: Iterable[str]) -> Column:
+    """``name, scope, file`` that an argument names: ``path:name``, a path, ``Scope.name`` or a name.
+
+    A last colon splits file and name; what has a slash or ends in a known
+    extension is a path; of two parts around one dot the first is the scope.
+    """
+    head, tail = F.regexp_extract(c, r"(?s)^(.+):([^:]+)$", 1), F.regexp_extract(c, r"(?s)^(.+):([^:]+)$", 2)
+    ext = F.regexp_extract(c, r"\.([^.]*)$", 1)
+    dotted = r"(?s)^([^.]+)\.([^.]+)$"
+    none = F.lit(None).cast("string")
+    made = lambda n, s, f: F.struct(n.alias("name"), s.alias("scope"), f.alias("file"))
+    return (
+        F.when(c.isNull(), F.lit(None).cast("struct<name:string,scope:string,file:string>"))
+        .when(tail != "", made(tail, none, head))
+        .when(c.contains("/") | ext.isin(list(extensions)), made(none, none, c))
+        .when(c.rlike(dotted), made(F.regexp_extract(c, dotted, 2), F.regexp_extract(c, dotted, 1), none))
+        .otherwise(made(c, none, none))
+    )
+
+
 def content_hash(c: Column) -> Column:
     """Lower-case hex SHA-256 of the UTF-8 text."""
     return F.sha2(c, 256)

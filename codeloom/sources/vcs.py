@@ -5,13 +5,17 @@ from __future__ import annotations
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _git(root: str, *args: str) -> str | None:
     try:
         done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=60)
-    except (OSError, subprocess.TimeoutExpired):
+    except OSError:
         return None
+    except subprocess.TimeoutExpired as e:
+        # no answer is not the answer that there is no repository
+        raise RuntimeError(f"git gave no answer within {e.timeout:.0f} s") from e
     return done.stdout if done.returncode == 0 else None
 
 
@@ -28,24 +32,24 @@ def prefix(root: str) -> str:
     return (_git(root, "rev-parse", "--show-prefix") or "").strip()
 
 
-def parse_status(out: str, below: str = "") -> list[tuple[str, str]]:
-    """(status, path) pairs of ``--name-status`` lines, relative to ``below``.
+def status_rows(lines: DataFrame, below: str = "") -> DataFrame:
+    """``status, path`` of ``--name-status`` lines (column ``value``), relative to ``below``.
 
     A rename is a delete of the old and a change of the new path, a copy a
-    change of the new path; paths outside ``below`` drop out.
+    change of the new path; paths outside ``below`` drop out, and so do lines
+    without a path and null ones.
     """
-    found = []
-    for line in out.splitlines():
-        status, *paths = line.split("\t")
-        if not paths:
-            continue
-        if status[:1] == "R" and len(paths) == 2:
-            found += [("D", paths[0]), ("M", paths[1])]
-        elif status[:1] == "C" and len(paths) == 2:
-            found.append(("M", paths[1]))
-        else:
-            found.append((status[:1], paths[0]))
-    return [(s, p[len(below) :]) for s, p in found if p.startswith(below)]
+    part = F.split("value", "\t")
+    status, first, second = F.substring(part[0], 1, 1), F.get(part, F.lit(1)), F.get(part, F.lit(2))
+    row = lambda s, p: F.struct(s.alias("status"), p.alias("path"))
+    two = second.isNotNull()
+    rows = (
+        F.when((status == "R") & two, F.array(row(F.lit("D"), first), row(F.lit("M"), second)))
+        .when((status == "C") & two, F.array(row(F.lit("M"), second)))
+        .otherwise(F.array(row(status, first)))
+    )
+    found = lines.select(F.inline(rows)).where(F.col("path").startswith(below))
+    return found.select("status", F.substring("path", len(below) + 1, 1 << 20).alias("path"))
 
 
 def changes(spark: SparkSession, root: str, since: str) -> DataFrame:
@@ -53,4 +57,4 @@ def changes(spark: SparkSession, root: str, since: str) -> DataFrame:
     out = _git(root, "diff", "--no-relative", "--name-status", since)
     if out is None:
         raise RuntimeError(f"no changes since {since} can be read")
-    return spark.createDataFrame(parse_status(out, prefix(root)), "status string, path string")
+    return status_rows(spark.createDataFrame([(x,) for x in out.splitlines()], "value string"), prefix(root))

@@ -35,10 +35,11 @@ def test_reading(spark, tmp_path):
     assert read_tree(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_status_lines():
+def test_status_lines(spark):
+    parse = lambda out, below="": [tuple(r) for r in vcs.status_rows(spark.createDataFrame([(x,) for x in out.splitlines()], "value string"), below).collect()]
     out = "M\ta.py\nA\tsub/b.py\nD\tc.py\nR100\told.py\tsub/new.py\nC75\ta.py\tsub/copy.py\n"
-    assert vcs.parse_status(out) == [("M", "a.py"), ("A", "sub/b.py"), ("D", "c.py"), ("D", "old.py"), ("M", "sub/new.py"), ("M", "sub/copy.py")]
-    assert vcs.parse_status(out, "sub/") == [("A", "b.py"), ("M", "new.py"), ("M", "copy.py")]
+    assert parse(out) == [("M", "a.py"), ("A", "sub/b.py"), ("D", "c.py"), ("D", "old.py"), ("M", "sub/new.py"), ("M", "sub/copy.py")]
+    assert parse(out, "sub/") == [("A", "b.py"), ("M", "new.py"), ("M", "copy.py")]
 
 
 def test_records(spark, tmp_path):

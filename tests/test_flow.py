@@ -74,7 +74,7 @@ def test_locating():
     assert call("A", 1) == "one(…)" and call("B", 99) == "two(…)" and call(None, 3) == "three(…)"
     with pytest.raises(FlowError):
         flow("rust", src, "a.rs", "go", None, 99)
-    with pytest.raises(FlowError, match="does not support python"):
+    with pytest.raises(FlowError, match="no flow graphs for python"):
         flow("python", "def f(): pass", "a.py", "f", None, 1)
 
 
