@@ -17,6 +17,7 @@ from codeloom.functions import text as T
 from codeloom.operators import maintenance as M
 from codeloom.operators.snapshots import snapshot_diff
 from codeloom.plans.index import Index, bind_references
+from codeloom.plans.refresh import build, refresh, run_totals, statistics
 from codeloom.plans.resolve import resolve_imports
 from codeloom.session import table
 from codeloom.sources.tree import LANGUAGES, language_column
@@ -68,7 +69,7 @@ _ORD = 'ORDER BY path, line, "column", name, id'
 # -- scans and lookups --------------------------------------------------------
 @query("SELECT id, path, language FROM files WHERE path NOT LIKE '.%'")
 def s04_visible_files(spark, d):
-    return table(spark, d, "files").where(~F.col("path").startswith(".")).select("id", "path", "language")
+    return index(spark, d).visible_files().select("id", "path", "language")
 
 
 @query("""SELECT file_id, path, CASE regexp_extract(path, '[^.]*$') WHEN 'rs' THEN 'rust' WHEN 'go' THEN 'go' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript'
@@ -107,9 +108,7 @@ def s10_imports_of_file(spark, d):
 @query("""SELECT s.id, CASE WHEN s.line >= 1 AND s.line <= len(l) THEN array_to_string(list_slice(l, s.line, CASE WHEN s.end_line > 0 THEN s.end_line ELSE s.line END), chr(10)) END AS body
 FROM symbols s JOIN (SELECT file_id, regexp_split_to_array(content, '\\r?\\n') AS l FROM source_tree) t ON t.file_id = s.file_id""")
 def s15_symbol_bodies(spark, d):
-    t = table(spark, d, "source_tree").select("file_id", "content")
-    s = table(spark, d, "symbols").select("id", "file_id", "line", "end_line")
-    return s.join(t, "file_id").select("id", T.body_slice(F.col("content"), F.col("line"), F.col("end_line")).alias("body"))
+    return Index(table(spark, d, "files"), table(spark, d, "symbols")).symbol_bodies(table(spark, d, "source_tree"))
 
 
 # -- listings -----------------------------------------------------------------
@@ -138,6 +137,18 @@ def a02_count_symbols(spark, d):
     return index(spark, d).count_symbols(kind="class", file="core")
 
 
+@query(f"{_LOC} SELECT count(*) AS total_count FROM located WHERE regexp_matches(name, '^(get|set|load)_?[A-Za-z]') AND kind = 'fn'")
+def a11_count_grep(spark, d):
+    return index(spark, d).count_symbols(pattern="^(get|set|load)_?[A-Za-z]", kind="fn")
+
+
+@query(f"""{_LOC}, page AS (SELECT * FROM located {_ORD} LIMIT 40 OFFSET 25), lists AS (SELECT file_id, string_agg(line || ' ' || name, ',' ORDER BY line, "column", name, kind, end_line, visibility, scope) AS t FROM page GROUP BY file_id)
+SELECT f.path, f.language, t AS symbols FROM files f JOIN lists l ON l.file_id = f.id ORDER BY path""")
+def l06_export_page(spark, d):
+    e = index(spark, d).export(limit=40, offset=25)
+    return e.select("path", "language", F.array_join(F.transform("symbols", lambda s: F.concat_ws(" ", s["line"], s["name"])), ",").alias("symbols"))
+
+
 @query(f"{_LOC} SELECT {_PAGE} FROM located WHERE name = (SELECT max(name) FROM located)")
 def q02_symbols_named(spark, d):
     i = index(spark, d)
@@ -210,8 +221,7 @@ def q14_summary(spark, d):
 
 @query("""SELECT docid, count(*) AS n, min(id) AS first_id FROM symbols WHERE docid IS NOT NULL GROUP BY docid""")
 def a10_docid_ids(spark, d):
-    by = table(spark, d, "symbols").where("docid is not null").groupBy("docid").agg(F.collect_list("id").alias("ids"))
-    return by.select("docid", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first_id"))
+    return Index(table(spark, d, "files"), table(spark, d, "symbols")).docid_ids()
 
 
 @query(f"""{_LOC}, lists AS (SELECT file_id, string_agg(line || ' ' || name, ',' ORDER BY line, "column", name, kind, end_line, visibility, scope) AS t FROM located GROUP BY file_id)
@@ -236,6 +246,12 @@ def q05_dependents(spark, d):
     return i.dependents(i.file_edges().where("target <> 'std'").agg(F.max("target")).first()[0])
 
 
+@query(f"WITH {_IMP} SELECT DISTINCT f.path FROM imports i JOIN files f ON f.id = i.source_file_id WHERE i.import_path LIKE '%std%' ORDER BY path")
+def q05_dependents_of_a_name(spark, d):
+    """Dependents of what is no indexed file, by the text of the specifier."""
+    return index(spark, d).dependents("std")
+
+
 @query(f"{_EDGES}, walk AS (SELECT (SELECT min(source) FROM edges) AS path, 0 AS depth UNION SELECT e.target, w.depth + 1 FROM walk w JOIN edges e ON e.source = w.path WHERE w.depth < 3) SELECT path, CAST(min(depth) AS INTEGER) AS depth FROM walk WHERE path <> (SELECT min(source) FROM edges) GROUP BY path")
 def q06_transitive(spark, d):
     i = index(spark, d)
@@ -334,10 +350,14 @@ def m05_drop_language_references(spark, d):
 
 
 @query(f"""WITH {_LATEST} SELECT 'modified' AS state, l.path FROM latest l LEFT JOIN files f ON f.path = l.path
-WHERE regexp_extract(l.path, '[^.]*$') IN ('rs', 'go', 'py', 'ts', 'tsx', 'js', 'jsx', 'swift', 'cs') AND (f.content_hash IS NULL OR f.content_hash <> l.content_hash)""")
+WHERE regexp_extract(l.path, '[^.]*$') IN ('rs', 'go', 'py', 'ts', 'tsx', 'js', 'jsx', 'swift', 'cs') AND (f.content_hash IS NULL OR f.content_hash <> l.content_hash)
+UNION ALL SELECT DISTINCT 'deleted', f.path FROM files f JOIN symbol_snapshots s ON s.path = f.path""")
 def o63_stale_files(spark, d):
     now = _feed(spark, d).groupBy("path").agg(F.max(F.struct("last_indexed_at", "content_hash", "language", "id")).alias("r")).select("path", "r.content_hash")
-    changes = now.select(F.lit("M").alias("status"), "path")
+    # as if the files of the snapshots were deleted, with paths that are not indexed besides
+    gone = table(spark, d, "symbol_snapshots").select(F.lit("D").alias("status"), "path")
+    stray = table(spark, d, "package_files").select(F.lit("D").alias("status"), F.col("file_name").alias("path"))
+    changes = now.select(F.lit("M").alias("status"), "path").unionByName(gone).unionByName(stray)
     modified, deleted = M.stale_files(table(spark, d, "files"), changes, now, list(LANGUAGES))
     return modified.select(F.lit("modified").alias("state"), "path").unionByName(deleted.select(F.lit("deleted").alias("state"), "path"))
 
@@ -358,21 +378,29 @@ def o65_symbol_diff(spark, d):
     return found.select("path", "name", "change_kind", "old_line", "new_line")
 
 
-@query("""SELECT run_no, CAST(count(*) AS BIGINT) AS runs, CAST(sum(coalesce(files_indexed, 0)) AS BIGINT) AS files_indexed, CAST(sum(coalesce(files_errored, 0)) AS BIGINT) AS files_errored FROM index_runs GROUP BY run_no""")
+@query("""SELECT run_no, CAST(count(*) AS BIGINT) AS runs, CAST(sum(coalesce(files_indexed, 0)) AS BIGINT) AS files_indexed, CAST(sum(coalesce(files_errored, 0)) AS BIGINT) AS files_errored,
+CAST(sum(coalesce(files_deleted, 0)) AS BIGINT) AS files_deleted, CAST(sum(coalesce(symbols_found, 0)) AS BIGINT) AS symbols_found, CAST(sum(coalesce(imports_found, 0)) AS BIGINT) AS imports_found FROM index_runs GROUP BY run_no""")
 def a12_run_statistics(spark, d):
-    z = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
-    return table(spark, d, "index_runs").groupBy("run_no").agg(F.count(F.lit(1)).alias("runs"), z("files_indexed"), z("files_errored"))
+    return run_totals(table(spark, d, "index_runs"))
+
+
+@query(f"""WITH {_LATEST} SELECT (SELECT count(*) FROM latest) AS files_indexed, 0 AS files_errored, (SELECT count(*) FROM latest l JOIN files f ON f.path = l.path AND f.content_hash = l.content_hash) AS files_unchanged,
+(SELECT count(*) FROM symbols) AS symbols_found, (SELECT count(*) FROM references_) AS imports_found, 0 AS files_deleted""")
+def a12_statistics(spark, d):
+    """Counters of a run over the newest rows of the feed (here references stand for imports)."""
+    now = _feed(spark, d).groupBy("path").agg(F.max(F.struct("last_indexed_at", "content_hash", "language", "id")).alias("r"))
+    texts = now.select("path", "r.content_hash", F.lit("").alias("content"))
+    return statistics(texts, table(spark, d, "files"), {"symbols": table(spark, d, "symbols"), "imports": table(spark, d, "references_")})
 
 
 @query("SELECT DISTINCT file_id FROM raw_references WHERE file_id IN (SELECT id FROM files)")
 def u02_indexed_members(spark, d):
-    f = table(spark, d, "files").select(F.col("id").alias("file_id"))
-    return table(spark, d, "raw_references").select("file_id").distinct().join(f, "file_id", "left_semi")
+    return index(spark, d).indexed(table(spark, d, "raw_references"))
 
 
 @query("SELECT DISTINCT path FROM file_feed WHERE path NOT IN (SELECT path FROM files) AND path IS NOT NULL")
 def u03_paths_not_indexed(spark, d):
-    return table(spark, d, "file_feed").select("path").where("path is not null").distinct().join(table(spark, d, "files").select("path"), "path", "left_anti")
+    return index(spark, d).not_indexed(table(spark, d, "file_feed"))
 
 
 @query(f"WITH {_SYM} SELECT s.id AS symbol_id, f.path FROM allsym s JOIN files f ON f.id = s.file_id WHERE s.docid IS NOT NULL")
@@ -386,6 +414,38 @@ def _texts(spark, d):
     return table(spark, d, "source_tree").select("file_id", "path", "content").withColumn("language", language_column()).join(f.select("file_id"), "file_id", "left_semi")
 
 
+@query("SELECT 0 AS missing, 0 AS extra, (SELECT count(*) FROM source_tree JOIN files ON id = file_id) AS files")
+def o62_refresh_is_a_rebuild(spark, d):
+    """An index of the texts as they were, refreshed with the texts as they are, against a new one.
+
+    Before, every Python and Rust text had one more function and every package
+    copy was still there; the copies are deleted and the others change.
+    """
+    from codeloom.session import materialize
+
+    now = _texts(spark, d).select("path", "language", "content").withColumn("content_hash", T.content_hash(F.col("content")))
+    more = F.when(F.col("language") == "python", F.lit("\ndef gone_by_now():\n    pass\n")).when(F.col("language") == "rust", F.lit("\nfn gone_by_now() {}\n")).otherwise(F.lit(""))
+    was = now.withColumn("content", F.concat("content", more)).withColumn("content_hash", T.content_hash(F.col("content")))
+    stray = was.limit(0).unionByName(spark.createDataFrame([("gone/away.py", "python", "def away(): pass\n", "x")], was.schema))
+    old = {k: materialize(v, k) for k, v in build(was.unionByName(stray)).items()}
+    fresh = refresh(old, now, stray.select("path"))
+    whole = build(now)
+    cols = {"symbols": ["id", "name", "kind", "line", "end_line"], "imports": ["id", "resolved_file_id"], "references": ["id", "symbol_id"], "files": ["id", "path", "content_hash"]}
+
+    def rows(rel, name):
+        return materialize(rel[name].select(F.lit(name).alias("relation"), F.xxhash64(*cols[name]).alias("row")), f"rows-{name}")
+
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+    parts = [count(whole["files"], "files")]
+    for name in cols:
+        a, b = rows(fresh, name), rows(whole, name)
+        parts += [count(b.exceptAll(a), "missing"), count(a.exceptAll(b), "extra")]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.unionByName(p)
+    return one.agg(*[F.sum(F.when(F.col("what") == w, F.col("n"))).alias(w) for w in ("missing", "extra", "files")])
+
+
 @query()
 def x01_extract_symbols(spark, d):
     return relations(_texts(spark, d))["symbols"]

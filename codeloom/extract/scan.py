@@ -56,7 +56,9 @@ class Tokens:
         return 0 <= i < self.n and self.k[i] == IDENT
 
     def place(self, i: int) -> tuple[int, int]:
-        at = self.at[i]
+        return self.place_at(self.at[i])
+
+    def place_at(self, at: int) -> tuple[int, int]:
         row = bisect.bisect_left(self.breaks, at)
         start = self.breaks[row - 1] + 1 if row else 0
         return row + (0 if self.shift else 1), len(self.text[start:at].encode("utf-8", "surrogatepass"))
@@ -208,8 +210,24 @@ class Python(Scan):
                 j += 1
             i = max(j, i + 1) if j == i else j
         close(-1)
+        for i, t in enumerate(x.t):
+            if t[-1] in "\"'" and len(t) > 4:
+                self._interpolated(t, x.at[i])
         return self.out
 
+    def _interpolated(self, t: str, at: int) -> None:
+        """Calls in the expressions of a string that begins at ``at``."""
+        s = scanner("python", True)
+        for start, text in s.expressions(t):
+            tokens = s.places(text)
+            for k, (a, name, kinds) in enumerate(tokens):
+                here = at + start + a
+                if kinds[:1] == STR:
+                    self._interpolated(name, here)
+                elif kinds == IDENT and k + 1 < len(tokens) and tokens[k + 1][1] == "(":
+                    line, column = self.x.place_at(here)
+                    self.out.references.append({"symbol_name": name, "line": line, "column": column, "from_scope": None, "qualified": k > 0 and tokens[k - 1][1] == "."})
+
     def _statement(self, i: int, width: int, blocks: list) -> None:
         x = self.x
         local = any(b[1] == "def" for b in blocks)

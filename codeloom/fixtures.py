@@ -83,9 +83,9 @@ def x07_csharp_symbols(spark):
 _REF = {"symbol_name": "VARCHAR", "line": "BIGINT", "column": "BIGINT", "from_scope": "VARCHAR", "qualified": "BOOLEAN"}
 
 
-@expects(_REF, [("pay", 2, 4, None, False), ("rate", 2, 8, None, False), ("format", 3, 10, None, True)])
+@expects(_REF, [("pay", 2, 4, None, False), ("rate", 2, 8, None, False), ("format", 3, 10, None, True), ("show", 4, 7, None, False), ("name", 4, 18, None, True), ("wide", 4, 35, None, False), ("deep", 5, 10, None, False)])
 def x22_usages(spark):
-    df = spark.createDataFrame([(1, "p", "python", "def f():\n    pay(rate())\n    label.format(1)\n")], "file_id long, path string, language string, content string")
+    df = spark.createDataFrame([(1, "p", "python", "def f():\n    pay(rate())\n    label.format(1)\n    f'{show(a)}{b.name():>{c}} {d:{wide(1)}} {{no(1)}}'\n    f'{f\"{deep(1)}\"}'\n")], "file_id long, path string, language string, content string")
     return parse_files(df).select(F.inline("references")).select(*_REF)
 
 

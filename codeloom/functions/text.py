@@ -128,7 +128,11 @@ def content_hash(c: Column) -> Column:
 
 def body_slice(content: Column, line: Column, end_line: Column) -> Column:
     """Lines ``line..end_line`` of a text (end 0: that one line); null past its end."""
-    lines = F.split(content, "\r?\n")
+    return line_slice(F.split(content, "\r?\n"), line, end_line)
+
+
+def line_slice(lines: Column, line: Column, end_line: Column) -> Column:
+    """``body_slice`` of a text already split."""
     upto = F.when(end_line > 0, end_line).otherwise(line)
     return F.when(
         (line >= 1) & (line <= F.size(lines)), F.array_join(F.slice(lines, line.cast("int"), F.greatest(upto - line + 1, F.lit(0)).cast("int")), "\n")

@@ -257,6 +257,15 @@ class Scanner:
         got = _Holes(self, body, 1, "r" in lead).kinds()
         return STR + got if got is not None else BAD
 
+    def expressions(self, t: str) -> list[tuple[int, str]]:
+        """(start, text) of the expressions inside a Python literal, none where it has none or is not well formed."""
+        m = _STRING.match(t)
+        if m is None or "f" not in m[1].lower() or "{" not in t:
+            return []
+        first = m.end()
+        holes = _Holes(self, t[first : -len(m[2])], 1, "r" in m[1].lower())
+        return [(first + a, holes.body[a:b]) for a, b in holes.spans] if holes.kinds() is not None else []
+
     def inside(self, text: str) -> str:
         """Kinds of an expression inside a string; line ends don't count there."""
         if '"' in text or "'" in text:
@@ -402,6 +411,85 @@ class Scanner:
         got = self.exact(clean(text, self.language))
         return self._laid_out(text, "".join(k for _, _, k in got), got)
 
+    def rescan_elements(self, text: str) -> str | None:
+        """Kinds of the text with its JSX elements as templates, null where it has none that are well formed."""
+        body = clean(text, self.language)
+        got: list[tuple[int, str, str]] = []
+        if self._with_elements(body, 0, got, False) is None or not any(t[0] == "<" and len(t) > 1 for _, t, _ in got):
+            return None
+        return self._laid_out(text, "".join(k for _, _, k in got), got)
+
+    def _with_elements(self, text: str, pos: int, out: list, inside: bool) -> int | None:
+        """Scan from ``pos`` into ``out``, to the end or (``inside``) to the closing brace; the place behind."""
+        depth = 0
+        before = self.k("( [ { , ; : ? = => && || ?? ! return default case yield await else do") + NEWLINE
+        while True:
+            m = self.pattern.match(text, pos)
+            t, start, pos = m[1], m.start(1), m.end()
+            if not t:
+                return None if inside else pos
+            if t == "<" and _ELEMENT.match(text, start):
+                prior = next((k for _, _, k in reversed(out) if k != NEWLINE), NEWLINE)
+                got = self._element(text, start) if prior[-1] in before else None
+                if got:
+                    pos = got[0]
+                    out.append((start, text[start:pos], got[1]))
+                    continue
+            depth += (t == "{") - (t == "}")
+            if inside and depth < 0:
+                return pos
+            out.append((start, t, self.cache[t]))
+
+    def _element(self, text: str, at: int) -> tuple[int, str] | None:
+        """The place behind the element that opens at ``at``, and its kinds: a template with the expressions in it."""
+        m = _ELEMENT.match(text, at)
+        name, pos, holes = m[1], m.end(), []
+
+        def hole(i: int) -> int | None:
+            got: list = []
+            end = self._with_elements(text, i + 1, got, True)
+            kinds = "".join(k for _, t, k in got if t != "...")
+            if end is not None and kinds.strip(NEWLINE):
+                # line ends don't count in brackets of an expression's own
+                holes.append(HOLE + kinds.strip(NEWLINE) + HOLE_END)
+            return end
+
+        def element(i: int) -> int | None:
+            got = self._element(text, i) if _ELEMENT.match(text, i) else None
+            if got:
+                holes.append(HOLE + got[1] + HOLE_END)
+            return got[0] if got else None
+
+        if text.startswith("<", pos):  # type arguments
+            depth = 0
+            for pos in range(pos, len(text)):
+                depth += (text[pos] == "<") - (text[pos] == ">")
+                if not depth:
+                    break
+            pos += 1
+        while True:
+            m = _ATTRIBUTE.match(text, pos)
+            pos = m.end()
+            if m["close"]:
+                return pos, TEMPLATE + "".join(holes)
+            if m["open"]:
+                break
+            if m["brace"]:
+                pos = hole(pos - 1)
+            elif m["value"]:
+                pos = element(pos) if text.startswith("<", pos) else hole(pos) if text.startswith("{", pos) else None
+            elif not m["name"]:
+                return None
+            if pos is None:
+                return None
+        while True:
+            pos = _CHILD_TEXT.match(text, pos).end()
+            if m := _CLOSING.match(text, pos):
+                return (m.end(), TEMPLATE + "".join(holes)) if m[1] == name else None
+            pos = hole(pos) if text.startswith("{", pos) else element(pos)
+            if pos is None:
+                return None
+
     def _laid_out(self, text: str, raw: str, got: list | None) -> str:
         edits = self.edits(raw)
         self.last = (text, raw, edits, got)
@@ -472,6 +560,11 @@ class Scanner:
         return text.count("\n") + (self.language != "python"), 0, ""
 
 
+_ELEMENT = re.compile(r"<\s*([A-Za-z_$][\w$.:-]*|(?=>))")
+_ATTRIBUTE = re.compile(r"""(?:\s|/\*[\s\S]*?\*/)*(?:(?P<close>/\s*>)|(?P<open>>)|(?P<brace>\{)|(?P<name>[A-Za-z_$][\w$:-]*)(?:\s*=\s*(?:"[^"]*"|'[^']*'|(?P<value>(?=[{<]))))?)?""")
+_CHILD_TEXT = re.compile(r"[^<{}>]*")
+_CLOSING = re.compile(r"</\s*([\w$.:-]*)\s*>")
+
 _STRING = re.compile(r"([A-Za-z$@]*)(\"{3,}|'{3}|\"|')")
 #: What matters inside the expression of a hole: brackets, strings, and what may end it.
 _HOLE_PART = re.compile(r"""(?P<open>[(\[{])|(?P<close>[)\]}])|"{3}[\s\S]*?"{3}|'{3}[\s\S]*?'{3}|"(?:[^"\\]|\\[\s\S])*"|'(?:[^'\\]|\\[\s\S])*'|(?P<end>!(?!=)|:)""")
@@ -486,6 +579,8 @@ class _Holes:
         self.scanner, self.body, self.width, self.raw = scanner, body, width, raw
         self.python = scanner.language == "python"
         self.out: list[str] = []
+        #: where the expressions stand in the body
+        self.spans: list[tuple[int, int]] = []
 
     def kinds(self) -> str | None:
         return "".join(self.out) if self._text(0, False) == len(self.body) else None
@@ -538,6 +633,7 @@ class _Holes:
         else:
             return None
         end = m.start()
+        self.spans.append((i, end))
         self.out.append(HOLE + self.scanner.inside(body[i:end]) + HOLE_END)
         if m[0] == "!":
             conv = _CONVERSION.match(body, end)

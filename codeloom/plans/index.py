@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import display_name, grep, parent_dir, sqlite_like
+from codeloom.functions.text import display_name, grep, line_slice, parent_dir, sqlite_like
 from codeloom.session import materialize
 
 ORDER = ("path", "line", "column", "name", "id")
@@ -29,6 +31,19 @@ class Index:
     def all_files(self) -> DataFrame:
         return self.files.orderBy("path")
 
+    def visible_files(self) -> DataFrame:
+        """Files not below a hidden top folder and not hidden themselves there."""
+        return self.files.where(~F.col("path").startswith("."))
+
+    def indexed(self, ids: DataFrame, column: str = "file_id") -> DataFrame:
+        """The distinct ids of a table that are files of the index."""
+        f = self.files.select(F.col("id").alias(column))
+        return ids.select(column).distinct().join(f, column, "left_semi")
+
+    def not_indexed(self, paths: DataFrame) -> DataFrame:
+        """The distinct non-null ``path`` values of a table that the index has no file for."""
+        return paths.select("path").where("path is not null").distinct().join(self.files.select("path"), "path", "left_anti")
+
     def file_by_path(self, path: str) -> DataFrame:
         return self.files.where(F.col("path") == path)
 
@@ -66,6 +81,24 @@ class Index:
     def count_symbols(self, **filters) -> DataFrame:
         return self._filtered(**filters).agg(F.count(F.lit(1)).alias("total_count"))
 
+    def docid_ids(self) -> DataFrame:
+        """``docid, n, first_id``: how many symbols share an identity, and the first of them."""
+        return self.symbols.where("docid is not null").groupBy("docid").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+    def symbol_bodies(self, texts: DataFrame) -> DataFrame:
+        """``id, body``: the lines of each symbol in ``file_id, content``.
+
+        A text is split once, whatever the number of its symbols, which meet it
+        as one list per file; null past the end of the text.
+        """
+        places = self.symbols.groupBy("file_id").agg(F.collect_list(F.struct("id", "line", "end_line")).alias("_s"))
+        # the outer list has one entry, the lines: bound once for all symbols
+        made = F.transform(
+            F.array(F.split("content", "\r?\n")),
+            lambda lines: F.transform("_s", lambda s: F.struct(s["id"].alias("id"), line_slice(lines, s["line"], s["end_line"]).alias("body"))),
+        )
+        return texts.select("file_id", "content").join(places, "file_id").select(F.inline(F.flatten(made)))
+
     def symbols_named(self, name: str) -> DataFrame:
         return self.located().where(F.col("name") == name)
 
@@ -166,7 +199,9 @@ class Index:
         """Breadth-first to ``depth``: ``path, depth, position`` in discovery order.
 
         One join per level; each level is written and only paths not yet seen go
-        on, so cycles end.  Positions number a single target's answer.
+        on, so cycles end.  Positions follow the parents' positions, then the
+        path; they come from a range sort and the sizes of its parts, so no
+        level meets in one task.
         """
         spark = self.files.sparkSession
         a, b = ("target", "source") if reverse else ("source", "target")
@@ -176,12 +211,18 @@ class Index:
         for level in range(1, depth + 1):
             reached = frontier.select(F.col("path").alias("_from"), "position").join(edges, "_from")
             fresh = reached.groupBy("path").agg(F.min("position").alias("_parent")).join(seen.select("path"), "path", "left_anti")
-            order = Window.partitionBy(F.lit(0)).orderBy("_parent", "path")
-            frontier = materialize(fresh.select("path", F.lit(level).alias("depth"), (F.row_number().over(order) + done).cast("long").alias("position")), "level")
-            n = frontier.count()
-            if not n:
+            placed = fresh.orderBy("_parent", "path").select("path", F.lit(level).alias("depth"), F.monotonically_increasing_id().alias("_at"))
+            placed = materialize(placed, "level")
+            # the number of the part is in the upper bits, the place in it below
+            sizes = sorted((r[0], r[1]) for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).count().collect())
+            if not sizes:
                 break
-            done += n
+            starts: dict[int, int] = {}
+            for part, n in sizes:
+                starts[part] = done
+                done += n
+            start = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in starts.items() for x in kv]), F.shiftright("_at", 33))
+            frontier = placed.select("path", "depth", (start + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias("position"))
             seen = seen.unionByName(frontier)
         return seen.where("depth > 0").orderBy("position")
 
@@ -224,13 +265,23 @@ def bind_references(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     """Candidate symbols of raw references: ``symbol_id, file_id, line, column, qualified``.
 
     By name, over all files and languages; where the scope of the usage is known
-    and a candidate has it, only those.  A popular name is one join key with
-    few symbols: the candidates are grouped per name first, so each raw row
-    meets one row, whatever the fan-out, and AQE may split the hot name.
-    Exact repeats of a raw row count once; null names bind nothing.
+    and a candidate has it, only those.  Exact repeats of a raw row count once;
+    null names bind nothing.
+
+    A usage joins on (name, scope) where that pair exists, else on the name
+    alone, so it never carries candidates that fall away.  The result grows as
+    usages times symbols of a name, which is what it is asked for; no list per
+    name is gathered, and a hot name is split by AQE on its side of the join.
     """
-    cand = symbols.where("name is not null").groupBy(F.col("name").alias("symbol_name")).agg(F.collect_list(F.struct("id", "scope")).alias("_c"))
-    use = raw.select("file_id", "symbol_name", "line", "column", "from_scope", "qualified").distinct().join(cand, "symbol_name")
-    scoped = F.filter("_c", lambda c: c["scope"] == F.col("from_scope"))
-    chosen = F.when(F.size(scoped) > 0, scoped).otherwise(F.col("_c"))
-    return use.withColumn("_s", F.explode(chosen)).select(F.col("_s.id").alias("symbol_id"), "file_id", "line", "column", "qualified")
+    named = symbols.where("name is not null").select(F.col("name").alias("symbol_name"), F.col("scope").alias("from_scope"), F.col("id").alias("symbol_id"))
+    pairs = named.where("from_scope is not null").select("symbol_name", "from_scope").distinct().withColumn("_scoped", F.lit(True))
+    use = raw.select("file_id", "symbol_name", "line", "column", "from_scope", "qualified").distinct()
+    use = use.join(pairs, ["symbol_name", "from_scope"], "left").withColumn("_key", F.when(F.col("_scoped"), F.col("from_scope")))
+    any_scope = named.withColumn("_key", F.lit(None).cast("string")).drop("from_scope")
+    in_scope = named.where("from_scope is not null").withColumnRenamed("from_scope", "_key")
+    out = ["symbol_id", "file_id", "line", "column", "qualified"]
+    parts = [
+        use.where("_key is not null").join(in_scope, ["symbol_name", "_key"]).select(*out),
+        use.where("_key is null").drop("_key").join(any_scope.drop("_key"), "symbol_name").select(*out),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -89,6 +89,12 @@ def statistics(texts: DataFrame, before: DataFrame, after: Relations, deleted: i
     return base.withColumn("k", F.lit(1)).join(counts, "k").join(imps, "k").drop("k").withColumn("files_deleted", F.lit(deleted).cast("long"))
 
 
+def run_totals(runs: DataFrame) -> DataFrame:
+    """``run_no, runs`` and sums of the counters of a run log; null counters are 0."""
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+    return runs.groupBy("run_no").agg(F.count(F.lit(1)).alias("runs"), *[total(c) for c in ("files_indexed", "files_errored", "files_deleted", "symbols_found", "imports_found")])
+
+
 def resolution_changes(before: DataFrame, rel: Relations) -> DataFrame:
     return changed_resolutions(before, rel["imports"])
 
