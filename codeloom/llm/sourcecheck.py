@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from codeloom.llm.grammars import TEXTS, grammar
 from codeloom.llm.peg import Grammar
 from codeloom.session import materialize, spread
+from codeloom.sources.tree import language_column
 
 _MARKER = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}$")
 _FIELDS = "valid boolean, line long, column long, cause string"
 
 
-def verdict(text: str | None, language: str | None, explain: bool = True) -> tuple[bool | None, int | None, int | None, str | None]:
+def verdict(text: str | None, language: str | None, explain: bool = True, elements: bool = False) -> tuple[bool | None, int | None, int | None, str | None]:
     """(valid, line, column, cause) of one text.
 
     Line is 1-based, column 0-based, both of the furthest failure.  Causes:
@@ -31,7 +32,8 @@ def verdict(text: str | None, language: str | None, explain: bool = True) -> tup
     input), ``unbalanced`` (a bracket without its partner), ``syntax``.  A
     language without grammar gives nulls.  An empty text is valid except in Go,
     which needs a package clause.  Without ``explain`` invalid texts get no
-    place and no cause.
+    place and no cause.  With ``elements`` JSX is allowed, as in ``.jsx`` and
+    ``.tsx`` files.
     """
     if language not in TEXTS:
         return None, None, None, None
@@ -40,6 +42,8 @@ def verdict(text: str | None, language: str | None, explain: bool = True) -> tup
     sys.setrecursionlimit(1_000_000)  # calls between Python functions take no C stack
     g = grammar(language)
     ok, kinds = _parse(g, text)
+    if not ok and elements and (again := g.scanner.rescan_elements(text)) is not None:
+        ok, kinds = g.accepts(again), again
     if ok:
         return True, None, None, None
     if not explain:
@@ -73,29 +77,25 @@ def _cause(text: str, language: str, kinds: str, at: int, line: int, token: str)
     return "unbalanced" if token in (")", "]", "}") else "syntax"
 
 
-def language_of(path: str = "path"):
-    """Language by extension, null where none of the seven fits."""
-    ext = F.element_at(F.split(F.col(f"`{path}`"), r"\."), -1)
-    # fixed values: extensions
-    known = {"rs": "rust", "go": "go", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "swift": "swift", "cs": "csharp"}
-    return F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), ext)
-
-
 def judge(df: DataFrame, keep: list[str], language: str = "language", text: str = "content", explain: bool = True) -> DataFrame:
-    """``keep`` columns plus ``valid, line, column, cause``, row by row, no shuffle."""
+    """``keep`` columns plus ``valid, line, column, cause``, row by row, no shuffle.
+
+    Where there is a ``path``, ``.jsx`` and ``.tsx`` files may hold JSX.
+    """
 
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            got = [verdict(t, lang, explain) for t, lang in zip(b.column("_text").to_pylist(), b.column("_lang").to_pylist(), strict=True)]
+            got = [verdict(t, lang, explain, x) for t, lang, x in zip(*(b.column(c).to_pylist() for c in ("_text", "_lang", "_elements")), strict=True)]
             cols = list(zip(*got, strict=True)) or [[]] * 4
             kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*keep, "valid", "line", "column", "cause"])
 
     cols = [F.col(f"`{c}`") for c in keep]
     lead = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return spread(df.select(*cols, F.col(f"`{language}`").alias("_lang"), F.col(f"`{text}`").alias("_text"))).mapInArrow(go, f"{lead}, {_FIELDS}")
+    elements = F.coalesce(F.col("path").rlike(r"\.[jt]sx$"), F.lit(False)) if "path" in df.columns else F.lit(False)
+    return spread(df.select(*cols, F.col(f"`{language}`").alias("_lang"), F.col(f"`{text}`").alias("_text"), elements.alias("_elements"))).mapInArrow(go, f"{lead}, {_FIELDS}")
 
 
 def check_files(tree: DataFrame, files: DataFrame, explain: bool = True) -> DataFrame:
@@ -108,14 +108,14 @@ def check_files(tree: DataFrame, files: DataFrame, explain: bool = True) -> Data
     ``explain`` only ``valid`` is found out.
     """
     lang = files.groupBy(F.col("id").alias("file_id")).agg(F.max("language").alias("_recorded"))
-    first = materialize(judge(tree.withColumn("language", language_of()), ["file_id", "repo", "language"], explain=explain), "verdicts")
+    first = materialize(judge(tree.withColumn("language", language_column()), ["file_id", "repo", "language"], explain=explain), "verdicts")
     both = first.join(lang, "file_id", "left").withColumn("_language", F.coalesce("_recorded", "language"))
     out = ["file_id", "repo", "language", "valid", "line", "column", "cause"]
     other = both.where(~F.col("_language").eqNullSafe(F.col("language"))).select("file_id", F.col("_language").alias("language"))
     agreed = both.where(F.col("_language").eqNullSafe(F.col("language"))).select(*out)
     if other.isEmpty():
         return agreed
-    again = judge(tree.select("file_id", "repo", "content").join(other.distinct(), "file_id"), ["file_id", "repo", "language"], explain=explain)
+    again = judge(tree.select("file_id", "repo", "path", "content").join(other.distinct(), "file_id"), ["file_id", "repo", "language"], explain=explain)
     return agreed.unionByName(again.select(*out))
 
 

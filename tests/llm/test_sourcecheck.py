@@ -236,3 +236,28 @@ def test_deep_nesting_takes_linear_time():
         began = time.process_time()
         assert verdict(make(400), language)[0] is False, language
         assert time.process_time() - began < 5, language
+
+
+ELEMENTS = {
+    "javascript": [
+        "let x = <div>hi</div>;", "const a = <A b={1} c='d' {...e}>{f} <b/> text</A>;", "const a = <></>;", "x = a < b && c > d;", "f(<A>\n  {b ? <C/> : null}\n</A>, 1)",
+        "function App() {\n  return (\n    <ul className=\"a\">\n      {items.map(i => <li key={i.id} onClick={() => go(i)}>{i.name} isn't</li>)}\n      {/* note */}\n      {ok && <B.C x-y=\"1\" z={<D/>} />}\n      {`t ${q}`}\n    </ul>\n  );\n}\n",
+    ],
+    "typescript": ["let x: J = <div>hi</div>;", "const C: FC<P> = ({a}) => <A<T> b={c}>{d.map(e => <li key={e}>{e}</li>)}</A>;", "const f = <T,>(a: T) => a;\nconst g = <div>{f<string>('x')}</div>;"],
+}
+
+
+def test_elements():
+    for language, texts in ELEMENTS.items():
+        for text in texts:
+            assert verdict(text, language, elements=True)[0], text
+    for text in ("let x = <div>hi</span>;", "let x = <div>hi;", "let x = <div {a b}/>;", "let x = <div>}</div>;", "let x = <div>{a b}</div>;"):
+        assert verdict(text, "javascript", elements=True)[0] is False, text
+    assert verdict(ELEMENTS["javascript"][0], "javascript")[0] is False
+
+
+def test_elements_by_extension(spark):
+    text = "export const a = <b>{c}</b>;\n"
+    tree = spark.createDataFrame([(i, "r", f"r/a.{e}", text) for i, e in enumerate(("jsx", "tsx", "js", "ts"))], "file_id long, repo string, path string, content string")
+    files = spark.createDataFrame([(i, "typescript" if i in (1, 3) else "javascript") for i in range(4)], "id long, language string")
+    assert {r.file_id: r.valid for r in check_files(tree, files).collect()} == {0: True, 1: True, 2: False, 3: False}
