@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from codeloom.session import spread
 
 RUN, TIMES, LEAST = 10, 3, 0.5
-#: Texts on which the rules' cost and selectivity are estimated.
-SAMPLE_ROWS = 400
+#: Texts on which the rules' cost and selectivity are estimated, and their length at most.
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 100_000
 
 _WORD = re.compile(r"[^\W_]+")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
@@ -86,6 +86,12 @@ class Text:
     def __init__(self, text: str):
         self.text = text
         self._ids = None
+        self._covered: dict = {}
+
+    def copy(self) -> "Text":
+        other = Text(self.text)
+        other._ids, other._covered = self._ids, dict(self._covered)
+        return other
 
     @property
     def ids(self):
@@ -93,6 +99,12 @@ class Text:
             self._ids = _ids(words_of(self.text))
         return self._ids
 
+    def covered(self, k: int, times: int) -> int:
+        """Words inside repeated k-grams."""
+        if (k, times) not in self._covered:
+            self._covered[k, times] = int(covered(self.ids, k, times).sum())
+        return self._covered[k, times]
+
 
 def rules(run: int = RUN, times: int = TIMES, least: float = LEAST) -> dict:
     """Name -> test that every repetitive text passes; ``phrases`` alone decides.
@@ -108,7 +120,7 @@ def rules(run: int = RUN, times: int = TIMES, least: float = LEAST) -> dict:
         return len(ids) > 0 and int((np.bincount(ids)[ids] >= times).sum()) >= least * len(ids)
 
     def short_runs(k: int):
-        return lambda t: len(t.ids) > 0 and int(covered(t.ids, k, times).sum()) >= least * len(t.ids)
+        return lambda t: len(t.ids) > 0 and t.covered(k, times) >= least * len(t.ids)
 
     return {
         # run + times - 1 words with something between them
@@ -126,27 +138,32 @@ DECIDES = "phrases"
 def order_rules(sample: list[str], tests: dict) -> list[str]:
     """Rules by rejections per second on the sample, best first.
 
-    Each rule is timed on texts with the shared parts not yet made, so its cost
-    is what it costs when it comes first.  Rules after the deciding one would
-    be implied by it and are left out.
+    Each place in the order goes to the rule that rejects most per second of
+    what the rules before have let through, with the shared parts those have
+    made.  Rules after the deciding one would be implied by it and are left out.
     """
-    score = {}
-    for name, test in tests.items():
-        began, rejected = time.perf_counter(), 0
-        for s in sample:
-            rejected += not test(Text(s))
-        score[name] = rejected / max(time.perf_counter() - began, 1e-9)
-    ordered = sorted(tests, key=lambda n: -score[n])
-    return ordered[: ordered.index(DECIDES) + 1]
+    left, ordered = [Text(s) for s in sample], []
+    while DECIDES not in ordered:
+        score = {}
+        for name in [n for n in tests if n not in ordered]:
+            fresh = [t.copy() for t in left]
+            began = time.perf_counter()
+            rejected = sum(not tests[name](t) for t in fresh)
+            score[name] = rejected / max(time.perf_counter() - began, 1e-9)
+        # where nothing is rejected any more, only the deciding rule is of use
+        best = max(score, key=lambda n: (score[n], n == DECIDES))
+        ordered.append(best)
+        left = [t for t in left if tests[best](t)]
+    return ordered
 
 
 def draw(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """At most ``rows`` texts for the estimate (never for the result)."""
+    """At most ``rows`` texts, none very long, for the estimate (never for the result)."""
     n = docs.count()
     if not n:
         return []
     share = min(1.0, 2 * rows / n)
-    got = docs.select(F.col(f"`{text}`").alias("t")).where("t is not null").sample(False, share, 11).limit(rows)
+    got = docs.select(F.col(f"`{text}`").alias("t")).where(F.length("t") <= SAMPLE_CHARS).sample(False, share, 11).limit(rows)
     return [r[0] for r in got.collect()]
 
 
@@ -172,7 +189,7 @@ def repetitive(docs: DataFrame, key: str = "doc_id", text: str = "text", run: in
                 t = Text(s)
                 if all(test(t) for test in chain):
                     at.append(i)
-                    share.append(float(covered(t.ids, run, times).mean()))
+                    share.append(t.covered(run, times) / len(t.ids))
             if at:
                 yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(at)), pa.array(share, pa.float64())], names=[key, "repeated_share"])
 
