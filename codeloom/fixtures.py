@@ -285,6 +285,21 @@ def f08_text_functions(spark):
     )
 
 
+@expects({"docid": "VARCHAR", "kind": "VARCHAR", "visibility": "VARCHAR", "scope": "VARCHAR", "listed": "BOOLEAN", "by_rule": "BOOLEAN"}, [
+    ("N:A", "mod", "pub", None, True, True), ("T:A.B", "class", "private", "A", True, True), ("M:A.B.C", "fn", "pub", "B", False, True), ("P:A.B.D", "fn", "private", "B", False, False), ("M:X", "fn", "pub", None, True, False), ("M:Y", "interface", "pub", None, False, False),
+])
+def h07_helper_vocabulary(spark):
+    """Definitions in the index's words, and which files count, by list and by rule."""
+    from codeloom.sources import ndjson
+
+    rows = [("N:A", "Namespace", "internal", "", "a.cs"), ("T:A.B", "Class", "internal", "A", "a.cs"), ("M:A.B.C", "Method", "Public", "B", "src/binary/c.cs"), ("P:A.B.D", "Property", "protected", "B", "src/obj/d.cs"), ("M:X", "Constructor", "public", None, "x/bin/x.cs"), ("M:Y", "interface", "pub", None, "../y.cs"), ("M:Z", "enum", "pub", None, None)]
+    d = ndjson.mapped(spark.createDataFrame(rows, "docid string, kind string, visibility string, scope string, file string"))
+    mark = lambda df, name: df.select("docid", F.lit(True).alias(name))
+    listed = mark(ndjson.indexed(d, spark.createDataFrame([("a.cs",), ("x/bin/x.cs",), ("x/bin/x.cs",)], "path string")), "listed")
+    found = d.where("file is not null").join(listed, "docid", "left").join(mark(ndjson.indexed(d), "by_rule"), "docid", "left")
+    return found.select("docid", "kind", "visibility", "scope", F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("by_rule", F.lit(False)).alias("by_rule"))
+
+
 @expects({"type": "VARCHAR", "docid": "VARCHAR", "file": "VARCHAR", "line": "BIGINT"}, [("definition", "M:a", "a.cs", 1), ("reference", "M:a", "b.cs", 2)])
 def s14_helper_records(spark):
     from codeloom.session import work_dir

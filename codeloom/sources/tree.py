@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.session import ship
+from codeloom.sources import vcs
 
 # fixed values: extensions of the indexed languages
 LANGUAGES = {"rs": "rust", "go": "go", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "swift": "swift", "cs": "csharp"}
@@ -55,22 +56,23 @@ class Ignore:
 def walk(root: str) -> list[str]:
     """Root-relative paths of visible files that no ignore file excludes, sorted.
 
-    Hidden entries and the index folder are skipped.  ``.gitignore`` of every
-    folder and ``.git/info/exclude`` count.  Runs on the driver: a checkout is
+    Hidden entries and the index folder are skipped.  ``.ignore`` and
+    ``.gitignore`` of every folder, ``.git/info/exclude`` and the user's own
+    ignore file count, the first most.  Runs on the driver: a checkout is
     one machine's folder.  Collections on a cluster are read with
     ``read_collection``.
     """
     rules: list[Ignore] = []
-    exclude = Path(root, ".git/info/exclude")
-    if exclude.is_file():
-        rules.append(Ignore(exclude.read_text(errors="replace").splitlines()))
+    for exclude in (vcs.excludes_file(root), Path(root, ".git/info/exclude")):
+        if exclude and exclude.is_file():
+            rules.append(Ignore(exclude.read_text(errors="replace").splitlines()))
     found: list[str] = []
 
     def visit(rel: str, rules: list[Ignore]) -> None:
         here = Path(root, rel) if rel else Path(root)
-        own = here / ".gitignore"
-        if own.is_file():
-            rules = [*rules, Ignore(own.read_text(errors="replace").splitlines(), rel)]
+        for own in (here / ".gitignore", here / ".ignore"):
+            if own.is_file():
+                rules = [*rules, Ignore(own.read_text(errors="replace").splitlines(), rel)]
         for entry in sorted(os.scandir(here), key=lambda e: e.name):
             if entry.name.startswith("."):
                 continue

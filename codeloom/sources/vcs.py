@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,14 @@ def head_commit(root: str) -> str | None:
     return (_git(root, "rev-parse", "HEAD") or "").strip() or None
 
 
+def excludes_file(root: str) -> Path | None:
+    """The user's ignore file: as configured, else where it lies by default; null outside a repository."""
+    if not is_repository(root):
+        return None
+    set_ = (_git(root, "config", "--path", "--get", "core.excludesFile") or "").strip()
+    return Path(set_) if set_ else Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config", "git", "ignore")
+
+
 def prefix(root: str) -> str:
     """Where ``root`` lies in its work tree, ending with ``/`` or empty."""
     return (_git(root, "rev-parse", "--show-prefix") or "").strip()

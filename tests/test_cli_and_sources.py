@@ -26,6 +26,14 @@ def test_walk_and_ignores(tmp_path):
     assert walk(str(tmp_path)) == ["a.py", "gen_a.py", "keep.log", "sub/ok.rs", "sub/top.py"]
 
 
+def test_own_ignore_file_and_order(tmp_path):
+    put(tmp_path / "t", {".gitignore": "a.py\n", ".ignore": "!a.py\nb.py\n", "a.py": "", "b.py": "", "c.py": "", "d.py": ""})
+    git(tmp_path / "t", "init", "-q")
+    (tmp_path / "mine").write_text("c.py\n")
+    git(tmp_path / "t", "config", "core.excludesFile", str(tmp_path / "mine"))
+    assert walk(str(tmp_path / "t")) == ["a.py", "d.py"]
+
+
 def test_reading(spark, tmp_path):
     put(tmp_path, {"a.py": "x = 1\n", "b.go": b"\xff\xfe", "c.txt": "no"})
     for df in (read_tree(spark, str(tmp_path)), read_collection(spark, f"file://{tmp_path}")):
@@ -48,6 +56,10 @@ def test_records(spark, tmp_path):
     rows += [{"type": "reference", "docid": "M:a", "file": "a.cs", "line": 2, "col": 3, "is_definition": False}, {"type": "reference", "docid": "M:x", "file": "a.cs", "line": 2, "col": 3}, {"type": "other"}]
     f.write_text("\n".join(map(json.dumps, rows)))
     rec = ndjson.read_records(spark, str(f))
+    for version, want in (("8.0.1", True), ("7.0", False), ("x", False), ("10", True)):
+        f.write_text(json.dumps({**rows[0], "dotnet_version": version}))
+        assert ndjson.usable(ndjson.read_records(spark, str(f))).first()[0] is want
+    f.write_text("\n".join(map(json.dumps, rows)))
     assert ndjson.definitions(rec).count() == 1 and ndjson.references(rec).count() == 1 and ndjson.usable(rec).first()[0]
     f.write_text(json.dumps(rows[0]) + "\n{broken\n")
     with pytest.raises(Exception):  # noqa: B017
