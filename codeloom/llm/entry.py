@@ -45,6 +45,23 @@ def p2_releases(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _listed(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    """Files with symbols in the index, by language, and how many of them are in ``found``."""
+    f = table(spark, d, "files").select(F.col("id").alias("file_id"), "language")
+    s = table(spark, d, "symbols").select("file_id").distinct().join(f, "file_id")
+    return s.join(found.distinct().withColumn("hit", F.lit(1)), "file_id", "left").groupBy("language").agg(F.count(F.lit(1)).alias("listed"), F.count("hit").alias("found"))
+
+
+def p2_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Only hand-written files have symbols in the index, so none of them may be found."""
+    return _listed(spark, d, p2_found(spark, d))
+
+
+def p5_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Only files that parse have symbols in the index, so none of them may be found."""
+    return _listed(spark, d, p5_found(spark, d))
+
+
 def _checked(spark: SparkSession, d: str, explain: bool = False) -> DataFrame:
     return sourcecheck.check_files(table(spark, d, "source_tree"), table(spark, d, "files"), explain)
 
@@ -117,7 +134,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_kinds, p2_validation, p2_releases, p5_found, p5_verdicts, p5_rates, p6_found, p6_containers, p6_placement, p6_fill, p7_mix, p7_shares, p7_balance, p8_found, p8_shares)
+    for f in (p2_found, p2_kinds, p2_validation, p2_releases, p2_listed, p5_listed, p5_found, p5_verdicts, p5_rates, p6_found, p6_containers, p6_placement, p6_fill, p7_mix, p7_shares, p7_balance, p8_found, p8_shares)
 }
 
 # words, and the words of each sentence and paragraph with their places
@@ -142,7 +159,11 @@ phrases AS (
   FROM words LEFT JOIN starts USING (doc_id, k)),
 """
 
+_LISTED = "SELECT language, count(DISTINCT file_id) AS listed, 0 AS found FROM symbols JOIN files ON files.id = file_id GROUP BY language"
+
 SQL: dict[str, str] = {
+    "p2_listed": _LISTED,
+    "p5_listed": _LISTED,
     "p2_releases": """
 SELECT count(*) FILTER (sha256(content) IN (SELECT lower(trim(content_hash)) FROM package_files)) AS copies, 0 AS missed, 0 AS unlike_any, count(*) AS files
 FROM source_tree""",
