@@ -666,7 +666,7 @@ _LANGUAGES = {"rust": rust, "csharp": csharp}
 _FINDERS = {"rust": _RustFinder, "csharp": _CSharpFinder}
 
 
-def _scan(language: str, source: str):
+def scan(language: str, source: str):
     if language not in _LANGUAGES:
         raise FlowError(f"no flow graphs for {language}, only for {' and '.join(_LANGUAGES)}")
     sys.setrecursionlimit(1_000_000)  # nested statements; calls between Python functions take no C stack
@@ -679,7 +679,7 @@ def functions(language: str, source: str, file: str):
     """Graphs of all functions of a text that have a body; where none can be made, ``error`` and where."""
     if language not in _LANGUAGES:
         return
-    finder = _scan(language, source)
+    finder = scan(language, source)
     for hit in finder.found:
         name, line = finder.x.t[hit[0]], finder.x.place(hit[0])[0]
         try:
@@ -694,9 +694,12 @@ def functions(language: str, source: str, file: str):
         yield {**graph, "error": None}
 
 
-def flow(language: str, source: str, file: str, name: str, scope: str | None, line: int) -> dict:
-    """``{function, nodes, edges}`` of one function; FlowError where there is none."""
-    finder = _scan(language, source)
+def flow(language: str, source: str, file: str, name: str, scope: str | None, line: int, scanned=None) -> dict:
+    """``{function, nodes, edges}`` of one function; FlowError where there is none.
+
+    ``scanned``: the source as ``scan`` gives it, where it is at hand.
+    """
+    finder = scanned or scan(language, source)
     hit = locate(finder.found, finder.x, name, scope, line)
     if hit is None:
         raise FlowError(f"{file} holds no function {name} around line {line}; perhaps it has changed since it was indexed")
@@ -704,4 +707,4 @@ def flow(language: str, source: str, file: str, name: str, scope: str | None, li
     return Builder(info).build(steps)
 
 
-__all__ = ["flow", "locate", "one_line"]
+__all__ = ["flow", "locate", "one_line", "scan"]

@@ -19,19 +19,25 @@ def flow_graphs(functions: DataFrame) -> DataFrame:
     """A graph per row of ``symbol_id, path, language, name, scope, line, content``.
 
     Where no graph can be made (other languages, no body, stale line, null
-    text) the row has only its ``error``.
+    text) the row has only its ``error``.  Rows of one text that follow each
+    other share its scan; for all functions of many texts use ``file_graphs``.
     """
 
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from codeloom.flow.parse import flow
+        from codeloom.flow.parse import flow, scan
 
+        last, scanned = None, None
         for b in batches:
             rows = []
             for r in b.to_pylist():
                 try:
-                    g = flow(r["language"], r["content"] or "", r["path"], r["name"], r["scope"], r["line"])
+                    text = (r["language"], r["content"] or "")
+                    if text != last:
+                        last, scanned = None, scan(*text)
+                        last = text
+                    g = flow(*text, r["path"], r["name"], r["scope"], r["line"], scanned)
                     rows.append({"symbol_id": r["symbol_id"], **g, "error": None})
                 except Exception as e:  # noqa: BLE001
                     rows.append({"symbol_id": r["symbol_id"], "function": None, "nodes": None, "edges": None, "error": str(e)[:300]})

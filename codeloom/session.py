@@ -60,9 +60,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the shared one."""
-    return f"{shared_dir(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
+    """A fresh, unique folder below the shared one; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def drop_work() -> None:
+    """Delete the folders that this driver has made for intermediate tables."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            files, P = fs(spark, path)
+            files.delete(P(path), True)
+        except Exception:  # noqa: BLE001, S112
+            continue  # the session is gone; the folder stays
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
