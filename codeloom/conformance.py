@@ -501,6 +501,24 @@ def x03_extract_references(spark, d):
     return relations(_texts(spark, d))["raw_references"]
 
 
+@query(r"""WITH f AS (SELECT id, path, language = 'python' AS py, regexp_replace(path, '\.[^./]*$', '') AS stem FROM files WHERE language IN ('typescript', 'javascript', 'python')),
+asked AS (SELECT a.id AS source_file_id, b.stem, a.py FROM f a JOIN f b ON b.id = a.id + 1 AND b.py = a.py WHERE NOT a.py OR b.stem NOT LIKE '%.%'),
+ends AS (SELECT * FROM (VALUES (false, '', 0), (false, '.ts', 1), (false, '.tsx', 2), (false, '.js', 3), (false, '.jsx', 4), (false, '.mjs', 5), (false, '.cjs', 6), (false, '/index.ts', 7), (false, '/index.tsx', 8), (false, '/index.js', 9), (true, '.py', 0), (true, '/__init__.py', 1)) AS e(py, tail, k)),
+hit AS (SELECT source_file_id, arg_min(g.id, k) AS hit FROM asked JOIN ends USING (py) JOIN files g ON g.path = stem || tail GROUP BY source_file_id)
+SELECT source_file_id, CASE WHEN hit <> source_file_id THEN hit END AS resolved_file_id FROM asked LEFT JOIN hit USING (source_file_id)""")
+def r08_resolve_paths(spark, d):
+    """Imports of the file with the next id by its path from the root: climbs and
+    names in scripts, dots in Python (where no part of the path has a dot)."""
+    f = table(spark, d, "files").where("language in ('typescript', 'javascript', 'python')")
+    f = f.select("id", (F.col("language") == "python").alias("py"), F.regexp_replace("path", r"\.[^./]*$", "").alias("stem"), (F.size(F.split("path", "/")) - 1).alias("depth"))
+    b = f.select((F.col("id") - 1).alias("id"), "py", F.col("stem").alias("to"))
+    pairs = f.join(b, ["id", "py"]).where(~F.col("py") | ~F.col("to").contains("."))
+    dots = F.concat(F.repeat(F.lit("."), F.col("depth") + 1), F.replace("to", F.lit("/"), F.lit(".")))
+    climb = F.concat(F.lit("./"), F.repeat(F.lit("../"), F.col("depth")), F.col("to"))
+    asked = pairs.select("id", F.col("id").alias("source_file_id"), F.when(F.col("py"), dots).otherwise(climb).alias("import_path"))
+    return resolve_imports(asked, table(spark, d, "files")).select("source_file_id", "resolved_file_id")
+
+
 @query()
 def r08_resolve_imports(spark, d):
     rel = relations(_texts(spark, d))
