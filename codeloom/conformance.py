@@ -19,7 +19,7 @@ from codeloom.operators.snapshots import snapshot_diff
 from codeloom.plans.index import Index, bind_references
 from codeloom.plans.refresh import build, refresh, run_totals, statistics
 from codeloom.plans.resolve import resolve_imports
-from codeloom.session import table
+from codeloom.session import materialize, table
 from codeloom.sources.tree import LANGUAGES, language_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,8 +56,10 @@ def imports(spark: SparkSession, d: str) -> DataFrame:
     return one.select(F.xxhash64("source_file_id", "import_path").alias("id"), "source_file_id", "import_path", F.lit(None).cast("string").alias("alias"), "names", "resolved_file_id")
 
 
-def index(spark: SparkSession, d: str) -> Index:
-    return Index(table(spark, d, "files"), all_symbols(spark, d), imports(spark, d), table(spark, d, "references_"))
+def index(spark: SparkSession, d: str, written: bool = False) -> Index:
+    """The index over the tables; ``written`` for queries that use the derived imports more than once."""
+    i = imports(spark, d)
+    return Index(table(spark, d, "files"), all_symbols(spark, d), materialize(i, "imports") if written else i, table(spark, d, "references_"))
 
 
 _LOC = f"WITH {_SYM}, located AS (SELECT s.*, f.path, f.language FROM allsym s JOIN files f ON f.id = s.file_id)"
@@ -242,7 +244,7 @@ def q04_file_edges(spark, d):
 
 @query(f"{_EDGES} SELECT DISTINCT source AS path FROM edges WHERE target = (SELECT max(target) FROM edges WHERE target <> 'std') ORDER BY path")
 def q05_dependents(spark, d):
-    i = index(spark, d)
+    i = index(spark, d, written=True)
     return i.dependents(i.file_edges().where("target <> 'std'").agg(F.max("target")).first()[0])
 
 
@@ -254,7 +256,7 @@ def q05_dependents_of_a_name(spark, d):
 
 @query(f"{_EDGES}, walk AS (SELECT (SELECT min(source) FROM edges) AS path, 0 AS depth UNION SELECT e.target, w.depth + 1 FROM walk w JOIN edges e ON e.source = w.path WHERE w.depth < 3) SELECT path, CAST(min(depth) AS INTEGER) AS depth FROM walk WHERE path <> (SELECT min(source) FROM edges) GROUP BY path")
 def q06_transitive(spark, d):
-    i = index(spark, d)
+    i = index(spark, d, written=True)
     return i.transitive(i.file_edges().agg(F.min("source")).first()[0], 3).select("path", "depth")
 
 
@@ -421,8 +423,6 @@ def o62_refresh_is_a_rebuild(spark, d):
     Before, every Python and Rust text had one more function and every package
     copy was still there; the copies are deleted and the others change.
     """
-    from codeloom.session import materialize
-
     now = _texts(spark, d).select("path", "language", "content").withColumn("content_hash", T.content_hash(F.col("content")))
     more = F.when(F.col("language") == "python", F.lit("\ndef gone_by_now():\n    pass\n")).when(F.col("language") == "rust", F.lit("\nfn gone_by_now() {}\n")).otherwise(F.lit(""))
     was = now.withColumn("content", F.concat("content", more)).withColumn("content_hash", T.content_hash(F.col("content")))

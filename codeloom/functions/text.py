@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,8 +46,8 @@ def java_regex(pattern: str) -> str:
     made = pattern.replace("(?P<", "(?<")
     try:
         SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(made)
-    except Py4JJavaError as e:
-        raise ValueError(f"invalid regex: {e.java_exception.getMessage()}") from None
+    except IllegalArgumentException as e:
+        raise ValueError(f"invalid regex: {e}") from None
     return made
 
 

@@ -2,7 +2,10 @@
 
 Raw usages are kept, and references are derived from them by joining names, so
 a refresh gives what a rebuild would give: usages in unchanged files find the
-new symbols again.
+new symbols again.  A usage depends on the symbols of its name alone, so only
+usages in changed files and those of names that changed files declare, before
+or after, are bound anew.  Imports depend on the paths that are there, so where
+no path comes or goes only those of changed files are resolved.
 """
 
 from __future__ import annotations
@@ -23,12 +26,9 @@ def file_rows(texts: DataFrame) -> DataFrame:
     return ok.select(F.xxhash64("path").alias("id"), "path", "content_hash", "language", F.current_timestamp().alias("last_indexed_at"))
 
 
-def _derive(rel: Relations) -> Relations:
-    imports = materialize(resolve_imports(rel["imports"], rel["files"]), "imports")
-    bound = bind_references(rel["raw_references"], rel["symbols"])
+def _bound(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     cols = ["symbol_id", "file_id", "line", "column"]
-    references = bound.select(F.xxhash64(*cols).alias("id"), *cols, "qualified")
-    return {**rel, "imports": imports, "references": references}
+    return bind_references(raw, symbols).select(F.xxhash64(*cols).alias("id"), *cols, "qualified")
 
 
 def _parsed(texts: DataFrame) -> Relations:
@@ -42,21 +42,26 @@ def build(texts: DataFrame, metadata: DataFrame | None = None) -> Relations:
     rel.pop("errors")
     rel["files"] = file_rows(texts)
     rel["metadata"] = metadata if metadata is not None else spark.createDataFrame([], "key string, value string")
-    return _derive(rel)
+    imports = materialize(resolve_imports(rel["imports"], rel["files"]), "imports")
+    return {**rel, "imports": imports, "references": _bound(rel["raw_references"], rel["symbols"])}
 
 
 def refresh(rel: Relations, texts: DataFrame, deleted: DataFrame | None = None) -> Relations:
     """The index after ``texts`` (changed or new files) and ``deleted`` paths.
 
-    Only files whose hash differs from the stored one are parsed.
+    Only files whose hash differs from the stored one are parsed.  References
+    of usages that are not bound anew stay as they are.
     """
     spark = texts.sparkSession
+    before = rel
     stored = rel["files"].select("path", F.col("content_hash").alias("_old"))
     changed = materialize(
-        texts.join(stored, "path", "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("content_hash"))).select("path", "language", "content", "content_hash"), "changed"
+        texts.join(stored, "path", "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("content_hash"))).select("path", "language", "content", "content_hash", F.col("_old").isNull().alias("added")), "changed"
     )
+    gone = None
     if deleted is not None:
-        rel = delete_files(rel, rel["files"].join(deleted.select("path").distinct(), "path", "left_semi").select("id"))
+        gone = materialize(rel["files"].join(deleted.select("path").distinct(), "path", "left_semi").select("id"), "gone")
+        rel = delete_files(rel, gone)
     ids = changed.select(F.xxhash64("path").alias("id"))
     rel = clear_files(rel, ids)
     new = _parsed(changed)
@@ -64,7 +69,20 @@ def refresh(rel: Relations, texts: DataFrame, deleted: DataFrame | None = None)
     kept = rel["files"].join(ids, "id", "left_anti").select(*rel["files"].columns)
     out["files"] = kept.unionByName(file_rows(changed))
     out["metadata"] = rel.get("metadata", spark.createDataFrame([], "key string, value string"))
-    return _derive(out)
+    moved = not changed.where("added").isEmpty() or gone is not None and not gone.isEmpty()
+    fresh = resolve_imports(out["imports"] if moved else new["imports"].select(*rel["imports"].columns), out["files"])
+    out["imports"] = materialize(fresh if moved else rel["imports"].unionByName(fresh), "imports")
+    touched = ids if gone is None else ids.unionByName(gone)
+    declared = before["symbols"].join(touched.select(F.col("id").alias("file_id")), "file_id", "left_semi").select("name").unionByName(new["symbols"].select("name"))
+    names = materialize(declared.where("name is not null").distinct(), "names")
+    again = rel["raw_references"].join(names.select(F.col("name").alias("symbol_name")), "symbol_name", "left_semi")
+    raw = again.select(*rel["raw_references"].columns).unionByName(new["raw_references"].select(*rel["raw_references"].columns))
+    # what is left are usages of names that nothing touched has declared
+    hit = out["symbols"].join(names, "name", "left_semi").select(F.col("id").alias("symbol_id"))
+    stay = rel["references"].join(hit, "symbol_id", "left_anti")
+    made = _bound(raw, out["symbols"])
+    out["references"] = stay.select(*made.columns).unionByName(made)
+    return out
 
 
 def with_semantic(rel: Relations, definitions: DataFrame, references: DataFrame) -> Relations:

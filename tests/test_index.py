@@ -131,3 +131,11 @@ def test_text_functions(spark):
     one = spark.createDataFrame([("src/mod.tar.gz", "  a   b\n", None)], "p string, w string, n string")
     r = one.select(T.parent_dir(F.col("p")), T.stem(F.col("p")), T.collapse(F.col("w")), T.elide(F.col("p"), 5), T.elide_left(F.col("p"), 5), T.display_name(F.col("n"), F.col("p")), T.sqlite_like(F.col("p"), "SRC/_od%")).first()
     assert list(r) == ["src", "mod.tar", "a b", "src/…", "…r.gz", "src/mod.tar.gz", True]
+
+
+def test_patterns_of_the_jvm(spark):
+    from codeloom.functions import text as T
+
+    df = spark.createDataFrame([("größe",), ("x1",), (None,)], "c string")
+    assert [r[0] for r in df.where(T.grep(F.col("c"), r"^\p{L}+$")).collect()] == ["größe"]
+    assert df.where(T.grep(F.col("c"), r"(?P<a>x)\d")).count() == 1
