@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import display_name, grep, line_slice, parent_dir, sqlite_like
@@ -200,8 +200,7 @@ class Index:
 
         One join per level; each level is written and only paths not yet seen go
         on, so cycles end.  Positions follow the parents' positions, then the
-        path; they come from a range sort and the sizes of its parts, so no
-        level meets in one task.
+        path.
         """
         spark = self.files.sparkSession
         a, b = ("target", "source") if reverse else ("source", "target")
@@ -211,19 +210,12 @@ class Index:
         for level in range(1, depth + 1):
             reached = frontier.select(F.col("path").alias("_from"), "position").join(edges, "_from")
             fresh = reached.groupBy("path").agg(F.min("position").alias("_parent")).join(seen.select("path"), "path", "left_anti")
-            placed = fresh.orderBy("_parent", "path").select("path", F.lit(level).alias("depth"), F.monotonically_increasing_id().alias("_at"))
-            placed = materialize(placed, "level")
-            # the number of the part is in the upper bits, the place in it below
-            sizes = sorted((r[0], r[1]) for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).count().collect())
-            if not sizes:
+            fresh = materialize(fresh, "level")
+            n = fresh.count()
+            if not n:
                 break
-            starts: dict[int, int] = {}
-            for part, n in sizes:
-                starts[part] = done
-                done += n
-            start = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in starts.items() for x in kv]), F.shiftright("_at", 33))
-            frontier = placed.select("path", "depth", (start + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias("position"))
-            seen = seen.unionByName(frontier)
+            frontier = numbered(fresh, ["_parent", "path"], n, done).select("path", F.lit(level).alias("depth"), "position")
+            seen, done = seen.unionByName(frontier), done + n
         return seen.where("depth > 0").orderBy("position")
 
     def symbol_dependencies(self, symbol_ids: DataFrame | None = None) -> DataFrame:
@@ -261,6 +253,27 @@ class Index:
         return part(self.totals(), "totals", "relation").unionByName(part(self.symbols_by_kind(), "kinds", "kind")).unionByName(part(self.files_by_language(), "languages", "language"))
 
 
+#: Rows up to which one task numbers them.
+NUMBERED_AT_ONCE = 100_000
+
+
+def numbered(df: DataFrame, order: list[str], n: int, after: int = 0) -> DataFrame:
+    """``df`` (a written table of ``n`` rows) with ``position``: after + 1, ... in that order.
+
+    Above ``NUMBERED_AT_ONCE`` rows the numbers come from a range sort and the
+    sizes of its parts, so no task ever holds more.
+    """
+    if n <= NUMBERED_AT_ONCE:
+        return df.withColumn("position", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + after).cast("long"))
+    placed = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    # the number of the part is in the upper bits, the place in it below
+    starts: dict[int, int] = {}
+    for part, size in sorted(tuple(r) for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()):
+        starts[part], after = after, after + size
+    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in starts.items() for x in kv]), F.shiftright("_at", 33))
+    return placed.withColumn("position", start + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at")
+
+
 def bind_references(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     """Candidate symbols of raw references: ``symbol_id, file_id, line, column, qualified``.
 

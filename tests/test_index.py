@@ -139,3 +139,15 @@ def test_patterns_of_the_jvm(spark):
     df = spark.createDataFrame([("größe",), ("x1",), (None,)], "c string")
     assert [r[0] for r in df.where(T.grep(F.col("c"), r"^\p{L}+$")).collect()] == ["größe"]
     assert df.where(T.grep(F.col("c"), r"(?P<a>x)\d")).count() == 1
+
+
+def test_numbering_beyond_one_task(spark, monkeypatch):
+    from codeloom.plans import index
+
+    rows = [(i * 7919 % 1000 // 3, f"p{i % 50}", i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a int, b string, c int").repartition(5)
+    want = [(r[0], r[1], r[2], k) for k, r in enumerate(sorted(rows), 11)]
+    for bound in (10**6, 10):
+        monkeypatch.setattr(index, "NUMBERED_AT_ONCE", bound)
+        got = sorted(tuple(r) for r in index.numbered(df, ["a", "b", "c"], 1000, 10).select("a", "b", "c", "position").collect())
+        assert got == sorted(want)
