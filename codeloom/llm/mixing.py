@@ -17,12 +17,16 @@ landing problem that remains are the 16 smallest documents, solved exactly.
 A document larger than all its source should give can't be part of a mix that
 meets the share; it is left out, and the others are planned with more copies.
 In a source of several blocks, documents that its smaller ones could not make
-good in passing are decided first, by the same steps.  A document whose choice
-no smaller ones could make good is taken or left by what misses the total less.
+good in passing are decided first, by the same steps.  Where no choice for a
+document can be made good by one copy more or none of each smaller one, these
+get whole copies more or fewer, from none to the cap.  Where the total is still
+missed, the few documents that outweigh all smaller ones are tried in every
+combination of copies; the one that misses the total least is taken.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 from collections.abc import Iterable
@@ -39,6 +43,8 @@ SPARE = 0.02
 RESERVE = 256
 #: Documents of the landing problem.
 LANDING = 16
+#: Combinations of copies of the large documents of a source that are tried.
+TRIED = 1 << 16
 
 
 def flight(p: list[float], size: list[float], rng: random.Random) -> list[float]:
@@ -97,13 +103,15 @@ def land(want: float, docs: float, size: list[float]) -> list[float]:
     return [float(best >> k & 1) for k in range(len(size))]
 
 
-def settle(p: list[float], size: list[float], rng: random.Random, room: tuple[float, float] | None = None) -> list[float]:
-    """Decide all documents: p becomes 0 or 1 everywhere, sum(p * size) stays as near as the sizes allow.
+def settle(p: list[float], size: list[float], rng: random.Random, room: tuple[float, float] | None = None, spread: tuple[int, int] = (0, 1)) -> list[float]:
+    """Decide all documents: p becomes a whole number everywhere, sum(p * size) stays as near as the sizes allow.
 
     ``room`` is what documents outside can still add and take away; with it the
-    landing is theirs and every class is drawn.
+    landing is theirs and every class is drawn.  ``spread`` are the least and
+    most copies of a document; others than 0 and 1 are given only where those
+    can't make good a larger document.
     """
-    p, n = list(p), len(p)
+    start, p, n = p, list(p), len(p)
     want = sum(x * s for x, s in zip(p, size))
     order = sorted(range(n), key=lambda i: (-math.frexp(size[i])[1] if size[i] > 0 else math.inf, i))
     sized = sorted((i for i in order if size[i] > 0), key=lambda i: (size[i], i))
@@ -116,7 +124,11 @@ def settle(p: list[float], size: list[float], rng: random.Random, room: tuple[fl
     expected = want  # of what is undecided
     undecided = [i for level in levels.values() for i in level] + sorted(pool)
     add, take = room or (0.0, 0.0)
+    base = 0  # copies that all of what is undecided get; want and p are beyond them
     for level in levels.values():
+        if not room:
+            step = _step(want, later, spread[0] - base, spread[1] - base)
+            base, want = base + step, want - step * later
         if not room and abs(expected - want) > EPS * (1 + abs(want)):
             _shift(p, size, undecided, want, expected, later)
         undecided = undecided[len(level) :]
@@ -128,25 +140,67 @@ def settle(p: list[float], size: list[float], rng: random.Random, room: tuple[fl
         fixed = sum(p[i] * size[i] for i in level if i not in open_)
         # what the documents after this class may be asked for
         low, high = -take, later + add
+        least, most = low + (spread[0] - base) * (high - low), high + (spread[1] - base - 1) * (high - low)
         spare = lambda m: want - fixed - sum(size[i] for k, i in enumerate(open_) if m >> k & 1)  # noqa: E731, B023
         miss = lambda m: max(0.0, low - spare(m), spare(m) - high)  # noqa: E731, B023
+        lost = lambda m: max(0.0, least - spare(m), spare(m) - most)  # noqa: E731, B023
         drawn = _draw([p[i] for i in open_], rng.random())
         if any(miss(m) > 0 for m in range(1 << len(open_))):
-            drawn = min(range(1 << len(open_)), key=lambda m: (miss(m), abs(want - spare(m) - planned), m))
+            drawn = min(range(1 << len(open_)), key=lambda m: (lost(m), miss(m), abs(want - spare(m) - planned), m))
         for k, i in enumerate(open_):
             p[i] = float(drawn >> k & 1)
         want = spare(drawn)
+        for i in level:
+            p[i] += base
         expected = sum(p[i] * size[i] for i in undecided)
     last = sorted(pool)
+    step = _step(want, later, spread[0] - base, spread[1] - base) if last else 0
+    if step:
+        base, want = base + step, want - step * later
+        _shift(p, size, last, want, expected, later)
     for i, x in zip(last, land(want, sum(p[i] for i in last), [size[i] for i in last]), strict=True):
-        p[i] = x
-    return p
+        p[i] = x + base
+    return p if room else _heads(p, start, size, rng, spread)
+
+
+def _heads(p: list[float], start: list[float], size: list[float], rng: random.Random, spread: tuple[int, int]) -> list[float]:
+    """``p``, or what comes nearer with the best copies of the largest documents, from one that outweighs all smaller ones."""
+    want = sum(x * s for x, s in zip(start, size))
+    off = lambda q: abs(sum(x * s for x, s in zip(q, size)) - want)
+    if off(p) < 1:
+        return p
+    order = sorted(range(len(size)), key=lambda i: (size[i], i))
+    below = list(itertools.accumulate((size[i] for i in order), initial=0.0))
+    most = int(math.log(TRIED, spread[1] - spread[0] + 1))
+    at = next((k for k in range(max(0, len(order) - most), len(order)) if 0 < below[k] < size[order[k]]), None)
+    if at is None:
+        return p
+    heads, others, rest = order[at:], sorted(order[:at]), below[at]
+    left = lambda c: want - sum(x * size[i] for x, i in zip(c, heads))
+    lost = lambda c: max(0.0, spread[0] * rest - left(c), left(c) - spread[1] * rest)
+    best = min(itertools.product(range(spread[0], spread[1] + 1), repeat=len(heads)), key=lambda c: (lost(c), sum(abs(x - start[i]) * size[i] for x, i in zip(c, heads)), c))
+    step = _step(left(best), rest, *spread)
+    q, share = list(p), min(1.0, max(0.0, left(best) / rest - step))
+    for x, i in zip(best, heads, strict=True):
+        q[i] = float(x)
+    for x, i in zip(settle([share] * len(others), [size[i] for i in others], rng, spread=(spread[0] - step, spread[1] - step)), others, strict=True):
+        q[i] = x + step
+    return q if off(q) < off(p) else p
+
+
+def _step(want: float, total: float, least: int, most: int) -> int:
+    """Copies more that each document gets, so that ``want`` of their ``total`` is left to between none and one of each."""
+    near = EPS * (1 + total)
+    if total <= 0 or -near <= want <= total + near:
+        return 0
+    return max(least, min(most - 1, math.floor(want / total)))
 
 
 def _shift(p: list[float], size: list[float], which: list[int], want: float, have: float, total: float) -> None:
     """Move probabilities evenly towards 0 or 1 until they expect ``want``."""
     if want < have:
-        scale = max(0.0, want / have)
+        # an excess that nothing makes good leaves nothing expected for the classes after
+        scale = max(0.0, want / have) if have > 0 else 0.0
         for i in which:
             p[i] *= scale
     else:
@@ -232,6 +286,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     result = docs.where("p <= 0")
     small = docs.where("p > 0")
     width = max(blocks.values())
+    caps = {s: x["max_repeats"] for s, x in plan.items()}
     if width > 1:
         # giants first: what their landing leaves over is made good by the many others
         tops = _giants(base.where(F.col("source").isin([s for s in plan if blocks[s] > 1])), frac)
@@ -239,13 +294,15 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
         held = {r[0]: int(r[1]) for r in small.where(giant).groupBy("source").agg(F.sum("n_tokens")).collect()}
         if held:
             room = {s: ((1 - frac[s]) * (totals[s][1] - held.get(s, 0)), frac[s] * (totals[s][1] - held.get(s, 0))) for s in plan}
-            big = materialize(_decide(small.where(giant), width, block_rows, seed, room), "giants")
+            big = materialize(_decide(small.where(giant), width, block_rows, seed, caps, room), "giants")
             got = {r[0]: int(r[1]) for r in big.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("p").cast("int"))).collect()}
             left = {s: totals[s][1] - held.get(s, 0) for s in plan}
-            rest = {s: min(1.0, max(0.0, (frac[s] * totals[s][1] - got.get(s, 0)) / left[s])) if left[s] > 0 else frac[s] for s in plan}
-            small = small.where(~giant).withColumn("p", by(rest))
+            want = {s: frac[s] * totals[s][1] - got.get(s, 0) for s in plan}
+            step = {s: _step(want[s], left[s], -whole[s], plan[s]["max_repeats"] - whole[s]) for s in plan}
+            rest = {s: min(1.0, max(0.0, want[s] / left[s] - step[s])) if left[s] > 0 else frac[s] for s in plan}
+            small = small.where(~giant).withColumns({"copies": (F.col("copies") + by(step)).cast("int"), "p": by(rest)})
             result = result.unionByName(big)
-    result = result.unionByName(_decide(small, width, block_rows, seed))
+    result = result.unionByName(_decide(small, width, block_rows, seed, caps))
     result = result.select("doc_id", "source", "n_tokens", (F.col("copies") + F.col("p").cast("int")).alias("copies")).where("copies > 0")
     return result, plan
 
@@ -274,7 +331,7 @@ def _giants(sizes: DataFrame, frac: dict[str, float]) -> dict[str, int]:
     return out
 
 
-def _decide(docs: DataFrame, width: int, block_rows: int, seed: int, room: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def _decide(docs: DataFrame, width: int, block_rows: int, seed: int, caps: dict[str, int], room: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Flights over blocks, rounds over the leftovers, then one settling task per source."""
 
     def fly(last: bool):
@@ -282,7 +339,9 @@ def _decide(docs: DataFrame, width: int, block_rows: int, seed: int, room: dict[
             # an order of its own per document, so the result does not hang on how rows arrive
             pdf = pdf.assign(_o=[random.Random(f"{seed}:{d}").random() for d in pdf["doc_id"]]).sort_values(["_o", "doc_id"])
             size, p, rng = pdf["n_tokens"].astype(float).tolist(), pdf["p"].tolist(), random.Random(f"{seed}:{key}")
-            p = settle(p, size, rng, room[key[0]] if room else None) if last else flight(p, size, rng)
+            # copies are the same for all documents of a source here
+            given = int(pdf["copies"].iloc[0])
+            p = settle(p, size, rng, room[key[0]] if room else None, (-given, caps[key[0]] - given)) if last else flight(p, size, rng)
             return pdf.assign(p=p).drop(columns="_o")
 
         return go

@@ -41,6 +41,33 @@ def test_settle_makes_good_for_large_documents():
     assert settle([0.1], [100.0], rng, room=(50.0, 0.0)) == [0] and settle([0.9], [100.0], rng, room=(0.0, 50.0)) == [1]
 
 
+def test_settle_goes_on_after_an_excess():
+    """A document that nothing makes good takes too much: the classes after it are left out, none fails."""
+    rng = random.Random(2)
+    size = [float(rng.randrange(1, 400)) for _ in range(60)] + [100_000.0]
+    assert 0.8 * sum(size) < size[-1]  # and all others together are far less
+    q = settle([0.8] * 61, size, rng)
+    assert q[-1] == 1 and sum(q) == 1
+    # with further copies the others make it good, from none to the cap
+    rng = random.Random(4)
+    size = [float(rng.randrange(20, 400)) for _ in range(200)]
+    for large, p, spread in ((60_000.0, 0.51, (-1, 3)), (60_000.0, 0.45, (-2, 1)), (70_000.0, 0.5, (0, 3))):
+        want = p * (sum(size) + large)
+        for seed in range(10):
+            q = settle([p] * 201, [*size, large], random.Random(seed), spread=spread)
+            assert all(x == int(x) and spread[0] <= x <= spread[1] for x in q)
+            assert abs(sum(a * s for a, s in zip(q, [*size, large])) - want) <= 1, (large, seed)
+
+
+def test_settle_tries_all_copies_of_documents_that_outweigh_the_others():
+    rng = random.Random(8)
+    size = [float(rng.randrange(20, 1500)) for _ in range(25)] + [93_343.0, 124_442.0, 199_997.0]
+    want = 2 * 93_343 + 199_997 + 0.5 * sum(size[:25])
+    for seed in range(10):
+        q = settle([want / sum(size)] * 28, size, random.Random(seed), spread=(0, 2))
+        assert set(q) <= {0.0, 1.0, 2.0} and abs(sum(a * s for a, s in zip(q, size)) - want) <= 1
+
+
 def test_flight_is_unbiased():
     """Each item is drawn as often as its probability says."""
     size, p = [3.0, 8.0, 2.0, 5.0, 9.0, 4.0], [0.5, 0.2, 0.7, 0.4, 0.6, 0.1]
@@ -91,6 +118,21 @@ def test_a_document_larger_than_its_sources_share(spark):
     assert report["only"].docs == 0 and report["a"].tokens > 0
 
 
+def test_a_document_that_one_copy_of_the_others_does_not_make_good(spark):
+    rng = random.Random(6)
+    rows = [(i, s, rng.randrange(2, 120)) for i, s in enumerate(["all"] * 3000 + ["few"] * 2000)] + [(5000, "few", 155_000)]
+    tokens = {s: sum(n for _, x, n in rows if x == s) for s in ("all", "few")}
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    # 1.509 copies of few are wanted: with one or two copies of its large document, the others must give less than one or more than two
+    targets = spark.createDataFrame([("all", 1.0, 1), ("few", 1.509 * tokens["few"] / tokens["all"], 4)], "source string, weight double, max_repeats int")
+    for block_rows in (20_000, 100):
+        mixed, plan = mix(sizes, targets, block_rows=block_rows)
+        got = mixed.collect()
+        assert len({r.doc_id for r in got}) == len(got)
+        for r in shares(mixed, plan).collect():
+            assert abs(r.share / r.target_share - 1) < 0.005 and r.most_copies <= r.max_repeats, (block_rows, r)
+
+
 @pytest.mark.parametrize("name", ["sf0.01", "sf0.1"])
 def test_shares_of_the_tables(spark, name):
     import os
